@@ -7,9 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm.bpe import decode_bpe, encode_bpe
+from larkspur.llm.langid import language_of_documents
 from larkspur.llm.media import media_columns
+from larkspur.llm.ngram_join import ngram_join
 from larkspur.llm.packing import pack_documents
+from larkspur.llm.quality import quality_scores
 from larkspur.llm.sharding import shard_rows
+from larkspur.llm.toxicity import toxicity_scores
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,7 +23,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     ids = encode_bpe(table(spark, sf_dir, "documents"), *vocabulary, keep=["doc_id"])
-    return decode_bpe(ids, *vocabulary).select(
+    return decode_bpe(ids, vocabulary[0]).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
@@ -31,6 +35,18 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_of_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -39,10 +55,18 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(table(spark, sf_dir, "documents"))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_copies", F.lower(F.hex("text_key")).alias("text_md5"), "keep")
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op3_media": op3_media,
+    "op4_quality": op4_quality,
+    "op5_toxicity": op5_toxicity,
+    "op6_language": op6_language,
     "op7_packing": op7_packing,
     "op8_sharding": op8_sharding,
+    "op9_ngram_join": op9_ngram_join,
 }
 ORACLE_SQL: dict[str, str] = {}

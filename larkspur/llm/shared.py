@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+#: Python works on so much of an Arrow batch at once.
+SLICE_BYTES = 8 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
@@ -64,7 +67,7 @@ def add_columns(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             made = work(*(batch.column(batch.schema.get_field_index(c)) for c in read))
             made = [x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(made, types, strict=True)]
             kept = [batch.column(batch.schema.get_field_index(c)) for c in keep]
@@ -73,6 +76,12 @@ def add_columns(
     return df.select(*(F.col(quoted(c)) for c in sent)).mapInArrow(run, T.StructType(rows_like(df, keep) + fields))
 
 
+def slices(batch: pa.RecordBatch, most_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about ``most_bytes``, one row at least."""
+    step = max(1, int(batch.num_rows * most_bytes / max(1, batch.nbytes)))
+    return (batch.slice(a, step) for a in range(0, batch.num_rows, step))
+
+
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
