@@ -7,11 +7,14 @@ quarter.
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm import ngram_join, packing, quality, toxicity
+from larkspur.llm.shared import shared_dir
 
 QUALITY_LEAST, TOXIC_LEAST, SIMILARITY = 0.7, 0.3, 0.8
 
@@ -54,10 +57,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after another over ``documents``; each result is settled before the next stage reads it."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = ngram_join.settle(docs)
-    return docs
+    """The stages one after another over ``documents``; each result but the last is written as Parquet to the shared folder and read again."""
+    docs, folder = spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
