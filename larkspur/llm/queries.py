@@ -13,7 +13,9 @@ from larkspur.llm.ngram_join import ngram_join
 from larkspur.llm.packing import pack_documents
 from larkspur.llm.quality import quality_scores
 from larkspur.llm.sharding import shard_rows
+from larkspur.llm.topk import top_k
 from larkspur.llm.toxicity import toxicity_scores
+from larkspur.llm.url_filter import filter_urls, host_of
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +33,29 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def dated_list(pages: DataFrame) -> DataFrame:
+    """A dated list over the hosts of ``pages``: two fifths of them, by hash, are added, some removed, some added again; and one domain."""
+    day = lambda n: F.date_add(F.lit("2024-01-01").cast("date"), n.cast("int"))
+    hosts = pages.select(host_of(F.col("url")).alias("value")).filter("value <> ''").distinct()
+    hosts = hosts.withColumn("h", F.conv(F.substring(F.md5("value"), 1, 4), 16, 10).cast("int")).filter("h % 5 < 2")
+    first = F.col("h") % 200
+    turns = F.array(
+        F.struct(F.lit("add").alias("action"), day(first).alias("at")),
+        F.when(F.col("h") % 3 == 0, F.struct(F.lit("remove").alias("action"), day(first + 40 + F.col("h") % 50).alias("at"))),
+        F.when(F.col("h") % 9 == 0, F.struct(F.lit("add").alias("action"), day(first + 150).alias("at"))),
+    )
+    dated = hosts.select(F.lit("domain").alias("kind"), "value", F.explode(F.array_compact(turns)).alias("t")).select("kind", "value", "t.action", "t.at")
+    spark = pages.sparkSession
+    whole = spark.createDataFrame([("domain", "example.net", "add", 100), ("domain", "example.net", "remove", 130)], "kind string, value string, action string, n int")
+    return dated.unionByName(whole.select("kind", "value", "action", day(F.col("n")).alias("at")))
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    captures = pages.withColumn("fetched_at", F.expr("date_add(date'2024-01-01', cast(pmod(page_id, 366) as int))"))
+    return filter_urls(captures, dated_list(pages)).select("page_id", "host", "fetched_at", "blocked", "n_entries", "entry", "listed_since")
+
+
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(table(spark, sf_dir, "documents"))
 
@@ -59,8 +84,13 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_copies", F.lower(F.hex("text_key")).alias("text_md5"), "keep")
 
 
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_url_filter": op2_url_filter,
     "op3_media": op3_media,
     "op4_quality": op4_quality,
     "op5_toxicity": op5_toxicity,
@@ -68,5 +98,55 @@ QUERIES = {
     "op7_packing": op7_packing,
     "op8_sharding": op8_sharding,
     "op9_ngram_join": op9_ngram_join,
+    "op10_top_k": op10_top_k,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op2_url_filter": r"""
+        with captures as (
+            select row_number() over () as r, page_id,
+                lower(coalesce(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1), '')) as host,
+                cast(date '2024-01-01' + cast(page_id % 366 as integer) as date) as fetched_at
+            from pages
+        ), hosts as (
+            select distinct host as value, cast('0x' || substr(md5(host), 1, 4) as integer) as h from captures where host <> ''
+        ), turns as (
+            select value, true as listed, date '2024-01-01' + h % 200 as dated from hosts where h % 5 < 2
+            union all select value, false, date '2024-01-01' + (h % 200 + 40 + h % 50) from hosts where h % 5 < 2 and h % 3 = 0
+            union all select value, true, date '2024-01-01' + (h % 200 + 150) from hosts where h % 5 < 2 and h % 9 = 0
+            union all select 'example.net', true, date '2024-01-01' + 100
+            union all select 'example.net', false, date '2024-01-01' + 130
+        ), states as (
+            select value, dated, bool_or(listed) as listed from turns group by all
+        ), changes as (
+            select * from (select *, coalesce(lag(listed) over (partition by value order by dated), false) as before from states) where listed <> before
+        ), intervals as (
+            select value, dated as valid_from, valid_to from (select *, lead(dated) over (partition by value order by dated) as valid_to from changes) where listed
+        ), looked as (
+            select c.r, c.fetched_at, list_aggregate(list_slice(string_split(c.host, '.'), i, 99), 'string_agg', '.') as value
+            from captures c, unnest(generate_series(1, len(string_split(c.host, '.')))) as t(i) where c.host <> ''
+        ), hits as (
+            select r, count(*) as n, min({'value': l.value, 'since': i.valid_from}) as least
+            from looked l join intervals i on l.value = i.value and l.fetched_at >= i.valid_from and (i.valid_to is null or l.fetched_at < i.valid_to)
+            group by r
+        )
+        select page_id, host, fetched_at, n is not null as blocked, coalesce(n, 0) as n_entries,
+            least['value'] as entry, cast(least['since'] as date) as listed_since
+        from captures left join hits using (r)
+    """,
+    "op10_top_k": """
+        with vectors as (
+            select vec_id, min(list_transform(embedding, lambda x: cast(floor(cast(x as double) * 256) as bigint))) as v
+            from embeddings
+            where vec_id is not null and embedding is not null
+                and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+            group by vec_id
+        ), scored as (
+            select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) as bigint) as score
+            from vectors q join vectors c on q.vec_id <> c.vec_id
+            where q.vec_id % 50 = 0
+        ), ranked as (
+            select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored
+        )
+        select query_id, cast(rank as integer) as rank, vec_id, score from ranked where rank <= 5
+    """,
 }
-ORACLE_SQL: dict[str, str] = {}
