@@ -115,14 +115,9 @@ class Codec(ChunkEncoder):
 
     def __init__(self, path: str, pattern: str):
         super().__init__()
-        with open(path, "rb") as f:
-            pairs = [line.split() for line in f if line.strip()]
-        self.ranks = {base64.b64decode(token): int(rank) for token, rank in pairs}
-        self.tokens = [b""] * (max(self.ranks.values(), default=-1) + 1)
-        for token, rank in self.ranks.items():
-            self.tokens[rank] = token
+        self.ranks = read_ranks(path)
         self.find = regex.compile(pattern).findall
-        self.queue, self.many = RankQueue(len(self.tokens)), GroupQueue(len(self.tokens))
+        self.queue, self.many = RankQueue(max(self.ranks.values()) + 1), GroupQueue(max(self.ranks.values()) + 1)
         self.pieces: dict[str, bytes] = {}  # pre-token -> packed ids
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         rank_of = self.ranks.get
@@ -264,8 +259,21 @@ class Codec(ChunkEncoder):
             del known[piece]
         return out
 
-    def decode(self, ids: bytes | None) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, array("I", ids or b"")))
+
+def read_ranks(path: str) -> dict[bytes, int]:
+    """Token -> rank of a vocabulary file."""
+    with open(path, "rb") as f:
+        return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
+
+
+@functools.cache
+def token_bytes(path: str) -> list[bytes]:
+    """Tokens by id, for decoding."""
+    ranks = read_ranks(path)
+    tokens = [b""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        tokens[rank] = token
+    return tokens
 
 
 def packed(ids: list[int]) -> bytes:
@@ -296,12 +304,12 @@ def encode_bpe(
 
 
 def decode_bpe(
-    df: DataFrame, path: str, pattern: str, ids_col: str = "ids", bytes_col: str = "decoded", keep: list[str] | None = None
+    df: DataFrame, path: str, ids_col: str = "ids", bytes_col: str = "decoded", keep: list[str] | None = None
 ) -> DataFrame:
     """Add ``bytes_col``: the bytes that the packed ids stand for. Null ids give an empty binary."""
 
     def make():
-        decode = codec(path, pattern).decode
-        return lambda ids: [pa.array(map(decode, ids.to_pylist()), pa.binary())]
+        token = token_bytes(path).__getitem__
+        return lambda ids: [pa.array((b"".join(map(token, array("I", x.as_py() or b""))) for x in ids), pa.binary())]
 
     return add_columns(df, [ids_col], make, [T.StructField(bytes_col, T.BinaryType())], keep)
