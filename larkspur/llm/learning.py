@@ -7,7 +7,8 @@ size is a parameter of the model, never rows of the corpus.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, most_row
     share = min(1.0, most_rows / max(1, known.count()))
     taken = F.pmod(F.xxhash64(F.lit("sample"), quoted(id_col)), F.lit(1 << 20)) < int(share * (1 << 20) + 0.5)
     marks = known.filter(taken).groupBy(F.col(quoted(id_col)).alias("id")).agg(F.max(quoted(label_col)).cast("int").alias("label"))
-    texts = docs.filter(taken & F.col(quoted(text_col)).isNotNull()).groupBy(F.col(quoted(id_col)).alias("id")).agg(F.min(quoted(text_col)).alias("text"))
-    return texts.join(marks, "id")
+    texts = docs.filter(train & taken & F.col(quoted(text_col)).isNotNull()).select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"))
+    # the marks are the bounded sample itself, so that only its texts are shuffled
+    return texts.join(F.broadcast(marks), "id").groupBy("id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
 
 
 def fit_by_mixing(
@@ -52,21 +54,30 @@ def fit_by_mixing(
             yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), batch.column(0), batch.column(2)], names=["features", "label", "shard"])
 
     shard = F.pmod(F.xxhash64(F.lit("shard"), "id"), F.lit(SHARDS)).cast("int").alias("shard")
-    examples = settle(sample.select("label", "text", shard).mapInArrow(pack, "features binary, label int, shard int"))
-
-    def pass_over(now: Broadcast, epoch: int) -> Callable[[pa.Table], pa.Table]:
-        def one(group: pa.Table) -> pa.Table:
-            group = group.sort_by([("features", "ascending"), ("label", "ascending")])
-            mine = train({k: v.copy() for k, v in now.value.items()}, group["features"].to_pylist(), group["label"].to_numpy(), epoch)
-            return pa.table({"name": list(mine), "values": pa.array([v.tobytes() for v in mine.values()], pa.binary())})
+    examples = sample.select("label", "text", shard).mapInArrow(pack, "features binary, label int, shard int")
+    # dealt once: a partition is one shard, and the epochs need no shuffle
+    examples = settle(examples.repartitionByRange(SHARDS, "shard").sortWithinPartitions("features", "label"))
+
+    def pass_over(now: Broadcast, epoch: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            features, labels = [], []
+            for batch in batches:
+                features += batch.column(0).to_pylist()
+                labels.append(batch.column(1).to_numpy(zero_copy_only=False))
+            if features:
+                mine = train({k: v.copy() for k, v in now.value.items()}, features, np.concatenate(labels), epoch)
+                yield pa.RecordBatch.from_arrays([pa.array(list(mine)), pa.array([v.tobytes() for v in mine.values()], pa.binary())], names=["name", "values"])
 
         return one
 
     for epoch in range(epochs):
         now = spark.sparkContext.broadcast(state)
-        made: dict[str, list[np.ndarray]] = {}
-        for row in examples.groupBy("shard").applyInArrow(pass_over(now, epoch), "name string, values binary").collect():
-            made.setdefault(row["name"], []).append(np.frombuffer(row["values"], state[row["name"]].dtype))
-        state = {k: np.mean(made[k], axis=0, dtype=np.float64).astype(v.dtype).reshape(v.shape) if k in made else v for k, v in state.items()}
+        total: dict[str, np.ndarray] = {}
+        shards: Counter[str] = Counter()
+        for row in examples.mapInArrow(pass_over(now, epoch), "name string, values binary").collect():  # the parameters of each shard
+            part = np.frombuffer(row["values"], state[row["name"]].dtype).astype(np.float64)
+            total[row["name"]] = total.get(row["name"], 0) + part
+            shards[row["name"]] += 1
+        state = {k: (total[k] / shards[k]).astype(v.dtype).reshape(v.shape) if k in total else v for k, v in state.items()}
         now.destroy()
     return state

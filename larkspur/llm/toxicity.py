@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from larkspur.llm.learning import fit_by_mixing, labelled_sample
 from larkspur.llm.shared import add_columns, split_remainder
 
-BITS = 20
+BITS = 19
 CACHED_WORDS = 500_000
 NEXT, SKIP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
