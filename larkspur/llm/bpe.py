@@ -239,7 +239,7 @@ class Codec(ChunkEncoder):
     def encode_each(self, strings: list[str]) -> list[bytes]:
         find, known, new = self.find, self.pieces, {}
         if len(known) > CACHED_WORDS:
-            known.clear()
+            known = self.pieces = {}
         for string in strings:
             for piece in find(string):
                 if piece not in known:

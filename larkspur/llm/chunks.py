@@ -8,8 +8,10 @@ in which white space meets a space is encoded as a whole.
 
 from __future__ import annotations
 
-#: The cache is emptied before a batch when it holds more; a batch adds its own words at most.
-CACHED_WORDS = 300_000
+from string import punctuation
+
+#: When the cache holds more before a batch, a new generation begins and the one before the last is forgotten.
+CACHED_WORDS = 200_000
 #: Longer chunks and pre-tokens are not remembered.
 LONG = 64
 
@@ -17,25 +19,44 @@ LONG = 64
 class ChunkEncoder:
     def __init__(self) -> None:
         self.chunks: dict[str, bytes | None] = {}  # what stands after a space -> packed ids of the space and it
+        self.older: dict[str, bytes | None] = {}  # the generation before
 
     def encode_each(self, strings: list[str]) -> list[bytes]:
         """Packed ids of each string, without any cut at spaces."""
         raise NotImplementedError
 
     def learn(self, chunks: set[str]) -> None:
-        """Put the ids of new chunks, each after a space, into the cache; None where white space meets the space."""
-        good = []
+        """Put the ids of new chunks, each after a space, into the cache; None where white space meets the space.
+
+        What the generation before knows is taken over. Punctuation after a letter opens a match of its
+        own, so a word is encoded once with all that may follow it.
+        """
+        known, older = self.chunks, self.older
+        split, words, tails = [], set(), set()
         for chunk in chunks:
-            if not chunk or chunk[0].isspace() or chunk[-1].isspace():
-                self.chunks[chunk] = None
+            if chunk in older:
+                known[chunk] = older[chunk]
+            elif not chunk or chunk[0].isspace() or chunk[-1].isspace():
+                known[chunk] = None
             else:
-                good.append(chunk)
-        self.chunks.update(zip(good, self.encode_each([" " + c for c in good]), strict=True))
+                word = chunk.rstrip(punctuation)
+                if not word or not word[-1].isalpha():
+                    word = chunk
+                tail = chunk[len(word) :]
+                split.append((chunk, word, tail))
+                words.add(word)
+                tails.add(tail)
+        made = {w: ids for w in words if (ids := known.get(w) or older.get(w)) is not None}
+        new, ends = list(words.difference(made)), list(tails)
+        ids = self.encode_each([" " + w for w in new] + ends)
+        made.update(zip(new, ids, strict=False))
+        end = dict(zip(ends, ids[len(new) :], strict=True))
+        known.update((chunk, made[word] + end[tail] if tail else made[word]) for chunk, word, tail in split)
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; null counts as empty."""
         if len(self.chunks) > CACHED_WORDS:
-            self.chunks.clear()
+            self.chunks, self.older = {}, self.chunks
         new: set[str] = set()
         for text in texts:
             if text:

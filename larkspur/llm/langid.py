@@ -21,6 +21,8 @@ from larkspur.llm.shared import add_columns, quoted, settle, slices, split_remai
 
 ORDER = 4
 CACHED_WORDS = 300_000
+#: Words scored at once: each symbol takes a few numbers for each language meanwhile.
+AT_ONCE = 16_384
 DISCOUNT = 0.75
 PRIME = np.uint64(0x100000001B3)
 #: Characters of a word of which its score is made; a longer word counts as several words.
@@ -199,7 +201,8 @@ def entropies(df: DataFrame, model: Model, text_col: str = "text", keep: list[st
             cut = [(i, p[a : a + LONGEST]) for i, p in enumerate(parts) for a in range(0, len(p), LONGEST)]
             rows = np.zeros((len(new), size + 1))
             if cut:
-                scores = m.word_scores([p for _, p in cut])
+                words = [p for _, p in cut]
+                scores = np.concatenate([m.word_scores(words[a : a + AT_ONCE]) for a in range(0, len(words), AT_ONCE)])
                 for c in range(size + 1):
                     rows[:, c] = np.bincount([i for i, _ in cut], scores[:, c], len(new))
             known.update(zip(new, range(len(store["rows"]), len(store["rows"]) + len(new)), strict=True))
