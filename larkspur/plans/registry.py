@@ -29,9 +29,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded, and -0.0 made 0.0, so that the order of a sum doesn't show."""
-    floating = {"double", "float"}
-    return df.select(*[(F.round(F.col(f"`{c}`"), digits) + 0.0).alias(c) if t in floating else F.col(f"`{c}`") for c, t in df.dtypes])
+    """Doubles rounded, and -0.0 made 0.0, so that the order of a sum doesn't show.
+
+    The scaled double is rounded, not its shortest decimal form, as the oracle's round() does.
+    """
+    floating, scale = {"double", "float"}, F.lit(10.0**digits)
+    return df.select(*[(F.round(F.col(f"`{c}`") * scale) / scale + 0.0).alias(c) if t in floating else F.col(f"`{c}`") for c, t in df.dtypes])
 
 
 def every(column: str, n: int) -> Column:
