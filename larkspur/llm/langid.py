@@ -9,6 +9,7 @@ that was calibrated on texts the counts didn't see is marked as rejected.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +28,10 @@ DISCOUNT = 0.75
 PRIME = np.uint64(0x100000001B3)
 #: Characters of a word of which its score is made; a longer word counts as several words.
 LONGEST = 64
+#: Different words of a task whose n-grams are counted at once.
+COUNTED_WORDS = 100_000
+#: Numbers in a model's tables (n-grams of all orders by languages), which the driver and each worker hold; more are an error, not a cut.
+MOST_CELLS = 1 << 23
 
 
 def letters(word: str) -> str:
@@ -87,31 +92,42 @@ class Model:
         return out
 
 
-def count_grams(sample: DataFrame, order: int = ORDER) -> DataFrame:
+def count_grams(texts: DataFrame, order: int = ORDER) -> DataFrame:
     """lang, k, gram, context, rest and n of all n-grams; context: without the last symbol, rest: without the first."""
 
+    def counted(seen: dict[str, Counter[str]]) -> Iterator[pa.RecordBatch]:
+        for lang, raw in sorted(seen.items()):
+            own: Counter[str] = Counter()
+            for w, n in raw.items():
+                own[letters(w)] += n
+            own.pop("", None)
+            if not own:
+                continue
+            codes, word, start = symbols(list(own))
+            times, grams = np.fromiter(own.values(), np.int64, len(own)), gram_hashes(codes, start, order)
+            for k in range(order):
+                use = (grams[k] != 0) & ~start
+                gram, first, which = np.unique(grams[k][use], return_index=True, return_inverse=True)
+                n = np.bincount(which, times[word[use]], len(gram)).astype(np.int64)
+                at = np.flatnonzero(use)[first]
+                context = grams[k - 1][at - 1] if k else np.zeros(len(at), np.uint64)
+                rest = grams[k - 1][at] if k else np.zeros(len(at), np.uint64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(at)), pa.array(np.full(len(at), k + 1, np.int32)), *(pa.array(x.view(np.int64)) for x in (gram, context, rest)), pa.array(n)],
+                    names=["lang", "k", "gram", "context", "rest", "n"],
+                )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, Counter[str]] = {}
         for batch in (part for whole in batches for part in slices(whole, 2 << 20)):
-            langs = np.array(batch.column(0).to_pylist())
-            for lang in sorted(set(langs.tolist())):
-                texts = batch.column(1).filter(pa.array(langs == lang)).to_pylist()
-                words = [w for w in (letters(x) for t in texts for x in t.split()) if w]
-                if not words:
-                    continue
-                codes, _, start = symbols(words)
-                grams = gram_hashes(codes, start, order)
-                for k in range(order):
-                    use = (grams[k] != 0) & ~start
-                    gram, first, n = np.unique(grams[k][use], return_index=True, return_counts=True)
-                    at = np.flatnonzero(use)[first]
-                    context = grams[k - 1][at - 1] if k else np.zeros(len(at), np.uint64)
-                    rest = grams[k - 1][at] if k else np.zeros(len(at), np.uint64)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * len(at)), pa.array(np.full(len(at), k + 1, np.int32)), *(pa.array(x.view(np.int64)) for x in (gram, context, rest)), pa.array(n)],
-                        names=["lang", "k", "gram", "context", "rest", "n"],
-                    )
-
-    made = sample.select("lang", "text").mapInArrow(run, "lang string, k int, gram long, context long, rest long, n long")
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                seen.setdefault(lang, Counter()).update(text.split())
+            if sum(map(len, seen.values())) > COUNTED_WORDS:
+                yield from counted(seen)
+                seen = {}
+        yield from counted(seen)
+
+    made = texts.select("lang", "text").mapInArrow(run, "lang string, k int, gram long, context long, rest long, n long")
     return made.groupBy("lang", "k", "gram", "context", "rest").agg(F.sum("n").alias("n"))
 
 
@@ -130,57 +146,70 @@ def kneser_ney(grams: DataFrame, order: int = ORDER) -> DataFrame:
     )
 
 
-def arrays(rows: DataFrame, langs: list[str], order: int) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndarray]], np.ndarray]:
-    """Interpolated probabilities and backoff weights as sorted arrays. ``rows`` come from a bounded sample and so are bounded."""
-    table = rows.toPandas()
-    size = len(langs)
-    tables, floor = [], np.zeros(size)
-    lower: tuple[np.ndarray, np.ndarray] | None = None
-    weights: list[np.ndarray] = []
+def interpolated(own: DataFrame, n_symbols: int, order: int) -> DataFrame:
+    """lang, k, gram, its log probability with those of the shorter n-grams, and its log backoff weight as a context (0: none)."""
+    level = own.filter("k = 1").withColumn("p", F.col("p") + F.col("gamma") / (n_symbols + 1)).select("lang", "k", "gram", "p")
+    levels = [level]
+    for k in range(2, order + 1):
+        lower = level.select("lang", F.col("gram").alias("rest"), F.col("p").alias("lower"))
+        level = own.filter(F.col("k") == k).join(lower, ["lang", "rest"]).select("lang", "k", "gram", (F.col("p") + F.col("gamma") * F.col("lower")).alias("p"))
+        levels.append(level)
+    out = levels[0]
+    for x in levels[1:]:
+        out = out.unionByName(x)
+    weights = own.filter("k > 1").groupBy("lang", (F.col("k") - 1).alias("k"), F.col("context").alias("gram")).agg(F.max("gamma").alias("gamma"))
+    return out.join(weights, ["lang", "k", "gram"], "left").select("lang", "k", "gram", F.log("p").alias("p"), F.coalesce(F.log("gamma"), F.lit(0.0)).alias("weight"))
+
+
+def arrays(own: DataFrame, langs: list[str], order: int, most_cells: int = MOST_CELLS) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndarray]], np.ndarray]:
+    """Interpolated probabilities and backoff weights as sorted arrays of at most ``most_cells`` numbers each."""
+    sizes = {r["k"]: r["n"] for r in own.groupBy("k").agg(F.count_distinct("gram").alias("n")).toLocalIterator()}
+    if sum(sizes.values()) * len(langs) > most_cells:
+        raise ValueError(f"{sum(sizes.values())} n-grams in {len(langs)} languages are more than {most_cells} numbers; raise most_cells, or lower the order")
+    floor = np.full(len(langs), -np.log(sizes.get(1, 0) + 1))
+    for r in own.filter("k = 1").groupBy("lang").agg(F.max("gamma").alias("gamma")).toLocalIterator():
+        floor[langs.index(r["lang"])] += np.log(r["gamma"])
+    number = F.array_position(F.array(*[F.lit(x) for x in langs]), F.col("lang")).cast("int").alias("lang")
+    table = interpolated(own, sizes.get(1, 0), order).select(number, "k", "gram", "p", "weight").toArrow()
+    orders, tables = table["k"].to_numpy(), []
     for k in range(1, order + 1):
-        own = table[table["k"] == k]
-        number = own["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(np.int64)
-        gram, rest, context = (own[c].to_numpy(np.int64).view(np.uint64) for c in ("gram", "rest", "context"))
-        p, gamma = own["p"].to_numpy(float), own["gamma"].to_numpy(float)
-        hashes = np.unique(gram)
-        seen = np.full((len(hashes), size), np.nan)
-        if k == 1:
-            for i in range(size):
-                g = gamma[number == i]
-                share = (g[0] if len(g) else 1.0) / (len(hashes) + 1)
-                floor[i] = np.log(share)
-                p = np.where(number == i, p + share, p)
-        else:
-            at = np.searchsorted(lower[0], rest)
-            p = p + gamma * np.exp(lower[1][at, number])
-            before = weights[-1]
-            before[np.searchsorted(lower[0], context[np.isin(context, lower[0])]), number[np.isin(context, lower[0])]] = np.log(gamma[np.isin(context, lower[0])])
-        seen[np.searchsorted(hashes, gram), number] = np.log(p)
-        weights.append(np.zeros((len(hashes), size)))
-        lower = hashes, seen
-        tables.append((hashes, seen, weights[-1]))
+        lang, gram, p, weight = (table[c].to_numpy()[orders == k] for c in ("lang", "gram", "p", "weight"))
+        hashes, at = np.unique(gram.view(np.uint64), return_inverse=True)
+        seen, weights = np.full((len(hashes), len(langs)), np.nan), np.zeros((len(hashes), len(langs)))
+        seen[at, lang - 1], weights[at, lang - 1] = p, weight
+        tables.append((hashes, seen, weights))
     return tables, floor
 
 
-def fit(docs: DataFrame, most_rows: int = 2_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER) -> Model:
-    """Models from about ``most_rows`` texts of each language (the bound), none of them in the held-out quarter.
+def fit(
+    docs: DataFrame, most_rows: int | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, most_cells: int = MOST_CELLS
+) -> Model:
+    """Models from all different texts of each language outside the held-out quarter, or about ``most_rows`` of each if that is given.
 
-    Texts are taken by their hash, and equal ones once. Every eighth of them isn't counted but used to
-    calibrate the bound of rejection: mean and four deviations of the cross-entropy in its own language.
+    What is held in memory are the n-grams, at most ``most_cells`` numbers. Every eighth text, by hash,
+    isn't counted but used to calibrate the bound of rejection: mean and four deviations of the
+    cross-entropy in its own language.
     """
     lang, text = F.col(quoted(lang_col)), F.col(quoted(text_col))
     known = docs.filter(F.expr(f"{split_remainder(id_col)} <> 2") & lang.isNotNull() & text.isNotNull()).select(lang.alias("lang"), text.alias("text"))
-    share = {r["lang"]: min(1.0, most_rows / r["n"]) for r in known.groupBy("lang").agg(F.count("*").alias("n")).toLocalIterator()}
-    langs = sorted(share)
+    if most_rows is None:
+        langs = sorted(r["lang"] for r in known.select("lang").distinct().toLocalIterator())
+    else:
+        different = known.select("lang", F.xxhash64("text").alias("h")).distinct().groupBy("lang").agg(F.count("*").alias("n"))
+        share = {r["lang"]: min(1.0, most_rows / r["n"]) for r in different.toLocalIterator()}
+        langs = sorted(share)
     if not langs:
         return Model([], [], np.zeros(0), np.zeros(0))
-    draw = F.pmod(F.xxhash64(F.lit("lang"), "text"), F.lit(1 << 20)) / float(1 << 20)
-    limit = F.coalesce(*[F.when(F.col("lang") == x, F.lit(s)) for x, s in share.items()])
-    sample = settle(known.filter(draw < limit).distinct().withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "text"), F.lit(8))))
-    tables, floor = arrays(kneser_ney(count_grams(sample.filter("fold > 0"), order), order), langs, order)
+    if most_rows is not None:
+        draw = F.pmod(F.xxhash64(F.lit("lang"), "text"), F.lit(1 << 20)) / float(1 << 20)
+        known = known.filter(draw < F.coalesce(*[F.when(F.col("lang") == x, F.lit(s)) for x, s in share.items()]))
+    fold = F.pmod(F.xxhash64(F.lit("fold"), "text"), F.lit(8))
+    # each text is dealt by its whole content once: the counted ones here, the others below
+    own = settle(kneser_ney(settle(count_grams(known.filter(fold > 0).distinct(), order)), order))
+    tables, floor = arrays(own, langs, order, most_cells)
     model = Model(langs, tables, floor, np.full(len(langs), np.inf))
-    own = F.element_at("entropies", F.array_position(F.array(*[F.lit(x) for x in langs]), F.col("lang")).cast("int"))
-    judged = entropies(sample.filter("fold = 0"), model).withColumn("own", own).filter("own is not null")
+    of_lang = F.element_at("entropies", F.array_position(F.array(*[F.lit(x) for x in langs]), F.col("lang")).cast("int"))
+    judged = entropies(known.filter(fold == 0).distinct(), model).withColumn("own", of_lang).filter("own is not null")
     for r in judged.groupBy("lang").agg(F.avg("own").alias("m"), F.stddev_pop("own").alias("s")).toLocalIterator():
         model.bound[langs.index(r["lang"])] = r["m"] + 4 * max(r["s"], 0.02)
     return model
