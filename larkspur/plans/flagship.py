@@ -17,13 +17,15 @@ ROLES = {
     "y": R.make("target"), "fold": R.make("folds"), "c_mktsegment": R.category(), "o_orderpriority": R.category(),
     "o_totalprice": R.numeric(), "c_acctbal": R.numeric(), "o_orderdate": R.datetime(),
 }
+#: Folds that ``credit_frame`` deals; whoever validates takes them all.
+FOLDS = 5
 
 
 def credit_frame(spark: SparkSession, sf: str) -> Frame:
     """orders with their customers: is an order finished?"""
     customers = table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment", "c_acctbal")
     df = table(spark, sf, "orders").join(customers, "o_custkey").select(
-        "o_orderkey", (F.col("o_orderstatus") == "F").cast("int").alias("y"), (F.col("o_orderkey") % 5).cast("int").alias("fold"),
+        "o_orderkey", (F.col("o_orderstatus") == "F").cast("int").alias("y"), (F.col("o_orderkey") % FOLDS).cast("int").alias("fold"),
         "c_mktsegment", "o_orderpriority", "o_totalprice", "c_acctbal", F.col("o_orderdate").cast("timestamp").alias("o_orderdate"),
     )
     return Frame(df, ROLES, ["o_orderkey"])

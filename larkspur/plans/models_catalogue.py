@@ -9,7 +9,7 @@ from larkspur import roles as R
 from larkspur.frame import Frame
 from larkspur.operators import blending, models, selection, text, validation, vectors
 from larkspur.plans import automl, timeseries, uplift
-from larkspur.plans.flagship import ROLES, credit_frame
+from larkspur.plans.flagship import FOLDS, ROLES, credit_frame
 from larkspur.plans.reader import Reader, class_codes
 from larkspur.plans.registry import query, rounded, table
 from larkspur.sources.readers import read_data, read_sql
@@ -174,19 +174,19 @@ def ready(spark: SparkSession, sf: str) -> Frame:
 @query()
 def lr_oof(spark: SparkSession, sf: str) -> DataFrame:
     f = ready(spark, sf)
-    return models.OutOfFold(models.Algorithm("linear"), models.Task("binary")).fit_predict(f, validation.k_folds("fold", 3)).select("o_orderkey", "y", "fold", "p")
+    return models.OutOfFold(models.Algorithm("linear"), models.Task("binary")).fit_predict(f, validation.k_folds("fold", FOLDS)).select("o_orderkey", "y", "fold", "p")
 
 
 @query()
 def gbt_oof(spark: SparkSession, sf: str) -> DataFrame:
     f = automl.simple_features().fit_transform(credit_frame(spark, sf))
-    return models.OutOfFold(models.Algorithm("gbt", {"maxIter": 5}), models.Task("binary")).fit_predict(f, validation.k_folds("fold", 2)).select("o_orderkey", "y", "fold", "p")
+    return models.OutOfFold(models.Algorithm("gbt", {"maxIter": 5}), models.Task("binary")).fit_predict(f, validation.k_folds("fold", FOLDS)).select("o_orderkey", "y", "fold", "p")
 
 
 @query()
 def rf_oof(spark: SparkSession, sf: str) -> DataFrame:
     f = automl.simple_features().fit_transform(credit_frame(spark, sf))
-    return models.OutOfFold(models.Algorithm("forest", {"numTrees": 10, "maxDepth": 5}), models.Task("binary")).fit_predict(f, validation.k_folds("fold", 2)).select("o_orderkey", "y", "fold", "p")
+    return models.OutOfFold(models.Algorithm("forest", {"numTrees": 10, "maxDepth": 5}), models.Task("binary")).fit_predict(f, validation.k_folds("fold", FOLDS)).select("o_orderkey", "y", "fold", "p")
 
 
 @query()
