@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.ordered import quantiles
@@ -31,7 +31,8 @@ def last_child(parent: DataFrame, key: str, child: DataFrame, child_key: str, or
 def children(parent: DataFrame, key: str, child: DataFrame, child_key: str, order: list[str], columns: list[str], name: str, most: int = 10_000) -> DataFrame:
     """The child rows as an array of structs in ``order``; empty without any.
 
-    An array lives in one row: parents with more than ``most`` children are an error, not a cut.
+    An array lives in one row: parents with more than ``most`` children are an error, not a cut
+    (``children_in_chunks`` takes them).
     """
     entry = F.struct(*[F.col(c).alias(f"o{k}") for k, c in enumerate(order)], F.struct(*columns).alias("row"))
     counted = child.groupBy(F.col(child_key).alias("k_")).agg(F.count("*").alias("n_"))
@@ -41,6 +42,19 @@ def children(parent: DataFrame, key: str, child: DataFrame, child_key: str, orde
     return out.withColumn(name, F.coalesce(F.transform("l_", lambda x: x["row"]), F.expr("array()"))).drop("l_")
 
 
+def children_in_chunks(parent: DataFrame, key: str, child: DataFrame, child_key: str, order: list[str], columns: list[str], name: str, most: int = 10_000, chunk: str = "chunk") -> DataFrame:
+    """As ``children``, for parents with any number of them: several rows, numbered from 0 in ``chunk``, of at most ``most`` children each, in ``order``.
+
+    What is made of each row's array is put together by an aggregation over the parent's key.
+    """
+    entry = F.struct(*[F.col(c).alias(f"o{k}") for k, c in enumerate(order)], F.struct(*columns).alias("row"))
+    place = F.row_number().over(Window.partitionBy(child_key).orderBy(*order))
+    dealt = child.select(F.col(child_key).alias("k_"), F.floor((place - 1) / most).cast("int").alias(chunk), entry.alias("e_"))
+    lists = dealt.groupBy("k_", chunk).agg(F.array_sort(F.collect_list("e_")).alias("l_"))
+    out = parent.join(lists, F.col(key) == F.col("k_"), "left").drop("k_").withColumn(chunk, F.coalesce(chunk, F.lit(0)))
+    return out.withColumn(name, F.coalesce(F.transform("l_", lambda x: x["row"]), F.expr("array()"))).drop("l_")
+
+
 def apply_to_children(df: DataFrame, name: str, made: str, start: Column, merge) -> DataFrame:
     """A value folded over the array of each row."""
     return df.withColumn(made, F.aggregate(F.col(name), start, merge))

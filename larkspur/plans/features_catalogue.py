@@ -322,9 +322,10 @@ def fk_lookup_last(spark: SparkSession, sf: str) -> DataFrame:
 def fk_collect(spark: SparkSession, sf: str) -> DataFrame:
     parent = table(spark, sf, "orders").filter("o_orderkey % 10 = 0").select("o_orderkey")
     child = table(spark, sf, "lineitem").filter("l_orderkey % 20 = 0")
-    made = J.children(parent, "o_orderkey", child, "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey"], ["l_quantity"], "lines")
+    made = J.children_in_chunks(parent, "o_orderkey", child, "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey"], ["l_quantity"], "lines")
     made = J.apply_to_children(made, "lines", "total", F.lit(0.0), lambda a, x: a + x["l_quantity"])
-    return rounded(made.select("o_orderkey", F.size("lines").alias("steps"), "total"), 4)
+    made = made.groupBy("o_orderkey").agg(F.sum(F.size("lines")).cast("int").alias("steps"), F.sum("total").alias("total"))
+    return rounded(made.select("o_orderkey", "steps", "total"), 4)
 
 
 def star(spark: SparkSession, sf: str) -> dict[str, J.Table]:
