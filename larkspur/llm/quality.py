@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from larkspur.llm.learning import fit_by_mixing, labelled_sample
 from larkspur.llm.shared import add_columns, split_remainder
 
-BITS, RANK = 16, 4
+BITS, RANK = 18, 4
 CACHED_WORDS = 500_000
 #: Character classes by byte: lower, upper, digit, white space, line end, other ASCII, part of a longer character.
 KINDS = np.full(256, 5, np.uint8)
