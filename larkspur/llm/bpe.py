@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import functools
 from array import array
+from collections.abc import Iterator
 from heapq import heappop, heappush
 
 import numpy as np
@@ -21,9 +22,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from larkspur.llm.chunks import CACHED_WORDS, LONG, ChunkEncoder
+from larkspur.llm.chunks import LONG, ByteCache, ChunkEncoder, cuts_at_spaces
 from larkspur.llm.shared import add_columns
 
+#: Bytes of pre-tokens that are merged side by side; they take about 50 times as much meanwhile.
+MERGED_BYTES = 1 << 20
+#: Bytes of the pre-tokens that are remembered.
+PIECE_BYTES = 8 << 20
+
+
 class Bitmap:
     """The set of ranks in use, on three levels of 64 children; the lowest is found in constant time."""
 
@@ -117,8 +124,9 @@ class Codec(ChunkEncoder):
         super().__init__()
         self.ranks = read_ranks(path)
         self.find = regex.compile(pattern).findall
+        self.cut = cuts_at_spaces(self.find)
         self.queue, self.many = RankQueue(max(self.ranks.values()) + 1), GroupQueue(max(self.ranks.values()) + 1)
-        self.pieces: dict[str, bytes] = {}  # pre-token -> packed ids
+        self.pieces = ByteCache(PIECE_BYTES)  # pre-token -> packed ids
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         rank_of = self.ranks.get
         pairs = {
@@ -237,27 +245,49 @@ class Codec(ChunkEncoder):
         return np.where(self.pair_keys[at] == keys, self.pair_rank[at], -1).astype(np.int32)
 
     def encode_each(self, strings: list[str]) -> list[bytes]:
-        find, known, new = self.find, self.pieces, {}
-        if len(known) > CACHED_WORDS:
-            known = self.pieces = {}
-        for string in strings:
-            for piece in find(string):
-                if piece not in known:
-                    new[piece] = piece.encode("utf-8", "surrogatepass")
-        short = []
-        for piece, data in new.items():
-            if (whole := self.ranks.get(data)) is not None:
-                known[piece] = whole.to_bytes(4, "little")
+        find, known, rank_of = self.find, self.pieces, self.ranks.get
+        split = [find(s) for s in strings]
+        made: dict[str, bytes | None] = {}
+        again: set[str] = set()
+        for pieces in split:
+            for piece in pieces:
+                if piece in made:
+                    again.add(piece)
+                else:
+                    made[piece] = known.get(piece)
+        short: list[str] = []
+        for piece in [p for p, ids in made.items() if ids is None]:
+            data = piece.encode("utf-8", "surrogatepass")
+            if (whole := rank_of(data)) is not None:
+                made[piece] = whole.to_bytes(4, "little")
             elif len(data) > LONG:
-                known[piece] = packed(self.merge(data))
+                made[piece] = packed(self.merge(data))
             else:
                 short.append(piece)
-        if short:
-            known.update(zip(short, self.merge_many([new[p] for p in short]), strict=True))
-        out = [b"".join(map(known.__getitem__, find(string))) for string in strings]
-        for piece in [p for p in new if len(p) > LONG]:
-            del known[piece]
-        return out
+        for part in runs(short, MERGED_BYTES):
+            made.update(zip(part, self.merge_many([p.encode("utf-8", "surrogatepass") for p in part]), strict=True))
+        for piece in again:
+            if len(piece) <= LONG and piece not in known:
+                known.remember(piece, made[piece])
+        return [made[p[0]] if len(p) == 1 else b"".join(map(made.__getitem__, p)) for p in split]
+
+    @functools.cached_property
+    def tokens(self) -> list[bytes]:
+        """Tokens by id, for decoding; the same objects as the keys of ``ranks``."""
+        return by_id(self.ranks)
+
+
+def runs(strings: list[str], most_chars: int) -> Iterator[list[str]]:
+    """The strings in runs of about ``most_chars``."""
+    run, held = [], 0
+    for s in strings:
+        run.append(s)
+        held += len(s)
+        if held >= most_chars:
+            yield run
+            run, held = [], 0
+    if run:
+        yield run
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -266,16 +296,19 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
 
 
-@functools.cache
-def token_bytes(path: str) -> list[bytes]:
-    """Tokens by id, for decoding."""
-    ranks = read_ranks(path)
+def by_id(ranks: dict[bytes, int]) -> list[bytes]:
     tokens = [b""] * (max(ranks.values()) + 1)
     for token, rank in ranks.items():
         tokens[rank] = token
     return tokens
 
 
+@functools.cache
+def token_bytes(path: str) -> list[bytes]:
+    """Tokens by id, for decoding."""
+    return by_id(read_ranks(path))
+
+
 def packed(ids: list[int]) -> bytes:
     return b"".join([i.to_bytes(4, "little") for i in ids])
 
@@ -286,21 +319,37 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
+def decoded(ids: bytes | None, tokens: list[bytes]) -> bytes:
+    """The bytes that packed ids stand for."""
+    return b"".join(map(tokens.__getitem__, array("I", ids or b"")))
+
+
 def encode_bpe(
-    df: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", keep: list[str] | None = None
+    df: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", keep: list[str] | None = None, bytes_col: str | None = None
 ) -> DataFrame:
     """Add ``ids_col``: the whole text's token ids, packed as little-endian unsigned 32-bit integers.
 
-    Every match of ``pattern`` is merged separately, without special tokens. A null or empty text has
-    no ids (an empty binary). Repeated rows are encoded each; a column that is called ``ids_col``
-    already is replaced. ``path`` must be readable on the executors.
+    Every match of ``pattern`` is merged separately, without special tokens; the matches must cover the
+    whole text. A null or empty text has no ids (an empty binary). Repeated rows are encoded each;
+    columns that have the new names already are replaced. ``path`` must be readable on the executors.
+    With ``bytes_col`` the ids just made are decoded into that column in the same pass, as
+    :func:`decode_bpe` does, so that one Python worker and one vocabulary serve both.
     """
+    names = [ids_col] + [bytes_col] * (bytes_col is not None)
 
     def make():
-        encode = codec(path, pattern).encode_all
-        return lambda texts: [pa.array(encode(texts.to_pylist()), pa.binary())]
+        own = codec(path, pattern)
+
+        def work(texts: pa.Array) -> list:
+            ids = own.encode_all(texts.to_pylist())
+            made = [pa.array(ids, pa.binary())]
+            if bytes_col is not None:
+                made.append(pa.array((decoded(x, own.tokens) for x in ids), pa.binary()))
+            return made
+
+        return work
 
-    return add_columns(df, [text_col], make, [T.StructField(ids_col, T.BinaryType())], keep)
+    return add_columns(df, [text_col], make, [T.StructField(n, T.BinaryType()) for n in names], keep)
 
 
 def decode_bpe(
@@ -309,7 +358,7 @@ def decode_bpe(
     """Add ``bytes_col``: the bytes that the packed ids stand for. Null ids give an empty binary."""
 
     def make():
-        token = token_bytes(path).__getitem__
-        return lambda ids: [pa.array((b"".join(map(token, array("I", x.as_py() or b""))) for x in ids), pa.binary())]
+        tokens = token_bytes(path)
+        return lambda ids: [pa.array((decoded(x.as_py(), tokens) for x in ids), pa.binary())]
 
     return add_columns(df, [ids_col], make, [T.StructField(bytes_col, T.BinaryType())], keep)

@@ -1,73 +1,123 @@
-"""Encoding of texts chunk by chunk, with a bounded cache.
+"""Encoding of texts chunk by chunk, with a cache that is bounded in bytes.
 
-The split pattern of byte-level vocabularies never lets a match run past a space that stands between
-two characters that aren't white space, and that space opens the next match. Texts are therefore
-cut at single spaces and each chunk, with the space before it, is encoded once and remembered. A text
-in which white space meets a space is encoded as a whole.
+The split pattern of common byte-level vocabularies never lets a match run past a space that stands
+between two characters that aren't white space, and that space opens the next match. Texts are
+therefore cut at single spaces, and each chunk is encoded with the space before it. A text in which
+white space meets a space is encoded as a whole. A pattern that doesn't treat such spaces so is found
+out by :func:`cuts_at_spaces`, and then every text is encoded as a whole.
+
+Texts are encoded in groups of a bounded number of characters. What occurs more than once in a group
+is remembered for later groups; the bytes of all that is remembered are counted as it is added.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Callable, Iterator
 from string import punctuation
 
-#: When the cache holds more before a batch, a new generation begins and the one before the last is forgotten.
-CACHED_WORDS = 200_000
+#: Bytes that a cache may hold, with OVERHEAD for each entry; before it would hold more it is emptied.
+CACHE_BYTES = 24 << 20
+OVERHEAD = 200
+#: Characters of the texts that are encoded at once; a longer text is a group of its own.
+GROUP_CHARS = 3 << 20
 #: Longer chunks and pre-tokens are not remembered.
 LONG = 64
 
 
+class ByteCache(dict):
+    """A dictionary from strings to packed ids that counts its bytes and is emptied before it exceeds ``most``."""
+
+    def __init__(self, most: int = CACHE_BYTES):
+        super().__init__()
+        self.most, self.held = most, 0
+
+    def remember(self, key: str, ids: bytes | None) -> None:
+        size = OVERHEAD + 2 * len(key) + len(ids or b"")
+        if self.held + size > self.most:
+            self.clear()
+            self.held = 0
+        self[key] = ids
+        self.held += size
+
+
+def cuts_at_spaces(find: Callable[[str], list[str]]) -> bool:
+    """Whether the pattern splits before a single space between any two of some characters of each kind."""
+    kinds = ["a", "Z", "é", "漢", "ß", "1", "٣", "²", ".", "'", "-", "(", "_", "€", "😀", "́", "’", "'s", "can't", "1,2", "a1", "\x00"]
+    return all(find(f"{x} {y}") == find(x) + find(f" {y}") for x in kinds for y in kinds)
+
+
+def groups(texts: list[str | None], most_chars: int = GROUP_CHARS) -> Iterator[list[str | None]]:
+    group, held = [], 0
+    for text in texts:
+        size = len(text or "")
+        if group and held + size > most_chars:
+            yield group
+            group, held = [], 0
+        group.append(text)
+        held += size
+    if group:
+        yield group
+
+
 class ChunkEncoder:
-    def __init__(self) -> None:
-        self.chunks: dict[str, bytes | None] = {}  # what stands after a space -> packed ids of the space and it
-        self.older: dict[str, bytes | None] = {}  # the generation before
+    cut = True  # whether the pattern lets texts be cut at single spaces
+
+    def __init__(self, cache_bytes: int = CACHE_BYTES) -> None:
+        self.chunks = ByteCache(cache_bytes)  # what stands after a space -> packed ids of the space and it
 
     def encode_each(self, strings: list[str]) -> list[bytes]:
         """Packed ids of each string, without any cut at spaces."""
         raise NotImplementedError
 
-    def learn(self, chunks: set[str]) -> None:
-        """Put the ids of new chunks, each after a space, into the cache; None where white space meets the space.
+    def learn(self, chunks: list[str]) -> dict[str, bytes | None]:
+        """The ids of chunks, each after a space; None where white space meets the space.
 
-        What the generation before knows is taken over. Punctuation after a letter opens a match of its
-        own, so a word is encoded once with all that may follow it.
+        Punctuation after a letter opens a match of its own, so a word is encoded once with all that
+        may follow it.
         """
-        known, older = self.chunks, self.older
+        known = self.chunks
+        made: dict[str, bytes | None] = {}
         split, words, tails = [], set(), set()
         for chunk in chunks:
-            if chunk in older:
-                known[chunk] = older[chunk]
-            elif not chunk or chunk[0].isspace() or chunk[-1].isspace():
-                known[chunk] = None
+            if not chunk or chunk[0].isspace() or chunk[-1].isspace():
+                made[chunk] = None
             else:
                 word = chunk.rstrip(punctuation)
                 if not word or not word[-1].isalpha():
                     word = chunk
-                tail = chunk[len(word) :]
-                split.append((chunk, word, tail))
+                split.append((chunk, word, chunk[len(word) :]))
                 words.add(word)
-                tails.add(tail)
-        made = {w: ids for w in words if (ids := known.get(w) or older.get(w)) is not None}
-        new, ends = list(words.difference(made)), list(tails)
+                tails.add(split[-1][2])
+        stem = {w: ids for w in words if (ids := known.get(w)) is not None}
+        new, ends = list(words.difference(stem)), list(tails)
         ids = self.encode_each([" " + w for w in new] + ends)
-        made.update(zip(new, ids, strict=False))
+        stem.update(zip(new, ids, strict=False))
         end = dict(zip(ends, ids[len(new) :], strict=True))
-        known.update((chunk, made[word] + end[tail] if tail else made[word]) for chunk, word, tail in split)
+        made.update((chunk, stem[word] + end[tail] if tail else stem[word]) for chunk, word, tail in split)
+        return made
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; null counts as empty."""
-        if len(self.chunks) > CACHED_WORDS:
-            self.chunks, self.older = {}, self.chunks
-        new: set[str] = set()
+        if not self.cut:
+            return [x for group in groups(texts) for x in self.encode_each([t or "" for t in group])]
+        return [x for group in groups(texts) for x in self.encode_group(group)]
+
+    def encode_group(self, texts: list[str | None]) -> list[bytes]:
+        times: Counter[str] = Counter()
         for text in texts:
             if text:
-                new.update(set(text.split(" ")[1:]).difference(self.chunks))
-        self.learn(new)
+                times.update(text.split(" ")[1:])
+        known = self.chunks
+        ids_of = {c: known[c] for c in times if c in known}
+        made = self.learn([c for c in times if c not in ids_of])
+        ids_of.update(made)
         out: list[bytes] = []
         first: list[tuple[int, str]] = []  # what is still to be encoded as a whole, and put before the rest
         for text in texts:
             start, *rest = text.split(" ") if text else [""]
             try:
-                ids = b"".join(map(self.chunks.__getitem__, rest))
+                ids = b"".join(map(ids_of.__getitem__, rest))
                 if start[-1:].isspace():
                     start, ids = text, b""
             except TypeError:  # a chunk without ids of its own
@@ -77,6 +127,7 @@ class ChunkEncoder:
             out.append(ids)
         for (k, _), ids in zip(first, self.encode_each([x for _, x in first]), strict=True):
             out[k] = ids + out[k]
-        for chunk in [c for c in new if len(c) > LONG]:
-            del self.chunks[chunk]
+        for chunk, ids in made.items():
+            if times[chunk] > 1 and len(chunk) <= LONG:
+                known.remember(chunk, ids)
         return out

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.bpe import decode_bpe, encode_bpe
+from larkspur.llm.bpe import encode_bpe
 from larkspur.llm.langid import language_of_documents
 from larkspur.llm.media import media_columns
 from larkspur.llm.ngram_join import ngram_join
@@ -24,8 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    ids = encode_bpe(table(spark, sf_dir, "documents"), *vocabulary, keep=["doc_id"])
-    return decode_bpe(ids, vocabulary[0]).select(
+    return encode_bpe(table(spark, sf_dir, "documents"), *vocabulary, keep=["doc_id"], bytes_col="decoded").select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

@@ -11,7 +11,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from larkspur.llm.bpe import codec, decode_bpe, encode_bpe
+from larkspur.llm.bpe import Codec, codec, decode_bpe, encode_bpe
+from larkspur.llm.chunks import OVERHEAD, ByteCache
 from larkspur.llm.media import features, from_wav, media_columns, to_wav
 from larkspur.llm.packing import cut_documents, encoder, first_fit_decreasing, pack_documents
 
@@ -57,6 +58,34 @@ def test_encode_then_decode(docs, no_docs, library):
     assert encode_bpe(no_docs, PATH, P.PATTERN).count() == 0
 
 
+def test_encoding_and_decoding_in_one_pass(docs, spark):
+    rows = docs.select("doc_id", "text")
+    apart = decode_bpe(encode_bpe(rows, PATH, P.PATTERN), PATH, bytes_col="back")
+    assert encode_bpe(rows, PATH, P.PATTERN, bytes_col="back").exceptAll(apart).count() == 0
+
+
+def test_caches_stay_within_their_bytes(library):
+    small = Codec(PATH, P.PATTERN)
+    small.chunks, small.pieces = ByteCache(20_000), ByteCache(5_000)
+    texts = [" ".join(f"w{k * j % 997}x{j % 89}" for j in range(400)) + "  end\n\nof it" for k in range(30)]
+    for _ in range(3):
+        assert [array("I", x).tolist() for x in small.encode_all(texts)] == [library.encode_ordinary(t) for t in texts]
+        for cache in (small.chunks, small.pieces):
+            assert cache.held == sum(OVERHEAD + 2 * len(k) + len(v or b"") for k, v in cache.items()) <= cache.most
+
+
+def test_a_pattern_that_crosses_spaces_is_not_cut():
+    import tiktoken
+
+    crossing = r"[a-z]+ [a-z]+|\s+|\S"
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(PATH, "rb"))}
+    other = tiktoken.Encoding("other", pat_str=crossing, mergeable_ranks=ranks, special_tokens={})
+    ours = Codec(PATH, crossing)
+    assert codec(PATH, P.PATTERN).cut and not ours.cut
+    for text in ("in the end of it all", "A b c", "of the. of the"):
+        assert array("I", ours.encode_all([text])[0]).tolist() == other.encode_ordinary(text)
+
+
 def test_packing_is_lossless(docs, no_docs, tokenizer):
     pieces = pack_documents(docs, JSON, with_ids=True, group_pieces=8).collect()
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
