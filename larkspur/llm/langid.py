@@ -26,10 +26,10 @@ CACHED_WORDS = 300_000
 AT_ONCE = 16_384
 DISCOUNT = 0.75
 PRIME = np.uint64(0x100000001B3)
-#: Characters of a word of which its score is made; a longer word counts as several words.
+#: Letters of a word at most, in counting as in scoring; a longer word is several words.
 LONGEST = 64
 #: Different words of a task whose n-grams are counted at once.
-COUNTED_WORDS = 100_000
+COUNTED_WORDS = 200_000
 #: Numbers in a model's tables (n-grams of all orders by languages), which the driver and each worker hold; more are an error, not a cut.
 MOST_CELLS = 1 << 23
 
@@ -38,6 +38,12 @@ def letters(word: str) -> str:
     return "".join(filter(str.isalpha, word)).lower()
 
 
+def cut(word: str) -> list[str]:
+    """The letters of a word in parts of at most LONGEST; none without letters."""
+    own = letters(word)
+    return [own] if 0 < len(own) <= LONGEST else [own[a : a + LONGEST] for a in range(0, len(own), LONGEST)]
+
+
 def symbols(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Code points of the words with the marks 2 (start) and 3 (end), each symbol's word, and whether it is a start."""
     marked = "".join(["\x02" + w + "\x03" for w in words])
@@ -99,16 +105,19 @@ def count_grams(texts: DataFrame, order: int = ORDER) -> DataFrame:
         for lang, raw in sorted(seen.items()):
             own: Counter[str] = Counter()
             for w, n in raw.items():
-                own[letters(w)] += n
-            own.pop("", None)
+                for part in cut(w):
+                    own[part] += n
             if not own:
                 continue
             codes, word, start = symbols(list(own))
             times, grams = np.fromiter(own.values(), np.int64, len(own)), gram_hashes(codes, start, order)
             for k in range(order):
                 use = (grams[k] != 0) & ~start
-                gram, first, which = np.unique(grams[k][use], return_index=True, return_inverse=True)
+                coded = pa.array(grams[k][use]).dictionary_encode()
+                gram, which = coded.dictionary.to_numpy(), coded.indices.to_numpy()
                 n = np.bincount(which, times[word[use]], len(gram)).astype(np.int64)
+                first = np.empty(len(gram), np.int64)
+                first[which[::-1]] = np.arange(len(which) - 1, -1, -1)
                 at = np.flatnonzero(use)[first]
                 context = grams[k - 1][at - 1] if k else np.zeros(len(at), np.uint64)
                 rest = grams[k - 1][at] if k else np.zeros(len(at), np.uint64)
@@ -147,7 +156,10 @@ def kneser_ney(grams: DataFrame, order: int = ORDER) -> DataFrame:
 
 
 def interpolated(own: DataFrame, n_symbols: int, order: int) -> DataFrame:
-    """lang, k, gram, its log probability with those of the shorter n-grams, and its log backoff weight as a context (0: none)."""
+    """lang, k, gram, its log probability with those of the shorter n-grams, and its log backoff weight as a context (0: none).
+
+    The mark of a word's start is a context that is never counted as a symbol: its probability is null.
+    """
     level = own.filter("k = 1").withColumn("p", F.col("p") + F.col("gamma") / (n_symbols + 1)).select("lang", "k", "gram", "p")
     levels = [level]
     for k in range(2, order + 1):
@@ -158,7 +170,7 @@ def interpolated(own: DataFrame, n_symbols: int, order: int) -> DataFrame:
     for x in levels[1:]:
         out = out.unionByName(x)
     weights = own.filter("k > 1").groupBy("lang", (F.col("k") - 1).alias("k"), F.col("context").alias("gram")).agg(F.max("gamma").alias("gamma"))
-    return out.join(weights, ["lang", "k", "gram"], "left").select("lang", "k", "gram", F.log("p").alias("p"), F.coalesce(F.log("gamma"), F.lit(0.0)).alias("weight"))
+    return out.join(weights, ["lang", "k", "gram"], "full").select("lang", "k", "gram", F.log("p").alias("p"), F.coalesce(F.log("gamma"), F.lit(0.0)).alias("weight"))
 
 
 def arrays(own: DataFrame, langs: list[str], order: int, most_cells: int = MOST_CELLS) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndarray]], np.ndarray]:
@@ -176,7 +188,7 @@ def arrays(own: DataFrame, langs: list[str], order: int, most_cells: int = MOST_
         lang, gram, p, weight = (table[c].to_numpy()[orders == k] for c in ("lang", "gram", "p", "weight"))
         hashes, at = np.unique(gram.view(np.uint64), return_inverse=True)
         seen, weights = np.full((len(hashes), len(langs)), np.nan), np.zeros((len(hashes), len(langs)))
-        seen[at, lang - 1], weights[at, lang - 1] = p, weight
+        seen[at, lang - 1], weights[at, lang - 1] = p, weight  # a null p is nan here
         tables.append((hashes, seen, weights))
     return tables, floor
 
@@ -226,14 +238,14 @@ def entropies(df: DataFrame, model: Model, text_col: str = "text", keep: list[st
         store = {"rows": np.zeros((1, size + 1))}
 
         def learn(new: list[str]) -> None:
-            parts = [letters(w) for w in new]
-            cut = [(i, p[a : a + LONGEST]) for i, p in enumerate(parts) for a in range(0, len(p), LONGEST)]
+            parts = [cut(w) for w in new]
+            words = [p for own in parts for p in own]
             rows = np.zeros((len(new), size + 1))
-            if cut:
-                words = [p for _, p in cut]
+            if words:
+                owner = np.repeat(np.arange(len(new)), np.fromiter(map(len, parts), np.int64, len(parts)))
                 scores = np.concatenate([m.word_scores(words[a : a + AT_ONCE]) for a in range(0, len(words), AT_ONCE)])
                 for c in range(size + 1):
-                    rows[:, c] = np.bincount([i for i, _ in cut], scores[:, c], len(new))
+                    rows[:, c] = np.bincount(owner, scores[:, c], len(new))
             known.update(zip(new, range(len(store["rows"]), len(store["rows"]) + len(new)), strict=True))
             store["rows"] = np.concatenate([store["rows"], rows])
 

@@ -44,14 +44,64 @@ def test_language_of_held_out_rows(tables):
     assert (got.lang == got.lang_pred).mean() > 0.97 and got.score.between(0, 1).all()
 
 
-def test_language_probabilities_sum_to_one(tables):
+@pytest.mark.parametrize("context", ["", "t", "th", "the", "xq", "zzz"])
+def test_language_probabilities_sum_to_one(small_model, context):
+    """Over all symbols known to any language, the end of a word and one unknown symbol, after contexts of every length."""
+    model, alphabet = small_model
+    before = model.word_scores([context])  # with the end mark
+    for i in range(len(model.langs)):
+        # a word's symbols follow one another: p(context c end) / p(end | context c) is what is asked
+        total = 0.0
+        for c in [*alphabet, "\uffff"]:
+            codes, _, start = langid.symbols([context + c])
+            total += np.exp(symbol_scores(model, codes, start)[len(context) + 1, i])
+        codes, _, start = langid.symbols([context])
+        total += np.exp(symbol_scores(model, codes, start)[len(context) + 1, i])
+        assert total == pytest.approx(1, abs=1e-9)
+        assert before[0, i] == pytest.approx(symbol_scores(model, codes, start)[1:, i].sum())
+
+
+@pytest.fixture(scope="module")
+def small_model(tables):
     docs, _ = tables
     model = langid.fit(docs, 50)
-    letters = sorted({c for t in docs.filter("lang = 'en'").limit(200).toPandas().text for w in t.split() for c in langid.letters(w)})
-    one = model.word_scores(["th" + c for c in letters])[:, 0] - model.word_scores(["th"] * len(letters))[:, 0]
-    assert np.isfinite(one).all()
-    codes, _, start = langid.symbols(["ab"])
-    assert start.tolist() == [True, False, False, False] and len(langid.gram_hashes(codes, start, 3)) == 3
+    alphabet = [chr(c) for c in sorted(set(known_symbols(model)))]
+    return model, alphabet
+
+
+def known_symbols(model):
+    """Code points whose unigram any language knows."""
+    codes = np.array([c for c in range(0x20, 0x3000) if chr(c).isalpha()], np.uint64)
+    hashes = langid.gram_hashes(codes, np.zeros(len(codes), bool), 1)[0]
+    table, seen, _ = model.tables[0]
+    at = np.minimum(np.searchsorted(table, hashes), len(table) - 1)
+    known = (table[at] == hashes) & ~np.isnan(seen[at]).all(1)
+    assert known.sum() + 1 == (~np.isnan(seen).all(1)).sum()  # the other one is the end of a word
+    return codes[known].tolist()
+
+
+def symbol_scores(model, codes, start):
+    """The plain recursion: the longest known n-gram, with the backoff weights of the longer contexts."""
+    grams = langid.gram_hashes(codes, start, len(model.tables))
+    out = np.zeros((len(codes), len(model.langs)))
+    for t in range(len(codes)):
+        for i in range(len(model.langs)):
+            p = model.floor[i]
+            for k, (hashes, seen, weight) in enumerate(model.tables):
+                if not grams[k][t]:
+                    break
+                if k:
+                    at = np.flatnonzero(hashes_of(model, k - 1) == grams[k - 1][t - 1])
+                    p += model.tables[k - 1][2][at[0], i] if len(at) else 0.0
+                at = np.flatnonzero(hashes == grams[k][t])
+                if len(at) and not np.isnan(seen[at[0], i]):
+                    p = seen[at[0], i]
+            out[t, i] = p
+    return out
+
+
+def hashes_of(model, k):
+    return model.tables[k][0]
 
 
 def test_awkward_rows(docs, no_docs, tables):
