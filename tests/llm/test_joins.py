@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from larkspur.llm import ngram_join as N
 from larkspur.llm.components import components
 from larkspur.llm.sharding import shard_rows
-from larkspur.llm.topk import best_of_range, top_k
+from larkspur.llm.topk import best_of_range, block_counts, top_k
 from larkspur.llm.url_filter import filter_urls
 
 
@@ -129,6 +129,33 @@ def test_blocks_are_pruned():
     assert scored < 5
 
 
+def test_near_copies_let_blocks_be_pruned(spark):
+    """Tight groups of vectors: a query's group gives its k-th score, and the other groups' blocks are left out."""
+    r = np.random.default_rng(8)
+    centres = r.normal(size=(40, 16))
+    rows = [(int(i * 130 + j), [float(x) for x in c + r.normal(size=16) * 0.01]) for i, c in enumerate(centres) for j in range(130)]
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    ask = F.col("vec_id") % 50 == 0
+    counts = block_counts(df, ask, range_rows=1500, batch_rows=40).groupBy().sum().first()
+    assert counts["sum(scored)"] < 0.3 * counts["sum(blocks)"]
+    ids = np.array([k for k, _ in rows])
+    v = np.floor(256 * np.array([x for _, x in rows])).astype(np.int64)
+    got = {(x["query_id"], x["rank"]): (x["vec_id"], x["score"]) for x in top_k(df, ask, range_rows=1500, batch_rows=40).collect()}
+    for at in np.flatnonzero(ids % 50 == 0):
+        s = v @ v[at]
+        want = sorted((-int(s[i]), int(ids[i])) for i in range(len(ids)) if i != at)[:5]
+        assert [got[int(ids[at]), n + 1] for n in range(5)] == [(i, -x) for x, i in want]
+
+
+def test_pruning_on_the_embeddings_table(spark):
+    """check_h has a large group of near vectors, whose queries leave blocks out; evenly spread vectors leave out none."""
+    ask = F.col("vec_id") % 50 == 0
+    even, grouped = (block_counts(spark.read.parquet(f"/root/testdata/{d}/embeddings.parquet"), ask).groupBy().sum().first() for d in ("sf0.01", "check_h"))
+    assert even["sum(scored)"] <= even["sum(blocks)"]
+    assert grouped["sum(scored)"] < 0.97 * grouped["sum(blocks)"]
+
+
 def test_url_filter_follows_the_dates(spark):
     entries = [("domain", "Bad.com", "add", "2024-01-10"), ("domain", "bad.com", "remove", "2024-02-01"), ("domain", "bad.com", "add", "2024-03-01"), ("domain", "bad.com", "add", "2024-03-05"), ("prefix", "ok.org/x/", "add", "2024-01-01"), ("domain", None, "add", "2024-01-01"), ("domain", "never.com", "remove", "2024-01-01")]
     e = spark.createDataFrame(entries, "kind string, value string, action string, at string").withColumn("at", F.to_date("at"))
