@@ -15,7 +15,7 @@ from larkspur.llm.quality import quality_scores
 from larkspur.llm.sharding import shard_rows
 from larkspur.llm.topk import top_k
 from larkspur.llm.toxicity import toxicity_scores
-from larkspur.llm.url_filter import filter_urls, host_of
+from larkspur.llm.url_filter import PATH, filter_urls, host_of
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,20 +33,29 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dated_list(pages: DataFrame) -> DataFrame:
-    """A dated list over the hosts of ``pages``: two fifths of them, by hash, are added, some removed, some added again; and one domain."""
+    """A dated list over the hosts and paths of ``pages``.
+
+    By hash, two fifths of the hosts are added, some removed, some added again; a seventh of the hosts has a folder
+    listed, half of those until some day; an eleventh of the pages is listed by its whole path; and one domain.
+    """
     day = lambda n: F.date_add(F.lit("2024-01-01").cast("date"), n.cast("int"))
-    hosts = pages.select(host_of(F.col("url")).alias("value")).filter("value <> ''").distinct()
-    hosts = hosts.withColumn("h", F.conv(F.substring(F.md5("value"), 1, 4), 16, 10).cast("int")).filter("h % 5 < 2")
-    first = F.col("h") % 200
-    turns = F.array(
-        F.struct(F.lit("add").alias("action"), day(first).alias("at")),
-        F.when(F.col("h") % 3 == 0, F.struct(F.lit("remove").alias("action"), day(first + 40 + F.col("h") % 50).alias("at"))),
-        F.when(F.col("h") % 9 == 0, F.struct(F.lit("add").alias("action"), day(first + 150).alias("at"))),
+    hashed = lambda df: df.distinct().withColumn("h", F.conv(F.substring(F.md5("value"), 1, 4), 16, 10).cast("int"))
+    turn = lambda action, n: F.struct(F.lit(action).alias("action"), day(n).alias("at"))
+    made = lambda df, kind, turns: df.select(F.lit(kind).alias("kind"), "value", F.explode(F.array_compact(F.array(*turns))).alias("t")).select("kind", "value", "t.action", "t.at")
+    host, h = host_of(F.col("url")), F.col("h")
+    hosts = hashed(pages.select(host.alias("value")).filter("value <> ''"))
+    first = h % 200
+    domains = made(
+        hosts.filter("h % 5 < 2"), "domain", [turn("add", first), F.when(h % 3 == 0, turn("remove", first + 40 + h % 50)), F.when(h % 9 == 0, turn("add", first + 150))]
+    )
+    folders = made(
+        hosts.filter("h % 7 = 3").withColumn("value", F.concat("value", F.lit("/en/"))), "prefix", [turn("add", h % 150), F.when(h % 2 == 0, turn("remove", h % 150 + 60))]
     )
-    dated = hosts.select(F.lit("domain").alias("kind"), "value", F.explode(F.array_compact(turns)).alias("t")).select("kind", "value", "t.action", "t.at")
+    paths = hashed(pages.select(F.concat(host, F.regexp_extract("url", PATH, 1)).alias("value")).filter("value <> ''"))
+    whole = made(paths.filter("h % 11 = 0"), "prefix", [turn("add", first)])
     spark = pages.sparkSession
-    whole = spark.createDataFrame([("domain", "example.net", "add", 100), ("domain", "example.net", "remove", 130)], "kind string, value string, action string, n int")
-    return dated.unionByName(whole.select("kind", "value", "action", day(F.col("n")).alias("at")))
+    one = spark.createDataFrame([("domain", "example.net", "add", 100), ("domain", "example.net", "remove", 130)], "kind string, value string, action string, n int")
+    return domains.unionByName(folders).unionByName(whole).unionByName(one.select("kind", "value", "action", day(F.col("n")).alias("at")))
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,31 +110,42 @@ QUERIES = {
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_url_filter": r"""
-        with captures as (
-            select row_number() over () as r, page_id,
-                lower(coalesce(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1), '')) as host,
-                cast(date '2024-01-01' + cast(page_id % 366 as integer) as date) as fetched_at
+        with read as (
+            select page_id, url, regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1) as path,
+                lower(coalesce(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#]*@)?([^/?#:]*)', 1), '')) as host
             from pages
+        ), captures as (
+            select row_number() over () as r, page_id, path, host, cast(date '2024-01-01' + cast(page_id % 366 as integer) as date) as fetched_at from read
         ), hosts as (
             select distinct host as value, cast('0x' || substr(md5(host), 1, 4) as integer) as h from captures where host <> ''
+        ), paths as (
+            select distinct host || path as value, cast('0x' || substr(md5(host || path), 1, 4) as integer) as h from captures where host || path <> ''
         ), turns as (
-            select value, true as listed, date '2024-01-01' + h % 200 as dated from hosts where h % 5 < 2
-            union all select value, false, date '2024-01-01' + (h % 200 + 40 + h % 50) from hosts where h % 5 < 2 and h % 3 = 0
-            union all select value, true, date '2024-01-01' + (h % 200 + 150) from hosts where h % 5 < 2 and h % 9 = 0
-            union all select 'example.net', true, date '2024-01-01' + 100
-            union all select 'example.net', false, date '2024-01-01' + 130
+            select 'domain' as kind, value, true as listed, date '2024-01-01' + h % 200 as dated from hosts where h % 5 < 2
+            union all select 'domain', value, false, date '2024-01-01' + (h % 200 + 40 + h % 50) from hosts where h % 5 < 2 and h % 3 = 0
+            union all select 'domain', value, true, date '2024-01-01' + (h % 200 + 150) from hosts where h % 5 < 2 and h % 9 = 0
+            union all select 'prefix', value || '/en/', true, date '2024-01-01' + h % 150 from hosts where h % 7 = 3
+            union all select 'prefix', value || '/en/', false, date '2024-01-01' + (h % 150 + 60) from hosts where h % 7 = 3 and h % 2 = 0
+            union all select 'prefix', value, true, date '2024-01-01' + h % 200 from paths where h % 11 = 0
+            union all select 'domain', 'example.net', true, date '2024-01-01' + 100
+            union all select 'domain', 'example.net', false, date '2024-01-01' + 130
         ), states as (
-            select value, dated, bool_or(listed) as listed from turns group by all
+            select kind, value, dated, bool_or(listed) as listed from turns group by all
         ), changes as (
-            select * from (select *, coalesce(lag(listed) over (partition by value order by dated), false) as before from states) where listed <> before
+            select * from (select *, coalesce(lag(listed) over (partition by kind, value order by dated), false) as before from states) where listed <> before
         ), intervals as (
-            select value, dated as valid_from, valid_to from (select *, lead(dated) over (partition by value order by dated) as valid_to from changes) where listed
+            select kind, value, dated as valid_from, valid_to from (select *, lead(dated) over (partition by kind, value order by dated) as valid_to from changes) where listed
         ), looked as (
-            select c.r, c.fetched_at, list_aggregate(list_slice(string_split(c.host, '.'), i, 99), 'string_agg', '.') as value
+            select c.r, c.fetched_at, 'domain' as kind, list_aggregate(list_slice(string_split(c.host, '.'), i, 99), 'string_agg', '.') as value
             from captures c, unnest(generate_series(1, len(string_split(c.host, '.')))) as t(i) where c.host <> ''
+            union
+            select c.r, c.fetched_at, 'prefix', c.host || list_aggregate(list_slice(string_split(c.path, '/'), 1, i), 'string_agg', '/') || '/'
+            from captures c, unnest(generate_series(1, len(string_split(c.path, '/')) - 1)) as t(i) where c.host <> ''
+            union
+            select r, fetched_at, 'prefix', host || path from captures where host <> ''
         ), hits as (
             select r, count(*) as n, min({'value': l.value, 'since': i.valid_from}) as least
-            from looked l join intervals i on l.value = i.value and l.fetched_at >= i.valid_from and (i.valid_to is null or l.fetched_at < i.valid_to)
+            from looked l join intervals i on l.kind = i.kind and l.value = i.value and l.fetched_at >= i.valid_from and (i.valid_to is null or l.fetched_at < i.valid_to)
             group by r
         )
         select page_id, host, fetched_at, n is not null as blocked, coalesce(n, 0) as n_entries,

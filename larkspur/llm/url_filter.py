@@ -1,9 +1,10 @@
 """URL filters with dated lists, as a temporal join in built-in functions.
 
 List entries say that a domain or a URL prefix was added or removed at some time. Per entry they become
-validity intervals. Every capture looks up its host, the host's parent domains and the prefixes of its
-URL, and an as-of join keeps the entries whose interval holds the time of the fetch. The join is by
-the looked-up value; a value that holds many captures is split by adaptive execution.
+validity intervals. Every different pair of a URL and a time looks up its host, the host's parent domains
+and the prefixes of its URL, and an as-of join keeps the entries whose interval holds the time of the
+fetch. A list of up to ``MOST_BROADCAST`` intervals is broadcast, so that the looked-up values, among
+them hot ones such as a top-level domain, are not shuffled; a longer one is joined by value and salt.
 """
 
 from __future__ import annotations
@@ -13,27 +14,41 @@ from pyspark.sql import functions as F
 
 from larkspur.llm.shared import quoted, settle
 
-HOST = "^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
-PATH = "^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)"
+#: Intervals of a list that is broadcast.
+MOST_BROADCAST = 250_000
+#: Parts of a hot value in the join with a longer list.
+SALTS = 16
+SCHEME = "^[a-zA-Z][a-zA-Z0-9+.-]*://"
+HOST = SCHEME + r"(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/?#:\[\]]*)"
+PATH = SCHEME + "[^/?#]*([^?#]*)"
+#: Addresses in numbers, which have no parent domains.
+NUMERIC = r"^(\[.*\]|[0-9]+(\.[0-9]+){3})$"
+
+
+def trimmed(url: Column) -> Column:
+    """A URL without white space at its ends."""
+    return F.regexp_replace(url, r"^\s+|\s+$", "")
 
 
 def host_of(url: Column) -> Column:
-    """Lower-case host of a URL; empty if it has none."""
-    return F.lower(F.regexp_extract(url, HOST, 1))
+    """Lower-case host of a URL, without user, port and dots at its end; an IPv6 address with its brackets. Empty if it has none."""
+    return F.regexp_replace(F.lower(F.regexp_extract(trimmed(url), HOST, 1)), r"\.+$", "")
 
 
-def parents(host: Column) -> Column:
-    """The host and its parent domains, longest first."""
+def parents(host: Column, most: Column | None = None) -> Column:
+    """The host and its parent domains, longest first; of those, the ones of at most ``most`` labels. Addresses in numbers have no parents."""
     parts = F.split(host, "\\.")
-    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    n = F.size(parts)
+    first = F.greatest(F.lit(1), n - most + 1) if most is not None else F.lit(1)
+    return F.when(host.rlike(NUMERIC), F.array(host)).otherwise(F.transform(F.sequence(first, n), lambda i: F.array_join(F.slice(parts, i, n), ".")))
 
 
-def prefixes(url: Column) -> Column:
-    """host/, host/a/, host/a/b ...: the URL without scheme, query and fragment, cut after each slash, and whole."""
-    parts = F.split(F.regexp_extract(url, PATH, 1), "/")
-    n = F.size(parts)
-    cut = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.array_join(F.slice(parts, F.lit(1), i), "/"), F.when(i < n, "/").otherwise("")))
-    return F.transform(F.array_distinct(cut), lambda p: F.concat(host_of(url), p))
+def prefixes(url: Column, most: Column | None = None) -> Column:
+    """host/, host/a/, host/a/b ...: the URL without scheme, query and fragment, cut after each of its first ``most`` slashes (all by default), and whole."""
+    path = F.regexp_extract(trimmed(url), PATH, 1)
+    parts = F.split(path, "/", F.coalesce(most + 1, F.lit(-1)) if most is not None else -1)
+    cuts = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.concat(F.array_join(F.slice(parts, F.lit(1), i), "/"), F.when(i > 0, "/").otherwise("")))
+    return F.transform(F.array_distinct(F.concat(F.filter(cuts, lambda p: p != ""), F.array(path))), lambda p: F.concat(host_of(url), p))
 
 
 def validity(entries: DataFrame) -> DataFrame:
@@ -52,31 +67,47 @@ def validity(entries: DataFrame) -> DataFrame:
     return ends.filter("listed").select("kind", "value", F.col("at").alias("valid_from"), "valid_to")
 
 
-def filter_urls(captures: DataFrame, entries: DataFrame, url_col: str = "url", time_col: str = "fetched_at") -> DataFrame:
+def fresh(columns: list[str], name: str) -> str:
+    """A column name that isn't taken."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
+def filter_urls(captures: DataFrame, entries: DataFrame, url_col: str = "url", time_col: str = "fetched_at", most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """Add host, blocked, n_entries, entry (the least matching value) and listed_since (its list date) to every capture.
 
     A capture with a null URL or time matches nothing; it, and one without a host, is not blocked.
-    Repeated captures are judged each. Columns of these names that ``captures`` has are replaced.
+    Repeated captures are judged each. Columns of these names that ``captures`` has are replaced; others
+    may have any name. Only URLs and times are looked up and shuffled before the last join.
     """
     made = ["host", "blocked", "n_entries", "entry", "listed_since"]
     kept = [c for c in captures.columns if c not in made]
-    row = "row_number_of_capture"
-    rows = settle(captures.select(*map(quoted, kept)).withColumn("host", F.coalesce(host_of(F.col(quoted(url_col))), F.lit(""))).withColumn(row, F.monotonically_increasing_id()))
     url, at = F.col(quoted(url_col)), F.col(quoted(time_col))
-    asked = rows.filter(url.isNotNull() & at.isNotNull() & (F.col("host") != ""))
-    keys = F.concat(
-        F.transform(parents(F.col("host")), lambda v: F.struct(F.lit("domain").alias("kind"), v.alias("value"))),
-        F.transform(prefixes(url), lambda v: F.struct(F.lit("prefix").alias("kind"), v.alias("value"))),
-    )
-    looked = asked.select(row, at.alias("asked_at"), F.explode(keys).alias("k")).select(row, "asked_at", "k.kind", "k.value")
     intervals = settle(validity(entries))
-    active = looked.join(intervals, ["kind", "value"]).filter((F.col("asked_at") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("asked_at") < F.col("valid_to"))))
-    hits = active.groupBy(row).agg(F.count("*").alias("n_entries"), F.min(F.struct("value", "valid_from")).alias("least"))
-    return rows.join(hits, row, "left").select(
+    slashes = F.length("value") - F.length(F.replace("value", F.lit("/"), F.lit("")))
+    labels = F.size(F.split("value", "\\."))
+    # what the list can match at most: its size, the labels of its domains and the slashes of its prefixes
+    listed = intervals.agg(F.count("*").alias("n"), F.max(F.when(F.col("kind") == "domain", labels)).alias("labels"), F.max(F.when(F.col("kind") == "prefix", slashes)).alias("slashes")).first()
+    asked = captures.filter(url.isNotNull() & at.isNotNull()).select(url.alias("url"), at.alias("at")).distinct().withColumn("host", host_of(F.col("url"))).filter("host <> ''")
+    none = F.array().cast("array<struct<kind:string,value:string>>")
+    domains = F.transform(parents(F.col("host"), F.lit(listed["labels"])), lambda v: F.struct(F.lit("domain").alias("kind"), v.alias("value"))) if listed["labels"] else none
+    starts = F.transform(prefixes(F.col("url"), F.lit(listed["slashes"])), lambda v: F.struct(F.lit("prefix").alias("kind"), v.alias("value"))) if listed["slashes"] is not None else none
+    looked = asked.select("url", "at", F.explode(F.concat(domains, starts)).alias("k")).select("url", "at", "k.kind", "k.value")
+    if listed["n"] <= most_broadcast:
+        met = looked.join(F.broadcast(intervals), ["kind", "value"])
+    else:
+        salted = looked.withColumn("salt", F.pmod(F.xxhash64("url", "at"), F.lit(SALTS)).cast("int"))
+        met = salted.join(intervals.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["kind", "value", "salt"])
+    active = met.filter((F.col("at") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("at") < F.col("valid_to"))))
+    url_key, time_key, n, least = (fresh(captures.columns, f"capture_{x}") for x in ("url", "time", "n", "least"))
+    hits = active.groupBy(F.col("url").alias(url_key), F.col("at").alias(time_key)).agg(F.count("*").alias(n), F.min(F.struct("value", "valid_from")).alias(least))
+    rows = captures.select(*map(quoted, kept), url.alias(url_key), at.alias(time_key)).join(hits, [url_key, time_key], "left")
+    return rows.select(
         *map(quoted, kept),
-        "host",
-        F.col("n_entries").isNotNull().alias("blocked"),
-        F.coalesce("n_entries", F.lit(0)).alias("n_entries"),
-        F.col("least.value").alias("entry"),
-        F.col("least.valid_from").alias("listed_since"),
+        F.coalesce(host_of(F.col(url_key)), F.lit("")).alias("host"),
+        F.col(n).isNotNull().alias("blocked"),
+        F.coalesce(n, F.lit(0)).alias("n_entries"),
+        F.col(f"{least}.value").alias("entry"),
+        F.col(f"{least}.valid_from").alias("listed_since"),
     )

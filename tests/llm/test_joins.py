@@ -165,3 +165,37 @@ def test_url_filter_follows_the_dates(spark):
     assert [got[k][0] for k in range(len(urls))] == [False, True, False, True, False, True, False, False, False, False, True, True]
     assert got[5][1] == "ok.org/x/" and got[3][1] == "bad.com"
     assert filter_urls(c.filter("n < 0"), e).count() == 0 and filter_urls(c, e.filter("kind = 'x'")).filter("blocked").count() == 0
+
+
+def test_hosts():
+    import re
+
+    from larkspur.llm import url_filter as U
+
+    def host(url):
+        found = re.search(U.HOST, url.strip())
+        return found.group(1).lower().rstrip(".") if found else ""
+
+    cases = {
+        "http://[2001:DB8::1]:80/x": "[2001:db8::1]",
+        "http://a@x@bad.com/": "bad.com",
+        "http://bad.com./p": "bad.com",
+        "  https://Bad.com:8080?q": "bad.com",
+        "http://u:p@bad.com#f": "bad.com",
+        "bad.com/x": "",
+        "http:///x": "",
+    }
+    assert {u: host(u) for u in cases} == cases
+
+
+@pytest.mark.parametrize("most_broadcast", [250_000, 0])
+def test_url_filter_reads_hard_urls_and_any_column_names(spark, most_broadcast):
+    entries = [("domain", "bad.com", "add", 1), ("domain", "[2001:db8::1]", "add", 1), ("domain", "2.3.4", "add", 1), ("prefix", "ok.org/a/b", "add", 1), ("prefix", "ok.org/c/", "add", 1)]
+    e = spark.createDataFrame(entries, "kind string, value string, action string, at int")
+    urls = [" http://[2001:DB8::1]/", "http://a@x@bad.com/", "http://bad.com./", "http://1.2.3.4/", "http://ok.org/a/b?x", "http://ok.org/a/b/c", "http://ok.org/c/d/e/f", "http://ok.org/c", "http://ok.org" + "/long" * 5000, None]
+    names = ["least", "row_number_of_capture", "capture_url", "capture_n", "n", "value", "kind", "at", "h", "salt", "blocked"]
+    c = spark.createDataFrame([(u, 5, *[f"{n}{k}" for n in names]) for k, u in enumerate(urls)], ["url", "fetched_at", *names])
+    c = c.unionByName(c.filter("url like '%x@bad%'"))
+    got = filter_urls(c, e, most_broadcast=most_broadcast).collect()
+    assert sorted((r["least"], r["blocked"]) for r in got) == sorted([*((f"least{k}", k in (0, 1, 2, 4, 6)) for k in range(len(urls))), ("least1", True)])
+    assert all(r[n] == n + r["least"][5:] for r in got for n in names[:-1])
