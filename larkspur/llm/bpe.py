@@ -26,7 +26,7 @@ from larkspur.llm.chunks import LONG, ByteCache, ChunkEncoder, cuts_at_spaces
 from larkspur.llm.shared import add_columns
 
 #: Bytes of pre-tokens that are merged side by side; they take about 50 times as much meanwhile.
-MERGED_BYTES = 1 << 20
+MERGED_BYTES = 2 << 20
 #: Bytes of the pre-tokens that are remembered.
 PIECE_BYTES = 8 << 20
 

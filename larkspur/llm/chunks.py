@@ -17,10 +17,10 @@ from collections.abc import Callable, Iterator
 from string import punctuation
 
 #: Bytes that a cache may hold, with OVERHEAD for each entry; before it would hold more it is emptied.
-CACHE_BYTES = 24 << 20
+CACHE_BYTES = 64 << 20
 OVERHEAD = 200
 #: Characters of the texts that are encoded at once; a longer text is a group of its own.
-GROUP_CHARS = 3 << 20
+GROUP_CHARS = 8 << 20
 #: Longer chunks and pre-tokens are not remembered.
 LONG = 64
 
