@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,9 @@ MOST_CELLS = 1 << 23
 
 
 def letters(word: str) -> str:
-    return "".join(filter(str.isalpha, word)).lower()
+    """The letters of a word, in lower case."""
+    bare = word if word.isalpha() else word.strip(punctuation)
+    return bare.lower() if bare.isalpha() else "".join(filter(str.isalpha, bare)).lower()
 
 
 def cut(word: str) -> list[str]:
@@ -71,25 +74,30 @@ class Model:
 
     def __init__(self, langs: list[str], tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]], floor: np.ndarray, bound: np.ndarray):
         self.langs, self.tables, self.floor, self.bound = langs, tables, floor, bound
+        # one more row at the end stands for what isn't found; its hash 0 is no n-gram's
+        self.padded = [(np.append(h, np.uint64(0)), np.vstack([s, np.full(len(langs), np.nan)]), np.vstack([w, np.zeros(len(langs))])) for h, s, w in tables]
+
+    def __getstate__(self):
+        return self.langs, self.tables, self.floor, self.bound
+
+    def __setstate__(self, state):
+        self.__init__(*state)
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         """One row per word: log probability by language, then the number of symbols."""
         codes, word, start = symbols(words)
         grams = gram_hashes(codes, start, len(self.tables))
-        n, size = len(codes), len(self.langs)
-        p = np.tile(self.floor, (n, 1))
-        backoff = np.zeros((n, size))  # of the context of length k that ends before each place
-        for k, (hashes, seen, weight) in enumerate(self.tables):
-            if not len(hashes):
-                continue
-            at = np.minimum(np.searchsorted(hashes, grams[k]), len(hashes) - 1)
-            hit = hashes[at] == grams[k]
-            found = np.where(hit[:, None], seen[at], np.nan)
-            whole = (grams[k] != 0)[:, None]
-            p = np.where(whole, np.where(np.isnan(found), p + (backoff if k else 0), found), p)
-            own = np.where(hit[:, None], weight[at], 0.0)
-            backoff = np.zeros((n, size))
-            backoff[1:] = own[:-1]
+        size = len(self.langs)
+        p = np.tile(self.floor, (len(codes), 1))
+        weights = None  # of the n-gram that ends at each place: the context of the next place
+        for gram, (hashes, seen, weight) in zip(grams, self.padded, strict=True):
+            at = np.searchsorted(hashes[:-1], gram)
+            at[hashes[at] != gram] = len(hashes) - 1  # also where the n-gram would begin before its word
+            if weights is not None:
+                p[1:] += weights[:-1]
+            found = seen[at]
+            np.copyto(p, found, where=~np.isnan(found))
+            weights = weight[at]
         scored = ~start
         out = np.zeros((len(words), size + 1))
         for c in range(size):
