@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.functions.ordered import PARTS, part_of, quantiles, running
+from larkspur.functions.ordered import quantiles, running
 
 
 def weighted(e: Column, w: Column | None = None) -> Column:
@@ -114,8 +114,8 @@ def f1_averages(df: DataFrame, y: Column, p: Column) -> DataFrame:
 
 
 def auc(df: DataFrame, y: str, p: str, by: list[str] = (), name: str = "auc") -> DataFrame:
-    """Area under the ROC curve with mid-ranks for ties: pairs below plus half of the pairs level, over all pairs."""
-    ranked = running(df, p, {"pos": F.col(y).cast("double"), "neg": 1 - F.col(y).cast("double")}, by)
+    """Area under the ROC curve with mid-ranks for ties: pairs below plus half of the pairs level, over all pairs; ``by`` names few groups."""
+    ranked = running(df, p, {"pos": F.col(y).cast("double"), "neg": 1 - F.col(y).cast("double")}, by, columns=True)
     area = F.sum(F.col("pos") * (F.col("cum_neg") - F.col("neg") / 2))
     value = F.try_divide(area, F.sum("pos") * F.sum("neg")).alias(name)
     return ranked.groupBy(*by).agg(value) if by else ranked.agg(value)
@@ -144,7 +144,7 @@ def gini(df: DataFrame, columns: list[str], y: str) -> DataFrame:
     long = long.filter(F.col("p").isNotNull() & ~F.isnan("p"))
 
     def raw(order: str) -> DataFrame:
-        each = running(long, order, {"n": F.lit(1), "s": F.col("y")}, ["feature"])
+        each = running(long, order, {"n": F.lit(1), "s": F.col("y")}, ["feature"], columns=True)
         # n tied rows add the running sum before them n times and s * (n + 1) / 2
         area = F.sum(F.col("n") * (F.col("cum_s") - F.col("s")) + F.col("s") * (F.col("n") + 1) / 2)
         whole = F.sum("n")
@@ -163,14 +163,12 @@ def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
 def roc_points(df: DataFrame, y: str, p: str) -> DataFrame:
     """threshold, tpr and fpr at every distinct score, from the highest."""
     each = running(df, p, {"pos": F.col(y).cast("double"), "neg": 1 - F.col(y).cast("double")}, descending=True)
-    whole = each.agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
-    return each.crossJoin(F.broadcast(whole)).select(F.col(p).alias("threshold"), F.try_divide("cum_pos", "all_pos").alias("tpr"), F.try_divide("cum_neg", "all_neg").alias("fpr"))
+    return each.select(F.col(p).alias("threshold"), F.try_divide("cum_pos", "all_pos").alias("tpr"), F.try_divide("cum_neg", "all_neg").alias("fpr"))
 
 
 def precision_recall_points(df: DataFrame, y: str, p: str) -> DataFrame:
     each = running(df, p, {"pos": F.col(y).cast("double"), "n": F.lit(1)}, descending=True)
-    whole = each.agg(F.sum("pos").alias("all_pos"))
-    return each.crossJoin(F.broadcast(whole)).select(F.col(p).alias("threshold"), (F.col("cum_pos") / F.col("cum_n")).alias("precision"), F.try_divide("cum_pos", "all_pos").alias("recall"), F.try_divide("pos", "all_pos").alias("step"))
+    return each.select(F.col(p).alias("threshold"), (F.col("cum_pos") / F.col("cum_n")).alias("precision"), F.try_divide("cum_pos", "all_pos").alias("recall"), F.try_divide("pos", "all_pos").alias("step"))
 
 
 def average_precision(df: DataFrame, y: str, p: str) -> DataFrame:
@@ -233,7 +231,7 @@ def profile_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x")).select("x.*")
     long = long.withColumn("v", F.when(~F.isnan("v"), F.col("v")))
     plain = long.groupBy("feature").agg(F.avg(F.col("v").isNull().cast("double")).alias("null_rate"), F.min("v").alias("min"), F.avg("v").alias("mean"), F.max("v").alias("max"))
-    return plain.join(quantiles(long, "v", [0.25, 0.5, 0.75], ["feature"], ["q25", "median", "q75"]), "feature", "left").select("feature", "null_rate", "min", "q25", "mean", "median", "q75", "max")
+    return plain.join(quantiles(long, "v", [0.25, 0.5, 0.75], ["feature"], ["q25", "median", "q75"], columns=True), "feature", "left").select("feature", "null_rate", "min", "q25", "mean", "median", "q75", "max")
 
 
 def profile_category(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -259,41 +257,60 @@ def profile_text(df: DataFrame, columns: list[str]) -> DataFrame:
     return row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"{c}_n").alias("n_empty"), F.col(f"{c}_a").alias("shortest"), F.col(f"{c}_b").alias("longest")) for c in columns])).alias("x")).select("x.*")
 
 
-def constant_rates(df: DataFrame, columns: list[str]) -> DataFrame:
-    """feature, null_rate, and the commonest value's share of all rows and of the rows that have one."""
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("v")) for c in columns])).alias("x")).select("x.*")
-    counts = long.groupBy("feature", "v").agg(F.count("*").alias("n"))
-    have = F.col("v").isNotNull()
-    whole, known, most = F.sum("n"), F.sum(F.when(have, F.col("n"))), F.max(F.when(have, F.col("n")))
-    return counts.groupBy("feature").agg((1 - F.coalesce(known, F.lit(0)) / whole).alias("null_rate"), F.coalesce(most / whole, F.lit(0.0)).alias("constant_rate"), (most / known).alias("constant_rate_known"))
+def constant_rates(df: DataFrame, columns: list[str], least: float = 0.0) -> DataFrame:
+    """feature, null_rate, and the commonest value's share of all rows and of the rows that have one.
+
+    Shares are counted for the columns in which some value may have a share of ``least`` or
+    more of the rows that have one: one pass without a shuffle of cells counts the nulls and finds the
+    candidates, and a second counts how often those occur, by 52 bits of their hashes. Other columns have null shares. With
+    ``least`` 0 the values of all columns are counted.
+    """
+    text = lambda c: F.col(f"`{c}`").cast("string")
+    entry = lambda c, *more: F.struct(F.lit(c).alias("feature"), *more)
+    if least <= 0:
+        long = df.select(F.explode(F.array(*[entry(c, text(c).alias("v")) for c in columns])).alias("x")).select("x.*")
+        counts = long.groupBy("feature", "v").agg(F.count("*").alias("n"))
+        have = F.col("v").isNotNull()
+        whole, known, most = F.sum("n"), F.sum(F.when(have, F.col("n"))), F.max(F.when(have, F.col("n")))
+        return counts.groupBy("feature").agg((1 - F.coalesce(known, F.lit(0)) / whole).alias("null_rate"), F.coalesce(most / whole, F.lit(0.0)).alias("constant_rate"), (most / known).alias("constant_rate_known"))
+    # a value with over half of the rows is the median of any order: one candidate for each column
+    if least <= 0.5:
+        raise ValueError("least is 0 or above one half")
+    # the middle of the hashes is the hash of a value with over half of the rows
+    hashed = {k: F.when(text(c).isNotNull(), F.shiftrightunsigned(F.xxhash64(text(c)), 12)) for k, c in enumerate(columns)}
+    row = df.agg(F.count("*").alias("n"), *[F.count(text(c)).alias(f"k{k}") for k, c in enumerate(columns)], *[F.percentile_approx(h, 0.5, 1000).alias(f"m{k}") for k, h in hashed.items()]).first()
+    hits = df.agg(*[F.count_if(h == F.lit(row[f"m{k}"])).alias(f"h{k}") for k, h in hashed.items()]).first()
+    found = []
+    for k, c in enumerate(columns):
+        n, known, most = row["n"], row[f"k{k}"], hits[f"h{k}"]
+        exact = known and most >= least * known
+        found.append((c, 1 - known / n if n else None, (most / n if exact else None) if known else 0.0, most / known if exact else None))
+    return df.sparkSession.createDataFrame(found, "feature string, null_rate double, constant_rate double, constant_rate_known double")
 
 
 # uplift
 
 
-def uplift_curve(df: DataFrame, y: str, u: str, t: str, mode: str = "qini") -> DataFrame:
+def uplift_curve(df: DataFrame, y: str, u: str, t: str, mode: str = "qini", keep_part: bool = False) -> DataFrame:
     """n (rows so far) and value at every distinct uplift score from the highest; modes qini, cum_gain and adj_qini."""
     treated, outcome = F.col(t).cast("double"), F.col(y).cast("double")
-    each = running(df, u, {"n": F.lit(1), "nt": treated, "yt": outcome * treated, "yc": outcome * (1 - treated)}, descending=True)
-    whole = each.agg(F.sum("n").alias("N_"), F.sum("nt").alias("T_"))
-    each = each.crossJoin(F.broadcast(whole))  # one row
-    n, nt, yt, yc, all_rows, all_treated = (F.col(c).cast("double") for c in ("cum_n", "cum_nt", "cum_yt", "cum_yc", "N_", "T_"))
+    each = running(df, u, {"n": F.lit(1), "nt": treated, "yt": outcome * treated, "yc": outcome * (1 - treated)}, descending=True, keep_part=keep_part)
+    n, nt, yt, yc, all_rows, all_treated = (F.col(c).cast("double") for c in ("cum_n", "cum_nt", "cum_yt", "cum_yc", "all_n", "all_nt"))
     zero = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     value = {
         "qini": F.try_divide(yt, all_treated) - F.try_divide(yc, all_rows - all_treated),
         "cum_gain": (zero(yt, nt) - zero(yc, n - nt)) * n / all_rows,
         "adj_qini": F.try_divide(yt - yc * zero(nt, n - nt), all_treated),
     }[mode]
-    return each.select(F.col("cum_n").alias("n"), value.alias("value"))
+    return each.select(F.col("cum_n").alias("n"), value.alias("value"), *(["part_"] if keep_part else []))
 
 
-def area(points: DataFrame, parts: int = PARTS) -> DataFrame:
-    """auc: trapezoids under (n / N, value) from the origin, over points in parts whose ends are carried on."""
-    cut = points.withColumn("part_", part_of(points, "n", parts))
-    ends = cut.groupBy("part_").agg(F.max(F.struct("n", "value")).alias("end_"))
-    carried = ends.select(F.col("part_"), F.lag("end_").over(Window.orderBy("part_")).alias("before_"))
+def area(points: DataFrame) -> DataFrame:
+    """auc: trapezoids under (n / N, value) from the origin, over points in parts (part_, in the order of n) whose ends are carried on."""
+    ends = points.groupBy("part_").agg(F.max(F.struct("n", "value")).alias("end_"))
+    carried = ends.select(F.col("part_").alias("at_part_"), F.lag("end_").over(Window.orderBy("part_")).alias("before_"))  # one row for each part
     w = Window.partitionBy("part_").orderBy("n")
-    joined = cut.join(F.broadcast(carried), "part_")
+    joined = points.join(carried, F.col("part_") == F.col("at_part_"))
     x0 = F.coalesce(F.lag("n").over(w), F.col("before_.n"), F.lit(0)).cast("double")
     y0 = F.coalesce(F.lag("value").over(w), F.col("before_.value"), F.lit(0.0))
     steps = joined.select("n", ((F.col("n") - x0) * (F.col("value") + y0) / 2).alias("a_"))
@@ -307,10 +324,10 @@ def perfect_uplift(y: Column, t: Column) -> Column:
 
 def uplift_auc(df: DataFrame, y: str, u: str, t: str, mode: str = "adj_qini", normed: bool = False) -> DataFrame:
     """auc; with ``normed``, 0 for a random order and 1 for the perfect one."""
-    own = area(uplift_curve(df, y, u, t, mode))
+    own = area(uplift_curve(df, y, u, t, mode, keep_part=True))
     if not normed:
         return own
-    best = area(uplift_curve(df.withColumn("u_", perfect_uplift(F.col(y), F.col(t))), y, "u_", t, mode)).select(F.col("auc").alias("best"))
+    best = area(uplift_curve(df.withColumn("u_", perfect_uplift(F.col(y), F.col(t))), y, "u_", t, mode, keep_part=True)).select(F.col("auc").alias("best"))
     rate = lambda k: F.avg(F.when(F.col(t) == k, F.col(y).cast("double")))
     base = df.agg(((rate(1) - rate(0)) / 2).alias("base"))
     return own.crossJoin(best).crossJoin(base).select(((F.col("auc") - F.col("base")) / (F.col("best") - F.col("base"))).alias("auc"))

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from larkspur import roles as R
 from larkspur.frame import Frame, quoted
 from larkspur.operators.base import Operator
+from larkspur.storage import stored
 
-
+#: smoothings of target means (fixed values)
 ALPHAS = (0.5, 1.0, 2.0, 5.0, 10.0, 50.0, 250.0, 1000.0)
 
 
@@ -33,10 +34,10 @@ def lookup(df: DataFrame, table: DataFrame, columns: list[str], default: Column
 def numbered(table: DataFrame, order: list, name: str) -> DataFrame:
     """Rows numbered from 1 by ``order``. The table of distinct values is numbered in range partitions."""
     ranged = table.repartitionByRange(*order).sortWithinPartitions(*order)
-    indexed = ranged.withColumn("part_", F.spark_partition_id()).withColumn("place_", F.monotonically_increasing_id()).persist()
+    indexed = stored(ranged.withColumn("part_", F.spark_partition_id()).withColumn("place_", F.monotonically_increasing_id()))
     sizes = indexed.groupBy("part_").agg(F.count("*").alias("n_"), F.min("place_").alias("first_"))
     before = F.coalesce(F.sum("n_").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    shift = sizes.select("part_", (before + 1 - F.col("first_")).alias("shift_"))  # one row for each partition
+    shift = sizes.select("part_", (before + 1 - F.col("first_")).alias("shift_"))  # one row for each partition: a few thousand at most
     return indexed.join(F.broadcast(shift), "part_").withColumn(name, (F.col("place_") + F.col("shift_")).cast("int")).drop("part_", "place_", "shift_")
 
 

@@ -37,21 +37,21 @@ class GroupStatistics(Operator):
         df, g = frame.df, self.group
         kinds = {"delta_mean": F.avg, "min": F.min, "max": F.max, "std": F.stddev_pop}
         sums = [f(F.col(c).cast("double")).alias(f"{s}_{k}") for k, c in enumerate(self.numeric) for s, f in kinds.items() if s in self.statistics]
-        self.tables: list[DataFrame] = []
-        if sums:
-            own = df.groupBy(g).agg(*sums)
-            self.tables.append(own.select(g, F.struct(*own.columns[1:]).alias("stats_")))
+        groups = df.groupBy(g).agg(F.count("*").alias("n_"), *sums)
         if "delta_median" in self.statistics:
-            self.tables += [quantiles(df, c, [0.5], [g], [f"delta_median_{k}"]).select(g, F.struct(f"delta_median_{k}").alias("stats_")) for k, c in enumerate(self.numeric)]
+            for k, c in enumerate(self.numeric):
+                groups = lookup(groups, quantiles(df, c, [0.5], [g], [f"delta_median_{k}"]), [g])
         if set(CATEGORY) & set(self.statistics):
-            self.tables += [group_modes(df, g, c).select(g, F.struct(F.col("mode_").alias(f"mode_{k}")).alias("stats_")) for k, c in enumerate(self.category)]
+            for k, c in enumerate(self.category):
+                groups = lookup(groups, group_modes(df, g, c).withColumnRenamed("mode_", f"mode_{k}"), [g])
+        # one row for each group, so that the rows are joined once
+        self.fields = groups.columns[1:]
+        self.table = groups.select(g, F.struct(*self.fields).alias("stats_"))
         return self
 
     def transform(self, frame: Frame) -> Frame:
         df = frame.df
-        for table in self.tables:
-            fields = table.schema["stats_"].dataType.names
-            df = lookup(df, table, [self.group]).withColumns({f"st_{n}": F.col(f"stats_.{n}") for n in fields}).drop("stats_")
+        df = lookup(df, self.table, [self.group]).withColumns({f"st_{n}": F.col(f"stats_.{n}") for n in self.fields}).drop("stats_")
         made, roles = {}, {}
         for k, c in enumerate(self.numeric):
             for s in self.statistics:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import IDF, CountVectorizer, Normalizer, Word2Vec
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur.storage import stored
+
 SEPARATOR = " [SEP] "
 
 
@@ -46,26 +48,27 @@ def vocabulary(df: DataFrame, tokens: str, least: int = 1, most: int | None = No
     return out.orderBy(F.desc("n"), "token").limit(most) if most else out
 
 
-def tf_idf(df: DataFrame, key: str, tokens: str, least_df: int = 5, most: int | None = 30_000) -> DataFrame:
+def tf_idf(df: DataFrame, key: str, tokens: str, least_df: int = 5, most: int | None = None) -> DataFrame:
     """key, token and weight: count times ln((1 + N) / (1 + df)) + 1, scaled to length 1 in each document.
 
-    Tokens in fewer than ``least_df`` documents are left out, and beyond ``most`` the rarer ones.
+    Tokens in fewer than ``least_df`` documents are left out, and beyond ``most``, if given, the rarer
+    ones. Tokens are counted once and the counts are stored.
     """
-    tf = df.select(key, F.explode(tokens).alias("token")).groupBy(key, "token").agg(F.count("*").alias("tf"))
+    tf = stored(df.select(key, F.explode(tokens).alias("token")).groupBy(key, "token").agg(F.count("*").alias("tf")))
     words = tf.groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("n")).filter(F.col("df") >= least_df)
     if most:
         words = words.orderBy(F.desc("n"), "token").limit(most)
     idf = words.crossJoin(F.broadcast(df.agg(F.count("*").alias("docs")))).select("token", (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1).alias("idf"))
     weighted = tf.join(idf, "token").select(key, "token", (F.col("tf") * F.col("idf")).alias("w"))
-    length = weighted.groupBy(F.col(key).alias("k_")).agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("l_"))
-    return weighted.join(length, F.col(key) == F.col("k_")).select(key, "token", (F.col("w") / F.col("l_")).alias("weight"))
+    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
+    return weighted.select(key, "token", (F.col("w") / length).alias("weight"))
 
 
 class TfIdfVectors:
-    """The same weights as sparse vectors for models: ``fit`` learns the vocabulary, ``transform`` adds the vectors."""
+    """The same weights as sparse vectors for models: ``fit`` learns the vocabulary (all of it, or the ``most`` commonest tokens), ``transform`` adds the vectors."""
 
-    def __init__(self, tokens: str, output: str, least_df: int = 5, most: int = 30_000):
-        self.tokens, self.output, self.least_df, self.most = tokens, output, least_df, most
+    def __init__(self, tokens: str, output: str, least_df: int = 5, most: int | None = None):
+        self.tokens, self.output, self.least_df, self.most = tokens, output, least_df, most or (1 << 31) - 1
 
     def fit(self, df: DataFrame) -> TfIdfVectors:
         counts = CountVectorizer(inputCol=self.tokens, outputCol="tf__", minDF=self.least_df, vocabSize=self.most)

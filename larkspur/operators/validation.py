@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.ordered import quantiles
+from larkspur.storage import stored
 
 
 def hash_fold(keys: list[str], k: int = 5, seed: int = 42) -> Column:
@@ -27,7 +28,7 @@ def stratified_folds(df: DataFrame, target: str, order: list[str], k: int = 5, n
     A class is numbered in range partitions, from the counts before each, not in one task.
     """
     ranged = df.repartitionByRange(target, *order).sortWithinPartitions(target, *order)
-    ranged = ranged.withColumns({"part_": F.spark_partition_id(), "place_": F.monotonically_increasing_id()}).persist()
+    ranged = stored(ranged.withColumns({"part_": F.spark_partition_id(), "place_": F.monotonically_increasing_id()}))
     sizes = ranged.groupBy(target, "part_").agg(F.count("*").alias("n_"), F.min("place_").alias("first_"))
     before = F.coalesce(F.sum("n_").over(Window.partitionBy(target).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     shift = sizes.select(F.col(target).alias("class_"), F.col("part_").alias("at_"), (before - F.col("first_")).alias("shift_"))

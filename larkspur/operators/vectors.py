@@ -6,8 +6,8 @@ import numpy as np
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.mllib.linalg import Vectors as OldVectors
 from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,9 +52,9 @@ class SingularVectors(PrincipalComponents):
         super().__init__(vector, n, prefix)
 
     def fit(self, df: DataFrame) -> SingularVectors:
-        rows = df.select(F.transform(self.vector, lambda x: x.cast("double")).alias("v"))
-        size = len(rows.first()["v"])
-        matrix = RowMatrix(rows.rdd.map(lambda r: OldVectors.dense(r["v"])))
+        rows = df.select(array_to_vector(F.transform(self.vector, lambda x: x.cast("double"))).alias("v"))
+        size = rows.first()["v"].size
+        matrix = RowMatrix(MLUtils.convertVectorColumnsFromML(rows, "v"))  # the rows stay in the JVM
         self.matrix = oriented(np.array(matrix.computeSVD(max(1, min(self.n, size - 1))).V.toArray()))
         self.center = np.zeros(size)
         return self

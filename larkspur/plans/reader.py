@@ -35,8 +35,8 @@ class Reader:
         special = {c: r for c, r in declared.items() if r.name in ("target", "folds", "weights", "group", "treatment", "id")}
         dropped = [c for c, r in declared.items() if r.name == "drop"]
         columns = [c for c in df.columns if c not in special and c not in dropped and c not in self.keys]
-        rates = {r["feature"]: r for r in metrics.constant_rates(df, columns).collect()}  # one row per column
-        useful = [c for c in columns if rates[c]["null_rate"] < self.most_null and rates[c]["constant_rate"] < self.most_constant or c in declared and declared[c].force_input]
+        rates = {r["feature"]: r for r in metrics.constant_rates(df, columns, self.most_constant).collect()} if columns else {}  # one row per column
+        useful = [c for c in columns if rates[c]["null_rate"] < self.most_null and (rates[c]["constant_rate"] or 0.0) < self.most_constant or c in declared and declared[c].force_input]
         guessed = self.guess(df, [c for c in useful if c not in declared])
         roles = special | {c: declared.get(c) or guessed[c] for c in useful}
         self.state = {"roles": roles, "target": next((c for c, r in special.items() if r.name == "target"), None)}
