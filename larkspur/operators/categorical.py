@@ -181,13 +181,13 @@ class TargetEncode(Operator):
         self.state = {}
         for c in self.inputs:
             cells = self.cells(frame, c)
-            self.state[c] = (cells, self.choose(cells))
+            self.state[c] = (cells, *self.choose(cells))
         return self
 
     def cells(self, frame: Frame, c: str) -> DataFrame:
         """value, fold, n and per output s (sum), q (sum of squares), with the sums of the other folds and of all, by value and over everything."""
         sums = [F.sum(F.col(t).cast("double")).alias(f"s{k}") for k, t in enumerate(self.targets)] + [F.sum(F.col(t).cast("double") ** 2).alias(f"q{k}") for k, t in enumerate(self.targets)]
-        cells = frame.df.groupBy(F.col(c).alias("value"), F.col(self.fold).alias("fold")).agg(F.count("*").alias("n"), *sums)
+        cells = stored(frame.df.groupBy(F.col(c).alias("value"), F.col(self.fold).alias("fold")).agg(F.count("*").alias("n"), *sums))
         names = ["n", *[f"s{k}" for k in range(len(self.targets))]]
         values = cells.groupBy(F.col("value").alias("v_")).agg(*[F.sum(x).alias(f"all_{x}") for x in names])
         folds = cells.groupBy(F.col("fold").alias("f_")).agg(*[F.sum(x).alias(f"fold_{x}") for x in names])
@@ -208,17 +208,19 @@ class TargetEncode(Operator):
             return -(plain if self.kind == "multiclass" else plain + (F.col("n") - F.col(f"s{k}")) * F.log(1 - p))
         return F.col(f"q{k}") - 2 * p * F.col(f"s{k}") + F.col("n") * p * p
 
-    def choose(self, cells: DataFrame) -> list[float]:
-        """The smoothing of each output; classes share one."""
+    def choose(self, cells: DataFrame) -> tuple[list[float], list[float | None]]:
+        """The smoothing and the mean of each output; classes share one smoothing."""
         sums = {(k, a): F.sum(self.loss(k, F.lit(a))) for k in range(len(self.targets)) for a in self.alphas}
-        row = cells.agg(*[x.alias(f"l{k}_{i}") for i, ((k, _), x) in enumerate(sums.items())]).first()
+        means = [F.max(F.col(f"whole_s{k}") / F.col("whole_n")).alias(f"p{k}") for k in range(len(self.targets))]
+        row = cells.agg(*[x.alias(f"l{k}_{i}") for i, ((k, _), x) in enumerate(sums.items())], *means).first()
+        priors = [row[f"p{k}"] for k in range(len(self.targets))]
         loss = {key: row[f"l{key[0]}_{i}"] for i, key in enumerate(sums)}
         outputs = range(len(self.targets))
         if self.kind == "multiclass":
             total = [sum(loss[k, a] or 0 for k in outputs) for a in self.alphas]
-            return [self.alphas[total.index(min(total))]] * len(self.targets)
+            return [self.alphas[total.index(min(total))]] * len(self.targets), priors
         own = [[loss[k, a] or 0 for a in self.alphas] for k in outputs]
-        return [self.alphas[x.index(min(x))] for x in own]
+        return [self.alphas[x.index(min(x))] for x in own], priors
 
     def names(self, c: str) -> list[str]:
         return [f"oof__{c}"] if len(self.targets) == 1 else [f"multioof_{k}__{c}" for k in range(len(self.targets))]
@@ -226,7 +228,7 @@ class TargetEncode(Operator):
     def encode(self, frame: Frame, out_of_fold: bool) -> Frame:
         df, made = frame.df, {}
         for c in self.inputs:
-            cells, alphas = self.state[c]
+            cells, alphas, priors = self.state[c]
             names = self.names(c)
             if out_of_fold:
                 scores = [self.score(k, F.lit(a)) for k, a in enumerate(alphas)]
@@ -240,8 +242,7 @@ class TargetEncode(Operator):
                 scores = [s / total for s in scores]
             table = cells.select(*on, F.struct(*[s.alias(f"x{k}") for k, s in enumerate(scores)]).alias("made_")).dropDuplicates(on)
             df = lookup(df, table, keys)
-            priors = cells.select([(F.col(f"whole_s{k}") / F.col("whole_n")).alias(f"p{k}") for k in range(len(names))]).first()
-            df = df.withColumns({n: F.coalesce(F.col("made_")[f"x{k}"], F.lit(priors[f"p{k}"] if priors else None)) for k, n in enumerate(names)}).drop("made_")
+            df = df.withColumns({n: F.coalesce(F.col("made_")[f"x{k}"], F.lit(priors[k])) for k, n in enumerate(names)}).drop("made_")
             made |= dict.fromkeys(names, R.numeric(prob=self.kind != "reg"))
         return Frame(df, frame.roles | made, frame.keys).select(list(made))
 

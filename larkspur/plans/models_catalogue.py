@@ -98,14 +98,16 @@ def tokenize_en(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("select doc_id, coalesce(lang, '') || ' [SEP] ' || coalesce(source, '') as concated__lang__source from documents")
 def concat_text(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", text.concatenated(["lang", "source"]).alias("concated__lang__source"))
+    # dealt by key before the tokens are made, so that counts within a document need no shuffle of tokens
+    return table(spark, sf, "documents").select("doc_id", "text").repartition("doc_id").select("doc_id", text.concatenated(["lang", "source"]).alias("concated__lang__source"))
 
 
 WORDS = "(select doc_id, unnest(list_filter(string_split(lower(trim(regexp_replace(regexp_replace(trim(text), '[^A-Za-z0-9]+', ' ', 'g'), '\\b[0-9]+\\b', ' ', 'g'))), ' '), lambda w: w <> '')) as token from documents)"
 
 
 def tokenised(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", text.tokens_en(F.col("text")).alias("tokens"))
+    # dealt by key before the tokens are made, so that counts within a document need no shuffle of tokens
+    return table(spark, sf, "documents").select("doc_id", "text").repartition("doc_id").select("doc_id", text.tokens_en(F.col("text")).alias("tokens"))
 
 
 @query(f"""with tf as (select doc_id, token, count(*) as tf from {WORDS} group by 1, 2), w as (select token, ln((1 + (select count(*) from documents)) / (1 + count(*))) + 1 as idf from tf group by 1 having count(*) >= 20),
