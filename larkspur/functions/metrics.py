@@ -6,6 +6,8 @@ parts, so that none of them sorts a table in one task.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,13 +85,26 @@ REGISTRY = {
 }
 
 
-def score(df: DataFrame, y: str, p: str, metric: str) -> float:
-    """The metric with the sign that makes more better, over the rows that have a prediction."""
+def scores(df: DataFrame, y: str, predictions: list[Column], metric: str | Callable[[Column, Column], Column], more: bool = True) -> list[float | None]:
+    """The metric of each prediction with the sign that makes more better, over the rows that have it; all from one job.
+
+    ``metric`` is a name, or a function of target and prediction to an aggregate (``more``: whether more of it is better).
+    """
     if metric == "auc":
-        return auc(df.filter(F.col(p).isNotNull()), y, p).first()["auc"]
-    f, more = REGISTRY[metric]
-    v = df.filter(F.col(p).isNotNull()).agg(f(F.col(y), F.col(p)).alias("v")).first()["v"]
-    return v if more or v is None else -v
+        long = df.select(F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(y).cast("double").alias("y"), p.cast("double").alias("p")) for k, p in enumerate(predictions)])).alias("x")).select("x.*")
+        found = {r["k"]: r["auc"] for r in auc(long.filter("p is not null"), "y", "p", ["k"]).collect()}  # a row for each prediction
+        return [found.get(k) for k in range(len(predictions))]
+    f, more = REGISTRY[metric] if isinstance(metric, str) else (metric, more)
+    named = df.select(F.col(y).alias("y"), *[p.alias(f"p{k}") for k, p in enumerate(predictions)])
+    has = [F.col(f"p{k}").isNotNull() for k in range(len(predictions))]
+    # a row without the prediction has no target either, so that it counts for nothing
+    row = named.agg(*[f(F.when(h, F.col("y")), F.col(f"p{k}")).alias(f"v{k}") for k, h in enumerate(has)]).first()
+    return [v if more or v is None else -v for v in row]
+
+
+def score(df: DataFrame, y: str, p: str, metric: str | Callable[[Column, Column], Column], more: bool = True) -> float | None:
+    """The metric of one prediction, as in :func:`scores`."""
+    return scores(df, y, [F.col(p)], metric, more)[0]
 
 
 def confusion(df: DataFrame, y: Column, p: Column) -> DataFrame:

@@ -7,12 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-GOLDEN = 0.6180339887498949
 
-
-def best_model(df: DataFrame, predictions: list[str], score: Callable[[DataFrame, str], float]) -> str:
+def best_model(df: DataFrame, predictions: list[str], score: Callable[[DataFrame, list[Column]], list[float | None]]) -> str:
     """The prediction with the highest score, the first of equals."""
-    scores = [score(df, p) for p in predictions]
+    scores = [v if v is not None else float("-inf") for v in score(df, [F.col(p) for p in predictions])]
     return predictions[scores.index(max(scores))]
 
 
@@ -43,43 +41,41 @@ def pruned(weights: list[float], least: float) -> list[float]:
 class WeightedBlender:
     """Weights by turns: each model's weight is searched between 0 and 1, the others keep their proportions.
 
-    A step of the search scores several candidates in one job over the kept out-of-fold predictions.
+    A step of the search scores evenly spread candidates in one job (``score`` takes the frame and a list
+    of predictions), the next step those around the best of them.
     """
 
-    def __init__(self, score: Callable[[DataFrame, str], float], rounds: int = 5, inner: int = 7, least: float = 0.05):
-        self.score, self.rounds, self.inner, self.least, self.weights = score, rounds, inner, least, []
+    def __init__(self, score: Callable[[DataFrame, list[Column]], list[float | None]], rounds: int = 5, steps: int = 2, spread: int = 8, least: float = 0.05):
+        self.score, self.rounds, self.steps, self.spread, self.least, self.weights = score, rounds, steps, spread, least, []
 
-    def value(self, df: DataFrame, predictions: list[str], weights: list[float]) -> float:
-        return self.score(df.withColumn("blend__", weighted_mean(predictions, weights)), "blend__")
+    def best(self, df: DataFrame, predictions: list[str], candidates: list[list[float]]) -> tuple[float, list[float]]:
+        """The score and weights of the best candidate, the first of equals."""
+        values = self.score(df, [weighted_mean(predictions, w) for w in candidates])
+        known = [v if v is not None else float("-inf") for v in values]
+        return max(known), candidates[known.index(max(known))]
 
     def fit(self, df: DataFrame, predictions: list[str]) -> WeightedBlender:
         n = len(predictions)
         self.predictions, weights = predictions, [1 / n] * n
-        df = df.persist()
-        best = self.value(df, predictions, weights)
+        best, weights = self.best(df, predictions, [weights])
         for _ in range(self.rounds if n > 1 else 0):
             before = best
             for i in range(n):
-
-                def at(x: float, i: int = i) -> list[float]:
-                    rest = sum(w for j, w in enumerate(weights) if j != i)  # noqa: B023
-                    return [x if j == i else (1 - x) * (w / rest if rest else 1 / (n - 1)) for j, w in enumerate(weights)]  # noqa: B023
-
+                rest = sum(w for j, w in enumerate(weights) if j != i)
+                share = [w / rest if rest else 1 / (n - 1) for w in weights]
                 low, high = 0.0, 1.0
-                for _ in range(self.inner):
-                    a, b = high - GOLDEN * (high - low), low + GOLDEN * (high - low)
-                    if self.value(df, predictions, at(a)) >= self.value(df, predictions, at(b)):
-                        high = b
-                    else:
-                        low = a
-                found = pruned(at((low + high) / 2), self.least)
-                value = self.value(df, predictions, found)
-                if value > best:
-                    best, weights = value, found
+                for _ in range(self.steps):
+                    step = (high - low) / self.spread
+                    points = [low + k * step for k in range(self.spread + 1)]
+                    at = [pruned([x if j == i else (1 - x) * share[j] for j in range(n)], self.least) for x in points]
+                    value, found = self.best(df, predictions, at)
+                    if value > best:
+                        best, weights = value, found
+                    place = points[at.index(found)]
+                    low, high = max(0.0, place - step), min(1.0, place + step)
             if best <= before:
                 break
         self.weights = weights
-        df.unpersist()
         return self
 
     def column(self) -> Column:

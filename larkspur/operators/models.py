@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from larkspur.frame import Frame
 from larkspur.functions import metrics
 from larkspur.operators.validation import Split
+from larkspur.storage import stored
 
 log = logging.getLogger(__name__)
 FEATURES = "features__"
@@ -30,17 +31,26 @@ FEATURES = "features__"
 
 @dataclass
 class Task:
-    """What is predicted: binary, multiclass or reg, and the metric that judges it (more is better)."""
+    """What is predicted: binary, multiclass or reg, and the metric that judges it.
+
+    The metric is a name, or a function of target and prediction to an aggregate; ``more`` tells of a
+    function whether more of it is better. Scores have the sign that makes more better.
+    """
 
     name: str
-    metric: str = ""
+    metric: str | Callable = ""
     log_target: bool = False
+    more: bool = True
 
     def __post_init__(self) -> None:
         self.metric = self.metric or {"binary": "auc", "multiclass": "crossentropy", "reg": "mse"}[self.name]
 
     def score(self, df: DataFrame, target: str, prediction: str) -> float:
-        return metrics.score(df, target, prediction, self.metric)
+        return metrics.score(df, target, prediction, self.metric, self.more)
+
+    def scores(self, df: DataFrame, target: str, predictions: list) -> list[float | None]:
+        """Of several predictions (columns), from one job."""
+        return metrics.scores(df, target, predictions, self.metric, self.more)
 
 
 @dataclass
@@ -109,7 +119,7 @@ class OutOfFold:
         if self.task.log_target:
             df = df.withColumn("target__", F.log1p(target))
         label = "target__" if self.task.log_target else target
-        df = df.persist()
+        df = stored(df)
         kept = [*frame.keys, *[c for c in frame.df.columns if c in frame.roles and c not in frame.features and c not in frame.keys]]
         parts = []
         for split in splits:

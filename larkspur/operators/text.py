@@ -13,9 +13,9 @@ SEPARATOR = " [SEP] "
 
 def tokens_en(text: Column, stop_words: list[str] = ()) -> Column:
     """Lower-case tokens of letters and digits without numbers that stand alone; null has none."""
-    clean = F.regexp_replace(F.trim(F.coalesce(text, F.lit(""))), "[^A-Za-z0-9]+", " ")
-    clean = F.regexp_replace(clean, "(?<![A-Za-z0-9])[0-9]+(?![A-Za-z0-9])", " ")
-    words = F.filter(F.split(F.lower(F.trim(clean)), " +"), lambda w: w != "")
+    # a part without a letter is empty or a number
+    kept = F.filter(F.split(F.coalesce(text, F.lit("")), "[^A-Za-z0-9]+"), lambda w: w.rlike("[A-Za-z]"))
+    words = F.transform(kept, F.lower)
     return F.filter(words, lambda w: ~w.isin(*stop_words)) if stop_words else words
 
 

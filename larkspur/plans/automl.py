@@ -1,7 +1,7 @@
 """Presets: reader, feature plans, levels of models with out-of-fold predictions, and a blend.
 
-Each level's frame is the table of keys, attributes and features that the one before has made; its
-predictions are written to the checkpoint folder where that is set, so that the plan stays short.
+Each level's frame is the table of keys, attributes and features that the one before has made, with its
+predictions; it is stored, so that the plan stays short and the blend is searched over what is there.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from larkspur.operators.models import Algorithm, OutOfFold, Task, tune
 from larkspur.operators.numeric import FillInfinite, FillMedian, NullFlags, Numeric, QuantileBins, Scale
 from larkspur.operators.validation import k_folds
 from larkspur.plans.reader import Reader
+from larkspur.storage import stored
 
 log = logging.getLogger(__name__)
 
@@ -143,13 +144,13 @@ class TabularAutoML:
         if not level:
             raise RuntimeError("no model could be fitted")
         roles = frame.roles | {m.model.name: R.numeric(prob=self.task.name == "binary") for m in level}
-        return Frame(scored, roles, frame.keys), level
+        return Frame(stored(scored), roles, frame.keys), level
 
     def fit_member(self, frame: Frame, name: str, column: str) -> tuple[Member, DataFrame]:
         make, algorithm = MEMBERS[name]
         features = make()
         made = features.fit_transform(frame)
-        made = Frame(made.df.persist(), made.roles, made.keys)
+        made = Frame(stored(made.df), made.roles, made.keys)
         if self.tuning:
             algorithm = tune(algorithm, self.task, made, next(k_folds(self.fold, self.folds)), self.tuning, deadline=self.timer.over)
         model = OutOfFold(algorithm, self.task, column)
@@ -171,14 +172,14 @@ class TabularAutoML:
                 total = F.zip_with(total, p, lambda a, b: a + b)
             return df.withColumn("prediction", total)
         if not hasattr(self, "blender"):
-            score = lambda d, p: self.task.score(d, self.target, p)
+            score = lambda d, p: self.task.scores(d, self.target, p)
             if self.blend == "best":
                 best = blending.best_model(df, names, score)
                 self.weights = [float(n == best) for n in names]
             elif self.blend == "mean":
                 self.weights = [1 / len(names)] * len(names)
             else:
-                self.weights = blending.WeightedBlender(score, 2, 4).fit(df, names).weights
+                self.weights = blending.WeightedBlender(score, 2).fit(df, names).weights
             self.blender = True
         return df.withColumn("prediction", blending.weighted_mean(names, self.weights))
 

@@ -210,7 +210,15 @@ def uplift_auc(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(M.uplift_auc(scored(spark, sf), "y", "p", "t"))
 
 
-@query()
+PERFECT = f"(select y, t, case when t = 1 then 2.0 * y else 1.0 - 2 * y end as p from {SCORED})"
+
+
+def curve_area(of: str) -> str:
+    return f"(select sum((n - coalesce(lag_n, 0)) * (v + coalesce(lag_v, 0)) / 2) / max(n) as a from (select n, v, lag(n) over (order by n) as lag_n, lag(v) over (order by n) as lag_v from (select n::double as n, {VALUES['adj_qini']} as v from {CURVE.replace(SCORED, of)})))"
+
+
+@query(f"""select round((own.a - base.a) / (best.a - base.a), 6)::double as auc from {curve_area(SCORED)} own, {curve_area(PERFECT)} best,
+    (select (avg(y) filter (t = 1) - avg(y) filter (t = 0)) / 2 as a from {SCORED}) base""")
 def uplift_auc_normed(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(M.uplift_auc(scored(spark, sf), "y", "p", "t", normed=True))
 

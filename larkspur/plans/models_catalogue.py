@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from larkspur import roles as R
 from larkspur.frame import Frame
 from larkspur.operators import blending, models, selection, text, validation, vectors
+from larkspur.operators.base import lineage
 from larkspur.plans import automl, timeseries, uplift
 from larkspur.plans.flagship import FOLDS, ROLES, credit_frame
 from larkspur.plans.reader import Reader, class_codes
@@ -74,32 +75,49 @@ def weighted_blend(spark: SparkSession, sf: str) -> DataFrame:
 def blend_search(spark: SparkSession, sf: str) -> DataFrame:
     df = table(spark, sf, "lineitem").select(F.col("l_extendedprice").alias("y"), (F.col("l_quantity") * 1500).alias("a"), F.lit(38000.0).alias("b"))
     task = models.Task("reg")
-    made = blending.WeightedBlender(lambda d, p: task.score(d, "y", p), 2, 4).fit(df, ["a", "b"])
+    made = blending.WeightedBlender(lambda d, p: task.scores(d, "y", p), 2).fit(df, ["a", "b"])
     return spark.createDataFrame([(p, round(w, 4)) for p, w in zip("ab", made.weights, strict=True)], "prediction string, weight double")
 
 
-@query("select 'l_extendedprice' as feature union all select 'l_discount' union all select 'l_tax'")
+WIDE = "(select 2 * l_extendedprice + 1 as twice, l_extendedprice, l_discount, l_tax, 1.0 as same from lineitem)"
+WIDE_COLUMNS = ["twice", "l_extendedprice", "l_discount", "l_tax", "same"]
+PAIRS = [(a, b) for i, a in enumerate(WIDE_COLUMNS[:4]) for b in WIDE_COLUMNS[i + 1 : 4]]
+
+
+@query(f"""with s as (select unnest({WIDE_COLUMNS}) as feature, unnest([{', '.join(f'stddev_pop({c})' for c in WIDE_COLUMNS)}]) as sd from {WIDE}),
+    r as (select unnest({[a for a, _ in PAIRS]}) as a, unnest([{', '.join(f'corr({a}, {b})' for a, b in PAIRS)}]) as r from {WIDE})
+    select feature from s where sd > 0 and feature not in (select a from r where abs(r) > 0.98)""")
 def high_correlation_removal(spark: SparkSession, sf: str) -> DataFrame:
     df = table(spark, sf, "lineitem").withColumn("twice", F.col("l_extendedprice") * 2 + 1).withColumn("same", F.lit(1.0))
-    left = selection.without_correlated(df, ["twice", "l_extendedprice", "l_discount", "l_tax", "same"])
+    left = selection.without_correlated(df, WIDE_COLUMNS)
     return spark.createDataFrame([(c,) for c in left], "feature string")
 
 
-@query("select 'b' as feature, 0.7::double as importance union all select 'a', 0.5::double")
+#: made feature -> its expression and its source
+MADE = {"raw__l_quantity": ("l_quantity", "l_quantity"), "log__l_quantity": ("ln(l_quantity)", "l_quantity"), "raw__l_discount": ("l_discount", "l_discount"), "sqrt__l_discount": ("sqrt(l_discount)", "l_discount"), "raw__l_tax": ("l_tax", "l_tax")}
+
+
+@query(f"""select source as feature, round(sum(i), 6)::double as importance from (select unnest({[s for _, s in MADE.values()]}) as source, unnest([{', '.join(f'abs(corr({e}, l_extendedprice))' for e, _ in MADE.values())}]) as i from lineitem) group by 1""")
 def importance_rollup(spark: SparkSession, sf: str) -> DataFrame:
-    found = selection.roll_up({"freq__a": 0.2, "oof__a": 0.3, "scaler__b": 0.7}, lambda c: c.rpartition("__")[2])
-    return spark.createDataFrame([(c, round(v, 6)) for c, v in found], "feature string, importance double")
+    """The size of each made feature's correlation with the price as its importance, summed by source column."""
+    row = table(spark, sf, "lineitem").agg(*[F.abs(F.corr(F.expr(e), F.col("l_extendedprice"))).alias(c) for c, (e, _) in MADE.items()]).first()
+    names = lineage(["l_quantity", "l_discount", "l_tax"], list(MADE))
+    found = selection.roll_up(row.asDict(), names.get)
+    return rounded(spark.createDataFrame(found, "feature string, importance double"))
+
 
+LIST = "list_filter(string_split(lower(trim(regexp_replace(regexp_replace(trim(coalesce(text, '')), '[^A-Za-z0-9]+', ' ', 'g'), '\\b[0-9]+\\b', ' ', 'g'))), ' '), lambda w: w <> '')"
 
-@query("select doc_id, len(list_filter(string_split(lower(trim(regexp_replace(regexp_replace(trim(text), '[^A-Za-z0-9]+', ' ', 'g'), '\\b[0-9]+\\b', ' ', 'g'))), ' '), lambda w: w <> ''))::integer as n_tokens from documents")
+
+@query(f"select doc_id, len({LIST})::integer as n_tokens, md5(coalesce(array_to_string({LIST}, ' '), '')) as tokens_md5 from documents")
 def tokenize_en(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", F.size(text.tokens_en(F.col("text"))).alias("n_tokens"))
+    tokens = text.tokens_en(F.col("text"))
+    return table(spark, sf, "documents").select("doc_id", F.size(tokens).alias("n_tokens"), F.md5(F.array_join(tokens, " ")).alias("tokens_md5"))
 
 
 @query("select doc_id, coalesce(lang, '') || ' [SEP] ' || coalesce(source, '') as concated__lang__source from documents")
 def concat_text(spark: SparkSession, sf: str) -> DataFrame:
-    # dealt by key before the tokens are made, so that counts within a document need no shuffle of tokens
-    return table(spark, sf, "documents").select("doc_id", "text").repartition("doc_id").select("doc_id", text.concatenated(["lang", "source"]).alias("concated__lang__source"))
+    return table(spark, sf, "documents").select("doc_id", text.concatenated(["lang", "source"]).alias("concated__lang__source"))
 
 
 WORDS = "(select doc_id, unnest(list_filter(string_split(lower(trim(regexp_replace(regexp_replace(trim(text), '[^A-Za-z0-9]+', ' ', 'g'), '\\b[0-9]+\\b', ' ', 'g'))), ' '), lambda w: w <> '')) as token from documents)"
@@ -146,7 +164,19 @@ def class_mapping(spark: SparkSession, sf: str) -> DataFrame:
     return class_codes(table(spark, sf, "orders"), "o_orderstatus")
 
 
-@query("select * from (values ('o_custkey', 'numeric'), ('o_orderstatus', 'category'), ('o_totalprice', 'numeric'), ('o_orderdate', 'datetime'), ('o_orderpriority', 'category'), ('price_text', 'numeric'), ('date_text', 'datetime')) t(feature, role)")
+TEXTS = "(select o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority, o_totalprice::varchar as price_text, strftime(o_orderdate, '%Y-%m-%d') as date_text, 1 as same from orders)"
+
+
+def role_sql(c: str) -> str:
+    """The role of a column by its type, or by what its texts can be cast to; none for a constant."""
+    fails = lambda t: f"count(*) filter ({c} is not null and try_cast({c}::varchar as {t}) is null) = 0"
+    kind = f"any_value(typeof({c}))"
+    numeric = f"{kind} in ('DOUBLE', 'FLOAT', 'INTEGER', 'BIGINT', 'SMALLINT') or {kind} like 'DECIMAL%' or ({kind} = 'VARCHAR' and {fails('double')})"
+    date = f"{kind} = 'DATE' or {kind} like 'TIMESTAMP%' or ({kind} = 'VARCHAR' and {fails('timestamp')})"
+    return f"select '{c}' as feature, case when {numeric} then 'numeric' when {date} then 'datetime' else 'category' end as role from {TEXTS} having count(distinct {c}) > 1"
+
+
+@query(" union all ".join(role_sql(c) for c in ("o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority", "price_text", "date_text", "same")))
 def role_guess(spark: SparkSession, sf: str) -> DataFrame:
     df = table(spark, sf, "orders").withColumns({"price_text": F.col("o_totalprice").cast("string"), "date_text": F.date_format("o_orderdate", "yyyy-MM-dd"), "same": F.lit(1)})
     frame = Reader("reg", ["o_orderkey"], folds=1).fit_read(df, {})
@@ -235,10 +265,78 @@ def uplift_xlearner(spark: SparkSession, sf: str) -> DataFrame:
     return made.select("c_custkey", "uplift")
 
 
-@query()
+KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "cents"]
+JOINED = " || '|' || ".join(KEYS)
+
+
+def shuffled_sql(column: str) -> str:
+    other = "l_tax" if column == "l_quantity" else "l_quantity"
+    return f"""select '{column}' as feature, avg(pow(y - (l_quantity * 1.5 + l_tax), 2)) as mse from (
+        select y, {other}, {column} from (select *, row_number() over (order by md5('42|' || {JOINED}), {', '.join(KEYS)}) as n from lines_) a
+        join (select {column}, row_number() over (order by md5('43|{column}|' || {JOINED}), {', '.join(KEYS)}) as n from lines_) b using (n))""".replace("select *, row_number", f"select y, {other}, row_number")
+
+
+@query(f"""with lines_ as (select {', '.join(KEYS[:4])}, round(l_extendedprice * 100)::bigint as cents, l_quantity, l_tax, l_extendedprice / 1000 as y from lineitem), base as (select avg(pow(y - (l_quantity * 1.5 + l_tax), 2)) as mse from lines_)
+    select feature, round(s.mse - base.mse, 4)::double + 0.0 as importance from ({shuffled_sql('l_quantity')} union all {shuffled_sql('l_tax')}) s, base""")
 def permutation_importance(spark: SparkSession, sf: str) -> DataFrame:
-    df = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_tax", F.col("l_extendedprice").alias("y"))
+    """Importances of a given formula's inputs: the score lost when a column is dealt anew among the rows."""
+    df = table(spark, sf, "lineitem").select(*KEYS[:4], F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"), "l_quantity", "l_tax", (F.col("l_extendedprice") / 1000).alias("y"))
     task = models.Task("reg")
-    score = lambda d: task.score(d.withColumn("p", F.col("l_quantity") * 1500 + F.col("l_tax")), "y", "p")
-    found = selection.permutation_importances(df, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], ["l_quantity", "l_tax"], score)
-    return spark.createDataFrame([(c, float(v)) for c, v in found.items()], "feature string, importance double")
+    score = lambda d: task.score(d.withColumn("p", F.col("l_quantity") * 1.5 + F.col("l_tax")), "y", "p")
+    found = selection.permutation_importances(df, KEYS, ["l_quantity", "l_tax"], score)
+    return rounded(spark.createDataFrame([(c, float(v)) for c, v in found.items()], "feature string, importance double"), 4)
+
+
+def group_means(df: DataFrame, target: str, features: list[str], weight: str | None = None) -> uplift.Scorer:
+    """The plainest model: the (weighted) mean of the target for each combination of the features."""
+    w = F.col(weight) if weight else F.lit(1.0)
+    table_ = df.groupBy(*features).agg(F.round(F.sum(F.col(target) * w) / F.sum(w), 9).alias("m_"))
+    return lambda d, name: d.join(table_.withColumnRenamed("m_", name), features, "left")
+
+
+ARMS = "(select c_custkey, (c_nationkey % 3)::double as n, (c_custkey % 2)::integer as t, (c_acctbal + 900 * (c_custkey % 2) > 4500)::integer as y from customer)"
+
+def by_learner(learner: str, spark: SparkSession, sf: str) -> DataFrame:
+    df = treated(spark, sf).select("c_custkey", "n", "t", "y")
+    made = uplift.LEARNERS[learner](["n"], "y", "t", group_means, group_means, group_means).fit(df).predict(df)
+    return rounded(made.select("c_custkey", "uplift"))
+
+
+def two_means(first: str, second: str) -> str:
+    return f"select c_custkey, round(a - b, 6)::double + 0.0 as uplift from {ARMS} join (select n, round({first}, 9) as a, round({second}, 9) as b from {ARMS} group by 1) using (n)"
+
+
+@query(two_means("avg(y) filter (t = 1)", "avg(y) filter (t = 0)"))
+def uplift_means_s(spark: SparkSession, sf: str) -> DataFrame:
+    return by_learner("s", spark, sf)
+
+
+@query(two_means("avg(y) filter (t = 1)", "avg(y) filter (t = 0)"))
+def uplift_means_t(spark: SparkSession, sf: str) -> DataFrame:
+    return by_learner("t", spark, sf)
+
+
+WEIGHTED = "sum(y * case when t = {} then 1 else 0.25 end) / sum(case when t = {} then 1 else 0.25 end)"
+
+
+@query(two_means(WEIGHTED.format(1, 1), WEIGHTED.format(0, 0)))
+def uplift_means_t2(spark: SparkSession, sf: str) -> DataFrame:
+    return by_learner("t2", spark, sf)
+
+
+@query(two_means("avg(y) filter (t = 1)", "avg(y) filter (t = 0)"))
+def uplift_means_td(spark: SparkSession, sf: str) -> DataFrame:
+    return by_learner("td", spark, sf)
+
+
+@query(f"""with m as (select n, round(avg(y) filter (t = 1), 9) as m1, round(avg(y) filter (t = 0), 9) as m0, round(avg(t), 9) as c from {ARMS} group by 1),
+    e as (select n, round(avg(y - m0) filter (t = 1), 9) as e1, round(avg(m1 - y) filter (t = 0), 9) as e0 from {ARMS} join m using (n) group by 1)
+    select c_custkey, round(c * e1 + (1 - c) * e0, 6)::double + 0.0 as uplift from {ARMS} join m using (n) join e using (n)""")
+def uplift_means_x(spark: SparkSession, sf: str) -> DataFrame:
+    return by_learner("x", spark, sf)
+
+
+@query(f"""with m as (select n, round(avg(y), 9) as m, round(avg(t), 9) as c from {ARMS} group by 1), r as (select n, (y - m) / (t - c + 1e-5) as d, pow(t - c + 1e-5, 2) as w from {ARMS} join m using (n)),
+    e as (select n, round(sum(d * w) / sum(w), 9) as e from r group by 1) select c_custkey, round(e, 6)::double + 0.0 as uplift from {ARMS} join e using (n)""")
+def uplift_means_r(spark: SparkSession, sf: str) -> DataFrame:
+    return by_learner("r", spark, sf)
