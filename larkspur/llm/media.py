@@ -2,13 +2,15 @@
 
 A payload becomes a WAV file of 8-bit samples. Files are collected into ZIP archives of bounded size in
 a folder that the cluster shares; a manifest lists the archives of the tasks that succeeded, so what a
-lost task left behind is never read. The data source plans byte ranges over the archives: a task reads
-an archive's directory, takes the members whose header lies in its range, and streams their payloads
-as Arrow batches of bounded size. A member that cannot be read is tried again by its offset, alone.
+lost task left behind is never read. The data source plans byte ranges over the archives of each manifest
+file: a task reads the directories of the archives in its range, takes the members whose header lies
+there, and streams their payloads as Arrow batches of bounded size. A member that cannot be read is tried
+again by its offset, alone; one that cannot be read at all becomes a row with its error.
 """
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import io
 import json
@@ -17,22 +19,27 @@ import time
 import uuid
 import zipfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
+from urllib.parse import quote
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from larkspur.llm.shared import add_columns, quoted, settle, shared_dir
+from larkspur.llm.shared import add_columns, quoted, shared_dir
 
 ARCHIVE_BYTES = 32 << 20
 RANGE_BYTES = 8 << 20
 BATCH_BYTES = 8 << 20
+#: Byte ranges that a read is planned in at most; beyond RANGE_BYTES times this they grow.
+MOST_RANGES = 50_000
 UNIT = 64
 RATE = 8000
 
@@ -93,12 +100,18 @@ class Archive:
         return path, len(data), self.members
 
 
+def member_name(key: str | None, place: str) -> str:
+    """A member's name tells its row's id, null and empty ones apart, whatever characters it has."""
+    return f"{'-' if key is None else '=' + quote(key, safe='', errors='surrogatepass')}/{place}.wav"
+
+
 def write_archives(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """Store every row's text as a WAV member; returns the settled manifest: archive, size, members.
+    """Store every row's text as a WAV member; returns the manifest (archive, size, members), a Parquet table in ``folder``.
 
     A null or empty text is stored as 64 zero samples; null ids are kept as null. Equal rows are stored
     each, under names of their own. Other columns aren't read. ``folder`` is a URI that pyarrow's
-    file systems open on driver and executors.
+    file systems open on driver and executors. A manifest file has the archives of one task that
+    succeeded, so what a lost task left behind is never read.
     """
     pafs.FileSystem.from_uri(folder)[0].create_dir(pafs.FileSystem.from_uri(folder)[1], recursive=True)
 
@@ -112,7 +125,7 @@ def write_archives(df: DataFrame, folder: str, id_col: str = "doc_id", text_col:
 
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                archive.add(f"{'' if key is None else key}/{part}-{row}.wav", to_wav((text.as_py() or "").encode("utf-8", "surrogatepass")))
+                archive.add(member_name(key, f"{part}-{row}"), to_wav((text.as_py() or "").encode("utf-8", "surrogatepass")))
                 row += 1
                 if archive.buffer.tell() >= archive_bytes:
                     yield done(archive)
@@ -121,87 +134,143 @@ def write_archives(df: DataFrame, folder: str, id_col: str = "doc_id", text_col:
             yield done(archive)
 
     rows = df.select(F.col(quoted(id_col)).cast("string").alias("key"), F.col(quoted(text_col)).alias("text"))
-    return settle(rows.mapInArrow(run, "archive string, size long, members long"))
+    rows.mapInArrow(run, "archive string, size long, members long").write.parquet(f"{folder}/manifest")
+    return df.sparkSession.read.parquet(f"{folder}/manifest")
 
 
 class ByteRange(InputPartition):
-    def __init__(self, archive: str, start: int, end: int):
-        self.archive, self.start, self.end = archive, start, end
+    """Bytes ``start`` to ``end`` of the archives of one manifest file, as if they stood one after another."""
+
+    def __init__(self, manifest: str, start: int, end: int):
+        self.manifest, self.start, self.end = manifest, start, end
 
 
 class MediaArchiveReader(DataSourceReader):
+    """The driver plans from one row per manifest file; a task reads its manifest file, and the directories of the archives in its range."""
+
     def __init__(self, options: dict):
         self.folder, self.range_bytes = options["folder"], int(options.get("range_bytes", RANGE_BYTES))
         self.batch_bytes, self.tries = int(options.get("batch_bytes", BATCH_BYTES)), int(options.get("tries", 3))
-        self.archives = json.loads(options["archives"])
+        self.manifests = json.loads(options["manifests"])
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"manifests": []}  # a task knows its own from its partition
 
     def partitions(self) -> list[InputPartition]:
-        step = self.range_bytes
-        return [ByteRange(a, k, min(k + step, size)) for a, size in self.archives for k in range(0, size, step)] or [ByteRange("", 0, 0)]
+        total = sum(size for _, size in self.manifests)
+        step = max(self.range_bytes, -(-total // MOST_RANGES))
+        return [ByteRange(m, k, min(k + step, size)) for m, size in self.manifests for k in range(0, size, step)] or [ByteRange("", 0, 0)]
 
-    def member(self, fs: pafs.FileSystem, archive: str, info: zipfile.ZipInfo) -> bytes:
-        """The member's bytes, by its offset; each try opens the archive anew."""
+    def tried(self, what: Callable[[bool], Any]) -> tuple[Any, str | None]:
+        """The result of ``what``, which is told whether it is called again, or why every try failed."""
         for attempt in range(self.tries):
             try:
-                with fs.open_input_file(archive) as f:
-                    f.seek(info.header_offset)
-                    name, extra = struct.unpack("<HH", f.read(30)[26:30])
-                    f.seek(info.header_offset + 30 + name + extra)
-                    data = f.read(info.compress_size)
-                data = zlib.decompress(data, -15) if info.compress_type == zipfile.ZIP_DEFLATED else data
-                if len(data) != info.file_size or zlib.crc32(data) != info.CRC:
-                    raise OSError(f"{archive}: {info.filename} is damaged")
-                return data
-            except (OSError, zlib.error, struct.error):
-                if attempt + 1 == self.tries:
-                    raise
+                return what(attempt > 0), None
+            except (OSError, zlib.error, struct.error, zipfile.BadZipFile) as e:
+                problem = f"{type(e).__name__}: {e}"
+            if attempt + 1 < self.tries:
                 time.sleep(0.1 * 2**attempt)
-        raise AssertionError
+        return None, problem
 
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
-        if not partition.archive:
+        if not partition.manifest:
             return
         fs, base = pafs.FileSystem.from_uri(self.folder)
-        names, media, held = [], [], 0
-        with fs.open_input_file(partition.archive) as f, zipfile.ZipFile(f) as z:
-            infos = [i for i in z.infolist() if partition.start <= i.header_offset < partition.end]
-        for info in infos:
-            names.append(info.filename)
-            media.append(self.member(fs, partition.archive, info))
-            held += len(media[-1])
-            if held >= self.batch_bytes:
-                yield self.batch(partition.archive, names, media)
-                names, media, held = [], [], 0
-        if names:
-            yield self.batch(partition.archive, names, media)
-
-    def batch(self, archive: str, names: list[str], media: list[bytes]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([archive] * len(names)), pa.array(names), pa.array(media, pa.binary())], names=["archive", "name", "media"])
+        listed = pq.read_table(f"{base}/manifest/{partition.manifest}", filesystem=fs, partitioning=None)
+        rows, held, before = [], 0, 0
+        for archive, size in zip(listed["archive"].to_pylist(), listed["size"].to_pylist(), strict=True):
+            start, end = partition.start - before, partition.end - before
+            before += size
+            if end <= 0 or start >= size:
+                continue
+            for row in self.members(fs, archive, start, end):
+                rows.append(row)
+                held += len(row[2] or b"")
+                if held >= self.batch_bytes:
+                    yield self.batch(rows)
+                    rows, held = [], 0
+        if rows:
+            yield self.batch(rows)
+
+    def members(self, fs: pafs.FileSystem, archive: str, start: int, end: int) -> Iterator[tuple[str, str | None, bytes | None, str | None]]:
+        """archive, name, media and error of the members whose header lies in the range.
+
+        One handle serves all of them; a member that fails is tried again by its offset through a new one.
+        What cannot be read in the end is a row with its error and no media; of an archive whose
+        directory cannot be read there is one such row, without a name.
+        """
+        handle: list[Any] = []
+
+        def opened(again: bool):
+            if again and handle:
+                self.closed(handle)
+            if not handle:
+                handle.append(fs.open_input_file(archive))
+            return handle[0]
+
+        def directory(again: bool) -> list[zipfile.ZipInfo]:
+            f = opened(again)
+            f.seek(0)
+            return zipfile.ZipFile(f).infolist()
+
+        infos, problem = self.tried(directory)
+        if problem and start <= 0:
+            yield archive, None, None, problem
+        for info in infos or []:
+            if start <= info.header_offset < end:
+                data, problem = self.tried(lambda again, info=info: member(opened(again), info))
+                yield archive, info.filename, data, problem
+        self.closed(handle)
+
+    def closed(self, handle: list) -> None:
+        while handle:
+            with contextlib.suppress(OSError):
+                handle.pop().close()
+
+    def batch(self, rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.string(), pa.string(), pa.binary(), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["archive", "name", "media", "error"])
+
+
+def member(f: Any, info: zipfile.ZipInfo) -> bytes:
+    """A member's bytes, by its offset in the open archive."""
+    f.seek(info.header_offset)
+    name, extra = struct.unpack("<HH", f.read(30)[26:30])
+    f.seek(info.header_offset + 30 + name + extra)
+    data = f.read(info.compress_size)
+    data = zlib.decompress(data, -15) if info.compress_type == zipfile.ZIP_DEFLATED else data
+    if len(data) != info.file_size or zlib.crc32(data) != info.CRC:
+        raise OSError(f"{info.filename} is damaged")
+    return data
 
 
 class MediaArchives(DataSource):
-    """``spark.read.format("media_archives")``: archive, name and media bytes of every member of the archives listed."""
+    """``spark.read.format("media_archives")``: archive, name, media bytes and error of every member of the archives in the manifest."""
 
     @classmethod
     def name(cls) -> str:
         return "media_archives"
 
     def schema(self) -> str:
-        return "archive string, name string, media binary"
+        return "archive string, name string, media binary, error string"
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
         return MediaArchiveReader(self.options)
 
 
 def read_archives(spark: SparkSession, folder: str, manifest: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """The members of the manifest's archives. The driver plans from one path and size per archive, as for any folder of files."""
+    """The members of the manifest's archives. The driver gets one name and size for each task that wrote archives, not for each archive."""
     spark.dataSource.register(MediaArchives)
-    archives = [[r["archive"], r["size"]] for r in manifest.select("archive", "size").toLocalIterator()]
-    return spark.read.format("media_archives").option("folder", folder).option("archives", json.dumps(archives)).option("range_bytes", range_bytes).load()
+    files = manifest.groupBy(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file")).agg(F.sum("size").alias("size")).orderBy("file")
+    manifests = [[r["file"], r["size"]] for r in files.toLocalIterator()]
+    return spark.read.format("media_archives").option("folder", folder).option("manifests", json.dumps(manifests)).option("range_bytes", range_bytes).load()
 
 
 def media_features(df: DataFrame, id_type: str = "long") -> DataFrame:
-    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256 and feature of every stored member."""
+    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature and error of every stored member.
+
+    A member that could not be read has its error and nulls; an unreadable archive has one such row, without an id.
+    """
     fields = [
         T.StructField(n, t)
         for n, t in (
@@ -215,6 +284,9 @@ def media_features(df: DataFrame, id_type: str = "long") -> DataFrame:
             rows = []
             for x in media:
                 data = x.as_py()
+                if data is None:
+                    rows.append((None,) * len(fields))
+                    continue
                 true, samples = from_wav(data)
                 rows.append((true, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-UNIT:]), len(data), hashlib.sha256(data).hexdigest(), features(samples)))
             return [list(c) for c in zip(*rows, strict=True)] or [[] for _ in fields]
@@ -222,8 +294,8 @@ def media_features(df: DataFrame, id_type: str = "long") -> DataFrame:
         return work
 
     key = F.substring_index("name", "/", 1)
-    made = add_columns(df, ["media"], make, fields, keep=["name"])
-    return made.select(F.when(key != "", key.cast(id_type)).alias("doc_id"), *[f.name for f in fields])
+    made = add_columns(df, ["media"], make, fields, keep=["name", "error"])
+    return made.select(F.when(key.startswith("="), F.url_decode(F.substr(key, F.lit(2))).cast(id_type)).alias("doc_id"), *[f.name for f in fields], "error")
 
 
 def media_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,6 +2,9 @@
 
 import base64
 import hashlib
+import json
+import pickle
+import zipfile
 import zlib
 from array import array
 from collections import defaultdict
@@ -10,10 +13,12 @@ import public_tokenizers as P
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from larkspur.llm.bpe import Codec, codec, decode_bpe, encode_bpe
 from larkspur.llm.chunks import OVERHEAD, ByteCache
-from larkspur.llm.media import features, from_wav, media_columns, to_wav
+from larkspur.llm import media
+from larkspur.llm.media import MediaArchiveReader, features, from_wav, media_columns, read_archives, to_wav, write_archives
 from larkspur.llm.packing import cut_documents, encoder, first_fit_decreasing, pack_documents
 
 PATH, JSON = P.path("byte_bpe_50k.tiktoken"), P.path("byte_bpe_50k.json")
@@ -128,11 +133,15 @@ def test_pieces_without_packing(docs):
     assert cut_documents(docs, JSON).filter("length < 1").count() == 0
 
 
+def test_features_of_known_samples():
+    got = json.loads(features(bytes([128, 130, 126, 255] * 16)))
+    assert got == {"seconds": 64 / 8000, "mean": 31.75, "power": round((4 + 4 + 127**2) / 4, 6), "crossings": 32, "peak": 127, "mode": -2}
+
+
 def test_wav_round_trip():
     for data in (b"", b"a", bytes(range(256)) * 3, b"x" * 64):
         true, samples = from_wav(to_wav(data))
         assert true == len(data) and samples[:true] == data and len(samples) % 64 == 0 and len(samples) >= 64
-        assert features(samples) == features(samples)
 
 
 def test_media_columns(docs, no_docs):
@@ -146,21 +155,75 @@ def test_media_columns(docs, no_docs):
     assert media_columns(no_docs).count() == 0
 
 
-def test_damaged_members_are_retried_then_reported(docs, spark):
-    import pyarrow.fs as pafs
+@pytest.fixture
+def archives(docs, spark, tmp_path):
+    folder = f"file://{tmp_path}/media"
+    return folder, write_archives(docs, folder, archive_bytes=2000)
 
-    from larkspur.llm.media import MediaArchiveReader, read_archives, write_archives
-    from larkspur.llm.shared import shared_dir
 
-    folder = shared_dir(spark).rstrip("/") + "/media-test"
-    manifest = write_archives(docs, folder, archive_bytes=2000)
+def test_ranges_cover_every_member_once(docs, spark, archives):
+    folder, manifest = archives
     assert manifest.count() > 1
-    assert read_archives(spark, folder, manifest, range_bytes=500).count() == docs.count()
-    path = manifest.first()["archive"]
-    fs = pafs.LocalFileSystem()
-    data = bytearray(fs.open_input_file(path).read())
-    data[60] ^= 255
-    fs.open_output_stream(path).write(bytes(data))
-    reader = MediaArchiveReader({"folder": folder, "archives": f'[["{path}", {len(data)}]]', "tries": "2"})
-    with pytest.raises(Exception):  # noqa: B017
-        list(reader.read(reader.partitions()[0]))
+    for step in (100, 500, 1 << 20):
+        names = [r["name"] for r in read_archives(spark, folder, manifest, range_bytes=step).select("name").collect()]
+        assert len(names) == len(set(names)) == docs.count()
+
+
+def reader_of(folder, manifest, **options):
+    files = {r["f"].rsplit("/", 1)[1]: r["s"] for r in manifest.groupBy(F.input_file_name().alias("f")).agg(F.sum("size").alias("s")).collect()}
+    return MediaArchiveReader({"folder": folder, "manifests": json.dumps(list(files.items())), **options})
+
+
+def rows_of(reader):
+    return [r for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
+
+
+def test_a_damaged_member_is_a_row_with_its_error(docs, archives):
+    folder, manifest = archives
+    path = manifest.orderBy(F.desc("members")).first()["archive"]
+    with zipfile.ZipFile(path) as z:
+        info = z.infolist()[0]
+    with open(path, "r+b") as f:
+        f.seek(info.header_offset + 30 + len(info.filename) + info.compress_size // 2)
+        byte = f.read(1)
+        f.seek(-1, 1)
+        f.write(bytes([byte[0] ^ 255]))
+    rows = rows_of(reader_of(folder, manifest, tries="2"))
+    assert len(rows) == docs.count()
+    assert [r["name"] for r in rows if r["error"]] == [info.filename]
+    assert all((r["media"] is None) == (r["error"] is not None) for r in rows)
+
+
+def test_a_lost_directory_is_a_row_with_its_error(docs, archives):
+    folder, manifest = archives
+    first = manifest.orderBy("archive").first()
+    with open(first["archive"], "r+b") as f:
+        f.truncate(first["size"] - 10)
+    rows = rows_of(reader_of(folder, manifest, tries="1"))
+    assert [r["name"] for r in rows if r["error"]] == [None] and len(rows) == docs.count() - first["members"] + 1
+
+
+def test_a_member_is_tried_again(docs, archives, monkeypatch):
+    folder, manifest = archives
+    plain, failed = media.member, set()
+
+    def flaky(f, info):
+        if info.filename not in failed:
+            failed.add(info.filename)
+            raise OSError("connection reset")
+        return plain(f, info)
+
+    monkeypatch.setattr(media, "member", flaky)
+    rows = rows_of(reader_of(folder, manifest))
+    assert len(rows) == len(failed) == docs.count() and not any(r["error"] for r in rows)
+
+
+def test_a_pickled_reader_has_no_list(archives):
+    reader = pickle.loads(pickle.dumps(reader_of(*archives)))
+    assert reader.manifests == []
+
+
+def test_ids_of_any_text(spark):
+    ids = ["a/b", "", None, "x y+z%", "-", "=q", "é"]
+    df = spark.createDataFrame([(i, "t") for i in ids], "doc_id string, text string")
+    assert sorted(str(r["doc_id"]) for r in media_columns(df).collect()) == sorted(map(str, ids))
