@@ -55,17 +55,20 @@ def fit_by_mixing(
 
     shard = F.pmod(F.xxhash64(F.lit("shard"), "id"), F.lit(SHARDS)).cast("int").alias("shard")
     examples = sample.select("label", "text", shard).mapInArrow(pack, "features binary, label int, shard int")
-    # dealt once: a partition is one shard, and the epochs need no shuffle
-    examples = settle(examples.repartitionByRange(SHARDS, "shard").sortWithinPartitions("features", "label"))
+    # dealt once, so that the epochs need no shuffle; a task trains each shard that its partition has on its own
+    examples = settle(examples.repartitionByRange(SHARDS, "shard").sortWithinPartitions("shard", "features", "label"))
 
     def pass_over(now: Broadcast, epoch: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            features, labels = [], []
+            shards: dict[int, tuple[list[bytes], list[int]]] = {}
             for batch in batches:
-                features += batch.column(0).to_pylist()
-                labels.append(batch.column(1).to_numpy(zero_copy_only=False))
-            if features:
-                mine = train({k: v.copy() for k, v in now.value.items()}, features, np.concatenate(labels), epoch)
+                for feature, label, number in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    features, labels = shards.setdefault(number, ([], []))
+                    features.append(feature)
+                    labels.append(label)
+            for number in sorted(shards):
+                features, labels = shards.pop(number)
+                mine = train({k: v.copy() for k, v in now.value.items()}, features, np.array(labels), epoch)
                 yield pa.RecordBatch.from_arrays([pa.array(list(mine)), pa.array([v.tobytes() for v in mine.values()], pa.binary())], names=["name", "values"])
 
         return one

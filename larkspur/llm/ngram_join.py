@@ -32,14 +32,16 @@ PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
 def choose_bands(threshold: float, recall: float, most: int = 48) -> tuple[int, int]:
-    """Bands and rows: the most rows for which ``bands * rows`` MinHashes, at most ``most``, give the recall at the threshold."""
+    """Bands and rows: the most rows for which ``bands * rows`` MinHashes, at most ``most``, give the recall at the threshold; an error if none do."""
     best = None
     for rows in range(1, most + 1):
         p = threshold**rows
-        bands = 1 if p >= 1 else math.ceil(math.log(1 - recall) / math.log(1 - p))
+        bands = 1 if p >= 1 else math.ceil(math.log1p(-recall) / math.log1p(-p)) if p > 0 else math.inf
         if bands * rows <= most:
             best = bands, rows
-    return best or (most, 1)
+    if best is None:
+        raise ValueError(f"{most} MinHashes don't give a recall of {recall} at a similarity of {threshold}; allow more")
+    return best
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -256,9 +258,20 @@ def ngram_join(
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row of every class of :func:`ngram_join`, with the columns of ``df`` as they are; of repeated rows, one stays."""
-    joined = settle(ngram_join(df, id_col=id_col, text_col=text_col, **options).filter("keep").groupBy("doc_id", "text_key").agg(F.count("*").alias("rows")))
-    key = F.unhex(F.md5(F.coalesce(F.col(quoted(text_col)), F.lit(""))))
-    rows = df.alias("d").join(joined.alias("j"), (key == F.col("j.text_key")) & F.col(f"d.{quoted(id_col)}").eqNullSafe(F.col("j.doc_id")), "left_semi").select("d.*")
+    joined = ngram_join(df, id_col=id_col, text_col=text_col, **options).filter("keep").groupBy("doc_id", "text_key").agg(F.count("*").alias("rows"))
+    # names that no column of df has, so that any table can be joined
+    key, kept_id, kept_key = (fresh(df.columns, f"kept_{x}") for x in ("key", "doc", "text"))
+    joined = settle(joined.select(F.col("doc_id").alias(kept_id), F.col("text_key").alias(kept_key), "rows"))
+    keyed = df.withColumn(key, F.unhex(F.md5(F.coalesce(F.col(quoted(text_col)), F.lit("")))))
+    rows = keyed.join(joined.select(kept_id, kept_key), (F.col(key) == F.col(kept_key)) & F.col(quoted(id_col)).eqNullSafe(F.col(kept_id)), "left_semi")
     if joined.filter("rows > 1").isEmpty():
-        return rows
-    return rows.groupBy(F.col(quoted(id_col)).alias("i"), key.alias("k")).agg(*[F.first(F.col(quoted(c))).alias(c) for c in df.columns]).select(*map(quoted, df.columns))
+        return rows.drop(key)
+    firsts = rows.groupBy(F.col(quoted(id_col)).alias(kept_id), F.col(key).alias(kept_key)).agg(F.first(F.struct(*map(quoted, df.columns))).alias(key))
+    return firsts.select(*[F.col(key).getField(c).alias(c) for c in df.columns])
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """A column name that isn't taken."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name

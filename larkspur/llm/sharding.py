@@ -20,11 +20,15 @@ def draw(key: Column, shard: int, weight: float) -> Column:
     return F.lit(-float(weight)) / F.log((bits + F.lit(0.5)) / F.lit(float(1 << 52)))
 
 
-def rendezvous(key: Column, weights: list[float]) -> Column:
-    """Number of the shard with the best draw; of equal draws the first shard's. Null keys count as one key."""
-    name = F.coalesce(key.cast("string"), F.lit("\x00null"))
-    draws = [F.struct(draw(name, k, w).alias("draw"), F.lit(-k).alias("shard")) for k, w in enumerate(weights)]
-    return (-F.greatest(*draws)["shard"] if len(draws) > 1 else F.lit(0)).cast("int")
+def best_draw(key: Column, weights: list[float]) -> Column:
+    """draw and shard of the best draw; of equal draws the first shard's. Null keys count as one key."""
+    draws = [F.struct(draw(key_name(key), k, w).alias("draw"), F.lit(-k).alias("last")) for k, w in enumerate(weights)]
+    best = F.greatest(*draws) if len(draws) > 1 else draws[0]
+    return F.struct(best["draw"].alias("draw"), (-best["last"]).cast("int").alias("shard"))
+
+
+def key_name(key: Column) -> Column:
+    return F.coalesce(key.cast("string"), F.lit("\x00null"))
 
 
 def shard_rows(
@@ -44,9 +48,11 @@ def shard_rows(
         (F.octet_length(raw).cast("long") + 1).alias("size"),
         F.crc32(raw).alias("text_crc32"),
         F.lit("key").alias("law"),
-        rendezvous(key, weights).alias("shard"),
-        rendezvous(key, [*weights, grown_weight]).alias("grown_shard"),
-    ).withColumn("tie", F.monotonically_increasing_id())
+        best_draw(key, weights).alias("best"),
+        draw(key_name(key), len(weights), grown_weight).alias("new"),  # one more shard wins what it draws better for
+    )
+    rows = rows.withColumns({"shard": F.col("best.shard"), "grown_shard": F.when(F.col("new") > F.col("best.draw"), len(weights)).otherwise(F.col("best.shard"))})
+    rows = rows.drop("best", "new").withColumn("tie", F.monotonically_increasing_id())
     order = ["shard", "doc_id", "size", "text_crc32", "tie"]  # the tie lets a hot key spread over partitions
     ordered = settle(
         rows.repartitionByRange(*order)
@@ -55,7 +61,7 @@ def shard_rows(
         .withColumn("place", F.monotonically_increasing_id())
         .drop("tie")
     )
-    # A row per partition and shard in it: at most the number of partitions plus that of shards.
+    # a row per partition and shard in it: at most the number of partitions plus that of shards, whatever the rows
     parts = ordered.groupBy("shard", "part").agg(F.min("place").alias("first"), F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = parts.select("shard", "part", (before - F.col("first")).alias("shift"))

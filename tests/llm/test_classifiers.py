@@ -1,11 +1,13 @@
 """Held-out quality of the learned models, their identities, and the pipeline's stages."""
 
+import zlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from larkspur.llm import langid, quality, toxicity
+from larkspur.llm import langid, learning, quality, toxicity
 
 BIG = "/root/testdata/sf0.01"
 
@@ -30,12 +32,64 @@ def test_quality_on_held_out_rows(tables):
     assert (scored.predicted == scored.quality).mean() > 0.9
 
 
-def test_toxicity_weights_are_sparse_and_useful(tables):
-    docs, labels = tables
-    model = toxicity.fit(docs, labels)
-    assert 0 < len(model["at"]) < 20_000
-    scored = toxicity.score(docs, model, keep=["doc_id"]).join(labels, "doc_id").toPandas()
-    assert scored[scored.toxic == 1].score.mean() > scored[scored.toxic == 0].score.mean() + 0.3
+def test_toxicity_on_held_out_rows(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    scored = toxicity.toxicity_scores(docs, labels).join(labels, "doc_id").filter("held_out").toPandas()
+    assert (scored.predicted == (scored.score >= 0.3)).all()
+    assert (scored.predicted == scored.toxic).mean() > 0.95
+    assert scored[scored.toxic == 1].predicted.mean() > 0.65 and scored[scored.toxic == 0].predicted.mean() < 0.01
+
+
+def test_toxicity_weights_are_sparse(tables):
+    assert 0 < len(toxicity.fit(*tables)["at"]) < 5_000
+
+
+def test_an_adagrad_step_equals_the_plain_loop():
+    r = np.random.default_rng(9)
+    state = {"w0": np.array([0.2], np.float32), "w": r.normal(0, 0.1, 32).astype(np.float32), "v": r.normal(0, 0.1, (32, 4)).astype(np.float32), "gw": np.zeros(32, np.float32), "gv": np.zeros((32, 4), np.float32)}
+    before = {k: v.astype(float) for k, v in state.items()}
+    at, x = np.array([3, 8, 30]), np.array([0.5, 0.25, 1.0], np.float32)
+    after = quality.train(state, [at.astype("<i4").tobytes() + x.astype("<f4").tobytes()], np.array([1]), 0)
+    pairs = sum(before["v"][at[a]] @ before["v"][at[b]] * x[a] * x[b] for a in range(3) for b in range(a + 1, 3))
+    error = 1 / (1 + np.exp(-(0.2 + before["w"][at] @ x + pairs))) - 1
+    for n, i in enumerate(at):
+        g = error * x[n] + 1e-4 * before["w"][i]
+        assert after["w"][i] == pytest.approx(before["w"][i] - 0.15 * g / np.sqrt(g * g + 1e-6), rel=1e-4)
+        for f in range(4):
+            others = sum(before["v"][j][f] * x[m] for m, j in enumerate(at) if j != i)
+            g = error * x[n] * others + 1e-4 * before["v"][i][f]
+            assert after["v"][i][f] == pytest.approx(before["v"][i][f] - 0.045 * g / np.sqrt(g * g + 1e-6), rel=1e-3)
+    assert after["w0"][0] == pytest.approx(0.2 - 0.02 * error, rel=1e-5)
+
+
+def test_ftrl_weights_equal_the_plain_loop(spark, monkeypatch):
+    """One epoch over a few texts, coordinate by coordinate."""
+    monkeypatch.setattr(learning, "SHARDS", 1)
+    texts = [("bad words here", 1), ("good words there", 0), ("bad bad", 1), ("fine", 0)] * 3
+    ids = [k for k in range(100) if zlib.crc32(str(k).encode()) % 4 != 2][: len(texts)]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in zip(ids, texts, strict=True)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in zip(ids, texts, strict=True)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, epochs=1, l1=0.1)
+    own = toxicity.Features(toxicity.BITS)
+    examples = sorted((own.of(t).astype("<i4").tobytes(), y) for t, y in texts)
+    z, n = {}, {}
+
+    def weight(i, l1):
+        zi = z.get(i, 0.0)
+        return 0.0 if abs(zi) <= l1 else -(zi - np.sign(zi) * l1) / ((1.0 + np.sqrt(n.get(i, 0.0))) / 0.3 + 0.5)
+
+    for k in np.random.default_rng(0).permutation(len(examples)):
+        at = [*np.frombuffer(examples[k][0], "<i4").tolist(), "bias"]
+        w = {i: weight(i, 0.0 if i == "bias" else 0.1) for i in at}
+        g = 1 / (1 + np.exp(-sum(w.values()))) - examples[k][1]
+        for i in at:
+            before = n.get(i, 0.0)
+            z[i] = z.get(i, 0.0) + g - (np.sqrt(before + g * g) - np.sqrt(before)) / 0.3 * w[i]
+            n[i] = before + g * g
+    want = {i: weight(i, 0.1) for i in z if i != "bias"}
+    got = dict(zip(model["at"].tolist(), model["weight"].tolist(), strict=True))
+    assert got == pytest.approx({i: w for i, w in want.items() if w}, rel=1e-3)
+    assert model["bias"][0] == pytest.approx(weight("bias", 0.0), rel=1e-3)
 
 
 def test_language_of_held_out_rows(tables):

@@ -1,5 +1,6 @@
 """Sharding, near duplicates, top-k and URL filters against brute force."""
 
+import hashlib
 import math
 import zlib
 from collections import Counter, defaultdict
@@ -29,6 +30,18 @@ def test_shards(docs, no_docs):
     assert shard_rows(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("weights", [[1.0] * 16, [1.0, 2.0, 0.5]])
+def test_shards_follow_the_plain_draw(docs, weights):
+    def drawn(key, k, w):
+        bits = int(hashlib.md5(f"{k}:{key}".encode()).hexdigest()[:13], 16)
+        return -w / math.log((bits + 0.5) / 2**52)
+
+    for r in shard_rows(docs, len(weights), weights).collect():
+        key = "\x00null" if r["doc_id"] is None else str(r["doc_id"])
+        draws = [drawn(key, k, w) for k, w in enumerate([*weights, 1.0])]
+        assert r["shard"] == draws.index(max(draws[:-1])) and r["grown_shard"] == draws.index(max(draws))
+
+
 def test_weights_are_followed(spark):
     df = spark.range(6000).select(F.col("id").alias("doc_id"), F.lit("").alias("text"))
     n = {r["shard"]: r["count"] for r in shard_rows(df, 2, [1.0, 2.0]).groupBy("shard").count().collect()}
@@ -67,8 +80,6 @@ def test_ngram_join(docs, block, monkeypatch):
     links, root = brute([r["text"] or "" for r in rows])
     got = N.ngram_join(docs, recall=0.9999).select("doc_id", F.hex("text_key").alias("k"), "class_id", "n_copies", "n_links", "keep").collect()
     assert len(got) == len(rows)
-    import hashlib
-
     text_of = {hashlib.md5((r["text"] or "").encode()).hexdigest().upper(): r["text"] or "" for r in rows}
     least = defaultdict(lambda: math.inf)
     for r in rows:
@@ -82,6 +93,33 @@ def test_ngram_join(docs, block, monkeypatch):
     assert len(kept) == len(set(root.values()))
 
 
+def test_recall_of_the_registered_parameters(spark):
+    """Pairs from just above the threshold: nearly all of those that brute force finds are found, and no other."""
+    r = np.random.default_rng(12)
+    rows, want = [], 0
+    for k in range(400):
+        words = [f"v{x}" for x in r.integers(0, 100_000, 100)]
+        near = list(words)
+        for at in r.choice(np.arange(5, 95, 12), int(r.integers(1, 3)), replace=False):
+            near[at] = f"n{k}"
+        a, b = grams(" ".join(words)), grams(" ".join(near))
+        want += len(a & b) / len(a | b) >= 0.8
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(near))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    linked = {x["doc_id"] // 2 for x in N.ngram_join(df).filter("n_links > 0").collect()}
+    close = {k for k in range(400) if len(grams(rows[2 * k][1]) & grams(rows[2 * k + 1][1])) >= 0.8 * len(grams(rows[2 * k][1]) | grams(rows[2 * k + 1][1]))}
+    assert len(close) == want > 100 and linked <= close and len(linked) >= 0.98 * want
+
+
+def test_copies_are_dropped_from_tables_with_any_columns(spark):
+    text = " ".join(f"w{k}" for k in range(30))
+    names = ["k", "i", "text_key", "doc_id", "rows", "kept_key", "kept_doc", "class_id", "keep"]
+    rows = [(1, text, *names)] * 3 + [(2, text + " more", *names), (3, "other words than those", *names)]
+    df = spark.createDataFrame(rows, ["id", "body", *names])
+    got = N.drop_near_duplicates(df, id_col="id", text_col="body")
+    assert got.columns == df.columns and sorted(tuple(r) for r in got.collect()) == sorted({rows[0], rows[4]})
+
+
 def test_ngram_join_of_nothing(no_docs):
     assert N.ngram_join(no_docs).count() == 0 and N.drop_near_duplicates(no_docs).count() == 0
 
@@ -100,6 +138,9 @@ def test_bands_reach_the_recall():
     for t in (0.5, 0.8, 0.95):
         b, r = N.choose_bands(t, 0.99)
         assert 1 - (1 - t**r) ** b >= 0.99 and b * r <= 48
+    assert N.choose_bands(0.3, 0.995)[1] == 1
+    with pytest.raises(ValueError, match="allow more"):
+        N.choose_bands(0.01, 0.995)
 
 
 def test_components_of_a_chain(spark):

@@ -112,6 +112,12 @@ def test_packing_is_lossless(docs, no_docs, tokenizer):
     assert pack_documents(no_docs, JSON).count() == 0
 
 
+def test_packing_leaves_little_room(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    used = pack_documents(df, JSON).groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.count("*"), F.sum("n")).first()
+    assert used[1] > 0.98 * 1024 * used[0]
+
+
 def test_first_fit_decreasing_equals_the_plain_search():
     import random
 
