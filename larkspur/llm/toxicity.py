@@ -18,7 +18,7 @@ from larkspur.llm.learning import fit_by_mixing, labelled_sample
 from larkspur.llm.shared import add_columns, split_remainder
 
 BITS = 19
-CACHED_WORDS = 500_000
+CACHED_WORDS = 200_000
 NEXT, SKIP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -59,7 +59,7 @@ def weights(z: np.ndarray, n: np.ndarray, alpha: float, beta: float, l1: float,
 
 def fit(
     docs: DataFrame, labels: DataFrame, label_col: str = "toxic", most_rows: int = 20_000, epochs: int = 5, bits: int = BITS,
-    alpha: float = 0.3, beta: float = 1.0, l1: float = 1.5, l2: float = 0.5,
+    alpha: float = 0.3, beta: float = 1.0, l1: float = 3.0, l2: float = 0.5,
 ) -> dict[str, np.ndarray]:
     """Non-zero weights from about ``most_rows`` labelled rows (the bound) outside the held-out quarter: at, weight and bias."""
     rates = alpha, beta, l1, l2
