@@ -1,13 +1,12 @@
 """Fitting of linear-time classifiers by iterative parameter mixing.
 
 A bounded, labelled sample is hashed to features once. In every epoch each of a fixed number of shards
-is trained by its own task from the same parameters, and the driver averages the results: arrays whose
-size is a parameter of the model, never rows of the corpus.
+is trained by its own task from the same parameters; the results are averaged block by block in tasks, and
+the driver gets the means: arrays whose size is a parameter of the model, never rows of the corpus.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,6 +18,8 @@ from pyspark.sql import functions as F
 from larkspur.llm.shared import quoted, settle, split_remainder
 
 SHARDS = 4
+#: Parameters in a block, of which the mean over the shards is made at once.
+BLOCK = 1 << 16
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, most_rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -69,18 +70,28 @@ def fit_by_mixing(
             for number in sorted(shards):
                 features, labels = shards.pop(number)
                 mine = train({k: v.copy() for k, v in now.value.items()}, features, np.array(labels), epoch)
-                yield pa.RecordBatch.from_arrays([pa.array(list(mine)), pa.array([v.tobytes() for v in mine.values()], pa.binary())], names=["name", "values"])
+                for name, values in mine.items():
+                    flat = values.reshape(-1)
+                    parts = [flat[k : k + BLOCK] for k in range(0, len(flat), BLOCK)]
+                    made = [pa.array([name] * len(parts)), pa.array(range(len(parts)), pa.int32()), pa.array([number] * len(parts), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(made, names=["name", "block", "shard", "values"])
 
         return one
 
+    kinds = {k: v.dtype for k, v in state.items()}
+
+    def mean(group: pa.Table) -> pa.Table:
+        group = group.sort_by("shard")
+        kind = kinds[group["name"][0].as_py()]
+        total = sum(np.frombuffer(x.as_py(), kind).astype(np.float64) for x in group["values"])
+        return pa.table([group["name"][:1], group["block"][:1], pa.array([(total / group.num_rows).astype(kind).tobytes()], pa.binary())], names=["name", "block", "values"])
+
     for epoch in range(epochs):
         now = spark.sparkContext.broadcast(state)
-        total: dict[str, np.ndarray] = {}
-        shards: Counter[str] = Counter()
-        for row in examples.mapInArrow(pass_over(now, epoch), "name string, values binary").collect():  # the parameters of each shard
-            part = np.frombuffer(row["values"], state[row["name"]].dtype).astype(np.float64)
-            total[row["name"]] = total.get(row["name"], 0) + part
-            shards[row["name"]] += 1
-        state = {k: (total[k] / shards[k]).astype(v.dtype).reshape(v.shape) if k in total else v for k, v in state.items()}
+        trained = examples.mapInArrow(pass_over(now, epoch), "name string, block int, shard int, values binary")
+        # a block has one row from each shard; the driver gets the means, which are as large as the state
+        blocks = {(r["name"], r["block"]): r["values"] for r in trained.groupBy("name", "block").applyInArrow(mean, "name string, block int, values binary").collect()}
+        if blocks:
+            state = {k: np.frombuffer(b"".join(blocks[k, n] for n in range(-(-v.size // BLOCK))), v.dtype).reshape(v.shape) for k, v in state.items()}
         now.destroy()
     return state
