@@ -243,6 +243,23 @@ def histogram(df: DataFrame, x: str, bins: int = 10, by: list[str] = ()) -> Data
     return df.filter(F.col(x).isNotNull()).crossJoin(F.broadcast(limits)).groupBy(*by, place.alias("bin")).agg(F.count("*").alias("n"))
 
 
+def spread_by_bin(df: DataFrame, x: str, bin_: str) -> DataFrame:
+    """bin, least, q25, median, q75 and greatest value of a number in each of a few bins."""
+    ends = df.filter(F.col(x).isNotNull()).groupBy(F.col(bin_).alias("bin")).agg(F.min(x).alias("least"), F.max(x).alias("greatest"))
+    inside = quantiles(df, x, [0.25, 0.5, 0.75], [bin_], ["q25", "median", "q75"], columns=True).withColumnRenamed(bin_, "bin")
+    return ends.join(inside, "bin").select("bin", "least", "q25", "median", "q75", "greatest")
+
+
+def error_histogram(df: DataFrame, y: str, p: str, bins: int = 10) -> DataFrame:
+    """bin and n of the errors p - y, in equal widths."""
+    return histogram(df.withColumn("error_", F.col(p) - F.col(y)), "error_", bins)
+
+
+def general_info(df: DataFrame, used: list[str], dropped: list[str]) -> DataFrame:
+    """rows, columns, and how many of them are used and dropped."""
+    return df.agg(F.count("*").alias("rows")).select("rows", F.lit(len(df.columns)).alias("columns"), F.lit(len(used)).alias("used"), F.lit(len(dropped)).alias("dropped"))
+
+
 def log_odds_by_class(df: DataFrame, y: str, p: str, bins: int = 10) -> DataFrame:
     q = F.least(F.greatest(F.col(p), F.lit(1e-7)), F.lit(1 - 1e-7))
     return histogram(df.withColumn("logit_", F.log(q / (1 - q))), "logit_", bins, [y])

@@ -57,7 +57,7 @@ class Categorical(Operator):
         """value and made of one feature."""
         raise NotImplementedError
 
-    default: Column | None = None
+    default: float | None = None  # of values that the fit hasn't seen
 
     def fit(self, frame: Frame) -> Categorical:
         self.tables = {c: self.table(frame, c) for c in self.inputs(frame)}
@@ -67,7 +67,7 @@ class Categorical(Operator):
         df, made = frame.df, {}
         for c in self.inputs(frame):
             made[f"{self.prefix}__{c}"] = self.role
-            df = lookup(df, self.tables[c].withColumnRenamed("made", f"{self.prefix}__{c}"), [c], self.default)
+            df = lookup(df, self.tables[c].withColumnRenamed("made", f"{self.prefix}__{c}"), [c], None if self.default is None else F.lit(self.default))
         return Frame(df, frame.roles | made, frame.keys).select(list(made))
 
 
@@ -78,7 +78,7 @@ class LabelEncode(Categorical):
 
     def __init__(self, unknown: int | None = None):
         self.unknown = unknown
-        self.default = F.lit(0)
+        self.default = 0
 
     def table(self, frame: Frame, c: str) -> DataFrame:
         unknown = frame.roles[c].unknown if self.unknown is None else self.unknown
@@ -93,7 +93,7 @@ class FrequencyEncode(Categorical):
     role = R.numeric()
 
     def __init__(self) -> None:
-        self.default = F.lit(1)
+        self.default = 1
 
     def table(self, frame: Frame, c: str) -> DataFrame:
         return kept_values(frame.df, c, 1).select("value", F.col("n").alias("made"))

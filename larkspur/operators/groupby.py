@@ -13,7 +13,7 @@ from larkspur import roles as R
 from larkspur.frame import Frame
 from larkspur.functions.ordered import quantiles
 from larkspur.operators.base import Operator
-from larkspur.operators.categorical import lookup
+from larkspur.operators.categorical import lookup, top_features, unique_counts
 
 #: statistics of numeric and of categorical features (fixed values)
 NUMERIC = ("delta_mean", "delta_median", "min", "max", "std")
@@ -68,3 +68,33 @@ class GroupStatistics(Operator):
         return out.select(list(made))
 
 
+class AllGroups(Operator):
+    """The statistics of every numeric and other categorical feature within each of the categorical features with the most values.
+
+    ``groups`` names the group features instead. One table of statistics is made for each group feature;
+    groups that the fit hasn't seen give 0 for numbers.
+    """
+
+    def __init__(self, groups: list[str] | None = None, most: int = 3, statistics: tuple[str, ...] = NUMERIC + CATEGORY):
+        self.groups, self.most, self.statistics = groups, most, statistics
+
+    def fit(self, frame: Frame) -> AllGroups:
+        numbers = [c for c in frame.features if frame.roles[c].name == "numeric"]
+        categories = [c for c in frame.features if frame.roles[c].name == "category"]
+        groups = self.groups
+        if groups is None:
+            counts = unique_counts(frame.df, categories, approximate=True) if categories else None
+            groups = [r["feature"] for r in top_features(counts, self.most).collect()] if categories else []  # one row for each feature
+        self.operators = [GroupStatistics(g, numbers, [c for c in categories if c != g], self.statistics).fit(frame) for g in groups]
+        return self
+
+    def transform(self, frame: Frame) -> Frame:
+        out, made = frame, {}
+        for operator in self.operators:
+            wide = operator.transform(Frame(out.df.withColumns({f"kept__{c}": F.col(c) for c in frame.features}), frame.roles, frame.keys))
+            new = {c: wide.roles[c] for c in wide.features}
+            filled = {c: F.coalesce(F.col(c), F.lit(0.0)) for c, r in new.items() if r.name == "numeric"}
+            df = wide.df.withColumns(filled).withColumns({c: F.col(f"kept__{c}") for c in frame.features}).drop(*[f"kept__{c}" for c in frame.features])
+            made |= new
+            out = Frame(df, frame.roles | made, frame.keys)
+        return out.select(list(made))

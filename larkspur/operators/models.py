@@ -20,9 +20,10 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larkspur import roles as R
 from larkspur.frame import Frame
 from larkspur.functions import metrics
-from larkspur.operators.validation import Split
+from larkspur.operators.validation import Split, k_folds
 from larkspur.storage import stored
 
 log = logging.getLogger(__name__)
@@ -154,6 +155,80 @@ class OutOfFold:
         return dict(sorted(total.items(), key=lambda x: (-x[1], x[0])))
 
 
+def regularisation_path(algorithm: Algorithm, task: Task, frame: Frame, split: Split, strengths: list[float], patience: int = 2) -> tuple[Algorithm, list[tuple[float, float]]]:
+    """The algorithm with the best regParam of a path from the strongest on one split, and the scores; ends after ``patience`` steps without a better one."""
+    target, path, best = frame.attribute("target"), [], None
+    df = stored(assembled(frame, frame.features))
+    for strength in sorted(strengths, reverse=True):
+        own = Algorithm(algorithm.kind, algorithm.params | {"regParam": strength}, algorithm.seed)
+        value = task.score(predict(own.fit(df.filter(split.train), task, target), df.filter(split.valid), task, "p"), target, "p")
+        path.append((strength, value))
+        if best is None or value > best[0]:
+            best, since = (value, own), 0
+        elif (since := since + 1) >= patience:
+            break
+    return best[1], path
+
+
+class Nested(OutOfFold):
+    """Out-of-fold predictions whose parameters are chosen inside each training part, by inner folds from a hash of the keys.
+
+    ``strengths`` is the path of regParam that the inner fold judges; the outer rows never take part.
+    """
+
+    def __init__(self, algorithm: Algorithm, task: Task, strengths: list[float], name: str = "p", inner: int = 3, seed: int = 7):
+        super().__init__(algorithm, task, name)
+        self.strengths, self.inner, self.seed, self.chosen = strengths, inner, seed, []
+
+    def fit_predict(self, frame: Frame, splits: Iterator[Split], features: list[str] | None = None) -> DataFrame:
+        kept = frame.df.columns
+        inner = F.pmod(F.xxhash64(F.lit(self.seed), *frame.keys), F.lit(self.inner))
+        parts = []
+        for split in splits:
+            own = Frame(frame.df.filter(split.train), frame.roles, frame.keys)
+            best, _ = regularisation_path(self.algorithm, self.task, own, Split(inner != 0, inner == 0), self.strengths)
+            self.chosen.append(best.params["regParam"])
+            one = OutOfFold(best, self.task, self.name)
+            scored = one.fit_predict(frame, iter([split]), features)
+            parts.append(scored.filter(F.col(self.name).isNotNull()).select(*frame.keys, self.name))
+            self.models += one.models
+            self.features = one.features
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.unionByName(part)
+        return frame.df.select(*[c for c in kept if c not in frame.features or c in frame.keys]).join(out, frame.keys, "left")
+
+
+class MultiOutput:
+    """Several targets at once: an out-of-fold model for each, and one array of predictions (multi:reg and multilabel)."""
+
+    def __init__(self, algorithm: Algorithm, task: Task, targets: list[str], name: str = "p"):
+        self.targets, self.name, self.task = targets, name, task
+        self.parts = [OutOfFold(algorithm, task, f"{name}__{k}") for k in range(len(targets))]
+
+    def of(self, frame: Frame, k: int) -> Frame:
+        roles = {c: r for c, r in frame.roles.items() if c not in self.targets}
+        return Frame(frame.df, roles | {self.targets[k]: R.make("target")}, frame.keys)
+
+    def together(self, base: DataFrame, keys: list[str], parts: list[DataFrame]) -> DataFrame:
+        for k, part in enumerate(parts):
+            base = base.join(part.select(*keys, f"{self.name}__{k}"), keys, "left")
+        names = [f"{self.name}__{k}" for k in range(len(parts))]
+        return base.withColumn(self.name, F.array(*names)).drop(*names)
+
+    def fit_predict(self, frame: Frame, fold: str, folds: int) -> DataFrame:
+        made = [part.fit_predict(self.of(frame, k), k_folds(fold, folds)) for k, part in enumerate(self.parts)]
+        return self.together(frame.df.select(*frame.keys, *self.targets), frame.keys, made)
+
+    def predict(self, frame: Frame) -> DataFrame:
+        return self.together(frame.df.select(*frame.keys), frame.keys, [part.predict(frame) for part in self.parts])
+
+    def score(self, df: DataFrame) -> float:
+        """The mean of the metric over the targets."""
+        values = [self.task.score(df.withColumn("p__", F.col(self.name)[k]), t, "p__") for k, t in enumerate(self.targets)]
+        return sum(values) / len(values)
+
+
 @dataclass(frozen=True)
 class Uniform:
     low: float

@@ -135,3 +135,43 @@ def perturbed(df: DataFrame, key: str, tokens: str, samples: int, seed: int = 42
     out = out.withColumn("kept", kept)
     text = F.array_join(F.transform(F.filter(F.arrays_zip(F.col(tokens).alias("t"), F.col("kept").alias("k")), lambda x: x["k"] == 1), lambda x: x["t"]), " ")
     return out.select(key, "sample", "kept", text.alias("text"))
+
+
+class TextScore:
+    """A text column as one number: the out-of-fold prediction of a linear model over its TF-IDF vectors.
+
+    ``fit_predict`` gives each row the score of the model that hasn't seen its fold, ``predict`` the mean of all models.
+    """
+
+    def __init__(self, tokens: str, target: str, name: str, binary: bool = True, least_df: int = 5, penalty: float = 1e-2):
+        self.tokens, self.target, self.name, self.binary, self.penalty = tokens, target, name, binary, penalty
+        self.vectors, self.models = TfIdfVectors(tokens, "vector__", least_df), []
+
+    def scored(self, model, df: DataFrame, name: str) -> DataFrame:
+        from pyspark.ml.functions import vector_to_array
+
+        out = model.transform(df)
+        value = vector_to_array("probability")[1] if self.binary else F.col("prediction")
+        return out.withColumn(name, value).select(*df.columns, name)
+
+    def fit_predict(self, df: DataFrame, fold: str, folds: int) -> DataFrame:
+        from pyspark.ml.classification import LogisticRegression
+        from pyspark.ml.regression import LinearRegression
+
+        made = stored(self.vectors.fit(df).transform(df))
+        kind = LogisticRegression if self.binary else LinearRegression
+        parts = []
+        for k in range(folds):
+            self.models.append(kind(featuresCol="vector__", labelCol=self.target, regParam=self.penalty, maxIter=30).fit(made.filter(F.col(fold) != k)))
+            parts.append(self.scored(self.models[-1], made.filter(F.col(fold) == k), self.name).drop("vector__"))
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.unionByName(part)
+        return out
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        made, names = self.vectors.transform(df), []
+        for k, model in enumerate(self.models):
+            names.append(f"{self.name}__{k}")
+            made = self.scored(model, made, names[-1])
+        return made.withColumn(self.name, sum((F.col(n) for n in names), F.lit(0.0)) / len(names)).drop("vector__", *names)

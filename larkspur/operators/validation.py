@@ -27,13 +27,31 @@ def stratified_folds(df: DataFrame, target: str, order: list[str], k: int = 5, n
 
     A class is numbered in range partitions, from the counts before each, not in one task.
     """
+    placed = stratified_places(df, target, order)
+    return placed.withColumn(name, F.pmod(F.col("place_"), F.lit(k)).cast("int")).select(*df.columns, name)
+
+
+def stratified_places(df: DataFrame, target: str, order: list[str]) -> DataFrame:
+    """Adds place_: the number of rows of the same class before a row, in the order given."""
     ranged = df.repartitionByRange(target, *order).sortWithinPartitions(target, *order)
     ranged = stored(ranged.withColumns({"part_": F.spark_partition_id(), "place_": F.monotonically_increasing_id()}))
     sizes = ranged.groupBy(target, "part_").agg(F.count("*").alias("n_"), F.min("place_").alias("first_"))
     before = F.coalesce(F.sum("n_").over(Window.partitionBy(target).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     shift = sizes.select(F.col(target).alias("class_"), F.col("part_").alias("at_"), (before - F.col("first_")).alias("shift_"))
     joined = ranged.join(F.broadcast(shift), F.col(target).eqNullSafe(F.col("class_")) & (F.col("part_") == F.col("at_")))
-    return joined.withColumn(name, F.pmod(F.col("place_") + F.col("shift_"), F.lit(k)).cast("int")).select(*df.columns, name)
+    return joined.withColumn("place_", F.col("place_") + F.col("shift_")).drop("part_", "shift_", "class_", "at_")
+
+
+def stratified_split(df: DataFrame, by: list[str], keys: list[str], test: float = 0.2, seed: int = 42, name: str = "is_test") -> DataFrame:
+    """Adds ``name``: whether a row is among the last share ``test`` of its stratum, in the order of the MD5 of a seed and its keys.
+
+    A stratum is numbered in range partitions, from the counts before each, so that a large one is no single task.
+    """
+    hashed = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
+    placed = stratified_places(df.withColumns({"h_": hashed, "g_": F.struct(*by)}), "g_", ["h_", *keys])
+    sizes = df.groupBy(F.struct(*by).alias("of_")).agg(F.count("*").alias("n_"))
+    joined = placed.join(sizes, F.col("g_").eqNullSafe(F.col("of_")))
+    return joined.withColumn(name, F.col("place_") >= F.round(F.col("n_") * (1 - test))).select(*df.columns, name)
 
 
 def time_folds(df: DataFrame, time: str, k: int = 5, name: str = "fold") -> DataFrame:

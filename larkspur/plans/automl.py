@@ -6,7 +6,6 @@ predictions; it is stored, so that the plan stays short and the blend is searche
 
 from __future__ import annotations
 
-import json
 import logging
 import time
 from collections.abc import Callable
@@ -24,6 +23,7 @@ from larkspur.operators.datetimes import DaysToBase, Seasons, TimeToNumber
 from larkspur.operators.models import Algorithm, OutOfFold, Task, tune
 from larkspur.operators.numeric import FillInfinite, FillMedian, NullFlags, Numeric, QuantileBins, Scale
 from larkspur.operators.validation import k_folds
+from larkspur.plans import persistence
 from larkspur.plans.reader import Reader
 from larkspur.storage import stored
 
@@ -202,20 +202,19 @@ class TabularAutoML:
         return selection.roll_up(total, lambda c: next((s for s in sources if s in c), c))
 
     def save(self, path: str) -> None:
-        """Fitted models under ``path``/models, and roles and weights as one JSON text beside them."""
-        for level in self.members:
-            for m in level:
-                for k, model in enumerate(m.model.models):
-                    model.write().overwrite().save(f"{path}/models/{m.model.name}/{k}")
-        state = {"roles": {c: r.to_dict() for c, r in self.reader.state["roles"].items()}, "weights": getattr(self, "weights", None), "members": [[m.name for m in level] for level in self.members]}
-        SparkSession.active().createDataFrame([(json.dumps(state, default=str),)], "state string").coalesce(1).write.mode("overwrite").text(f"{path}/state")
+        """All that ``predict`` needs; ``TabularAutoML.load`` reads it."""
+        persistence.save(self, path)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> TabularAutoML:
+        return persistence.load(spark, path)
 
 
 def partial_dependence(automl: TabularAutoML, df: DataFrame, column: str, values: list) -> DataFrame:
-    """value and mean prediction with the column set to it in all rows: every row meets each value of the short list."""
-    grid = F.explode(F.array(*[F.lit(v) for v in values]))
-    spread = df.withColumn("value__", grid).withColumn(column, F.col("value__").cast(dict(df.dtypes)[column]))
-    key = automl.keys[0]
-    numbered = spread.withColumn("key__", F.col(key)).withColumn(key, F.xxhash64(key, "value__"))
-    scored = automl.predict(numbered.drop("value__", "key__"))
-    return numbered.select(key, "value__").join(scored, key).groupBy(F.col("value__").alias("value")).agg(F.avg("prediction").alias("prediction"))
+    """value and mean prediction with the column set to it in all rows: one pass of scoring for each value of the short list."""
+    out = None
+    kind = dict(df.dtypes)[column]
+    for v in values:
+        own = automl.predict(df.withColumn(column, F.lit(v).cast(kind))).agg(F.avg("prediction").alias("prediction")).select(F.lit(v).alias("value"), "prediction")
+        out = own if out is None else out.unionByName(own)
+    return out

@@ -437,3 +437,14 @@ def seasonal_trend(spark: SparkSession, sf: str) -> DataFrame:
 def flagship_features(spark: SparkSession, sf: str) -> DataFrame:
     made = flagship(spark, sf)
     return rounded(made.select("o_orderkey", "y", "fold", "scaler__o_totalprice", "le__c_mktsegment", "season_y__o_orderdate"))
+
+
+@query("""with p as (select o_orderpriority, avg(o_totalprice) as m, min(o_totalprice) as lo from orders group by 1), s as (select o_orderstatus, avg(o_totalprice) as m, min(o_totalprice) as lo from orders group by 1)
+    select o_orderkey, round(o_totalprice - p.m, 4) + 0.0 as delta_by_priority, p.lo as min_by_priority, round(o_totalprice - s.m, 4) + 0.0 as delta_by_status, s.lo as min_by_status
+    from orders join p using (o_orderpriority) join s using (o_orderstatus)""")
+def groupby_all(spark: SparkSession, sf: str) -> DataFrame:
+    df = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus", "o_totalprice")
+    frame = Frame(df, {"o_orderpriority": R.category(), "o_orderstatus": R.category(), "o_totalprice": R.numeric()}, ["o_orderkey"])
+    made = G.AllGroups(most=2, statistics=("delta_mean", "min")).fit_transform(frame).df
+    name = lambda g, s: F.col(f"grb__o_order{g}__{s}__o_totalprice")
+    return rounded(made.select("o_orderkey", *[name(g, s).alias(f"{a}_by_{g}") for g in ("priority", "status") for s, a in (("delta_mean", "delta"), ("min", "min"))]), 4)

@@ -237,3 +237,15 @@ def uplift_total_score(spark: SparkSession, sf: str) -> DataFrame:
     from (select *, row_number() over (order by p, event_id) as r, count(*) over () as n from {SCORED}) group by 1""")
 def uplift_bins(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(M.uplift_bins(scored(spark, sf), "y", "p", "t", ["event_id"]))
+
+
+@query("select l_linenumber as bin, min(l_extendedprice) as least, round(quantile_cont(l_extendedprice, 0.25), 4) as q25, round(quantile_cont(l_extendedprice, 0.5), 4) as median, round(quantile_cont(l_extendedprice, 0.75), 4) as q75, max(l_extendedprice) as greatest from lineitem group by 1")
+def prediction_spread(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(M.spread_by_bin(table(spark, sf, "lineitem"), "l_extendedprice", "l_linenumber"), 4)
+
+
+@query("""with e as (select l_quantity * 1500 - l_extendedprice as e from lineitem), r as (select min(e) as lo, max(e) as hi from e)
+    select least(floor((e - lo) / (hi - lo) * 10) + 1, 10)::integer as bin, count(*) as n from e, r group by 1""")
+def error_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    df = table(spark, sf, "lineitem").withColumn("p", F.col("l_quantity") * 1500)
+    return M.error_histogram(df, "l_extendedprice", "p")

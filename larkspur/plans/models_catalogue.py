@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from larkspur import roles as R
 from larkspur.frame import Frame
-from larkspur.operators import blending, models, selection, text, validation, vectors
+from larkspur.operators import blending, explain, models, selection, text, validation, vectors
 from larkspur.operators.base import lineage
 from larkspur.plans import automl, timeseries, uplift
 from larkspur.plans.flagship import FOLDS, ROLES, credit_frame
@@ -340,3 +340,29 @@ def uplift_means_x(spark: SparkSession, sf: str) -> DataFrame:
     e as (select n, round(sum(d * w) / sum(w), 9) as e from r group by 1) select c_custkey, round(e, 6)::double + 0.0 as uplift from {ARMS} join e using (n)""")
 def uplift_means_r(spark: SparkSession, sf: str) -> DataFrame:
     return by_learner("r", spark, sf)
+
+
+@query("""with f as (select l_quantity, l_discount, l_tax from lineitem), m as (select avg(l_quantity) as q, avg(l_discount) as d, avg(l_tax) as t from f)
+    select 'l_quantity' as feature, round(avg(abs(2 * (l_quantity - q) + (l_quantity * l_discount - q * d + l_quantity * d - q * l_discount) / 2)), 6)::double as importance from f, m
+    union all select 'l_discount', round(avg(abs((l_quantity * l_discount - q * d + q * l_discount - l_quantity * d) / 2)), 6)::double from f, m
+    union all select 'l_tax', round(avg(abs(30 * (l_tax - t))), 6)::double from f, m""")
+def shap_rank(spark: SparkSession, sf: str) -> DataFrame:
+    """Shapley values of a formula with an interaction, whose exact values are known: an order and its reverse give them."""
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    df = table(spark, sf, "lineitem").select(*keys, "l_quantity", "l_discount", "l_tax")
+    formula = 2 * F.col("l_quantity") + F.col("l_quantity") * F.col("l_discount") + 30 * F.col("l_tax")
+    values = explain.shapley_values(df, keys, ["l_quantity", "l_discount", "l_tax"], lambda d: d.withColumn("p", formula), samples=2)
+    return rounded(explain.shapley_rank(values))
+
+
+@query("""with r as (select *, row_number() over (partition by c_mktsegment, t order by md5('42|' || c_custkey), c_custkey) - 1 as p, count(*) over (partition by c_mktsegment, t) as n from (select c_custkey, c_mktsegment, c_custkey % 2 as t from customer))
+    select c_custkey, p >= round(n * 0.8) as is_test from r""")
+def stratified_split(spark: SparkSession, sf: str) -> DataFrame:
+    df = table(spark, sf, "customer").select("c_custkey", "c_mktsegment", (F.col("c_custkey") % 2).alias("t"))
+    return validation.stratified_split(df, ["c_mktsegment", "t"], ["c_custkey"]).select("c_custkey", "is_test")
+
+
+@query("select c_mktsegment as name, round(avg(c_acctbal), 4) as score, row_number() over (order by avg(c_acctbal) desc, c_mktsegment)::integer as rank from customer group by 1")
+def learner_rating(spark: SparkSession, sf: str) -> DataFrame:
+    scores = table(spark, sf, "customer").groupBy(F.col("c_mktsegment").alias("name")).agg(F.avg("c_acctbal").alias("score")).withColumn("place", F.col("name"))
+    return rounded(uplift.rating(scores), 4)

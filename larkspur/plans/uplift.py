@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur import roles as R
@@ -139,6 +139,11 @@ class RLearner(Learner):
 LEARNERS: dict[str, type[Learner]] = {"s": SLearner, "t": TLearner, "t2": T2Learner, "td": TDLearner, "x": XLearner, "r": RLearner}
 
 
+def rating(scores: DataFrame) -> DataFrame:
+    """name, score and rank of learners: the highest score first, of equals the one at the smaller place. One row for each learner."""
+    return scores.select("name", "score", F.row_number().over(Window.orderBy(F.desc_nulls_last("score"), "place")).alias("rank"))
+
+
 def choose_learner(df: DataFrame, valid: DataFrame, features: list[str], target: str, treatment: str, outcome: Callable[..., Scorer], names: list[str] | None = None, mode: str = "adj_qini") -> tuple[str, Learner, list[tuple[str, float]]]:
     """The learner with the best uplift AUC on the valid rows, fitted; and all scores, best first. One that fails is left out."""
     scores, fitted = [], {}

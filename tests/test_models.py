@@ -86,3 +86,41 @@ def test_out_of_fold_predictions_come_from_the_other_folds(scored):
             want = models.predict(model, data.filter("fold = 2"), models.Task("binary"), "p").select("id", "p").toPandas().set_index("id").p
             mine = got.filter("fold = 2").select("id", "p").toPandas().set_index("id").p
             assert np.allclose(mine.sort_index(), want.sort_index())
+
+
+def test_a_saved_preset_predicts_the_same(spark, data, tmp_path):
+    from larkspur.plans import automl
+    from larkspur.plans.flagship import ROLES, credit_frame
+
+    df = credit_frame(spark, data).df.drop("fold")
+    made = automl.TabularAutoML(models.Task("binary"), ["o_orderkey"], (("scorecard", "forest"),), 2, blend="mean")
+    made.fit_predict(df, {c: r for c, r in ROLES.items() if c != "fold"})
+    made.save(f"file://{tmp_path}/automl")
+    back = automl.TabularAutoML.load(spark, f"file://{tmp_path}/automl")
+    pairs = made.predict(df).join(back.predict(df).withColumnRenamed("prediction", "again"), "o_orderkey")
+    assert pairs.count() == df.count() and pairs.filter("abs(prediction - again) > 1e-9 or prediction is null").count() == 0
+
+
+def test_paths_nested_folds_and_several_targets(scored):
+    wide = scored.na.fill(0.0).withColumns({"fold": F.col("id") % 3, "z": F.col("a") * 2 + 1})
+    frame = Frame(wide, {"y": R.make("target"), "fold": R.make("folds"), "a": R.numeric(), "b": R.numeric()}, ["id"])
+    nested = models.Nested(models.Algorithm("linear"), models.Task("binary"), [10.0, 0.1, 1e-3])
+    got = nested.fit_predict(frame, validation.k_folds("fold", 3))
+    assert got.count() == 400 and got.filter("p is null").count() == 0 and len(nested.chosen) == 3
+    assert metrics.score(got, "y", "p", "auc") > 0.7
+    both = models.MultiOutput(models.Algorithm("linear", {"regParam": 0.0}), models.Task("reg"), ["y", "z"])
+    out = both.fit_predict(frame, "fold", 3)
+    assert out.filter("size(p) = 2 and abs(p[1] - z) < 1e-6").count() == 400
+    assert both.score(out) == pytest.approx(metrics.score(out.withColumn("q", F.col("p")[0]), "y", "q", "mse") / 2, abs=1e-6)
+
+
+def test_a_text_becomes_one_score(spark):
+    from larkspur.operators.text import TextScore
+
+    words = ["red", "blue", "green", "sun", "moon", "star"]
+    rows = [(k, [words[(k * 7 + j * j + k // 6) % 6] for j in range(3)] + (["good"] if k % 2 else ["bad"]), k % 2, k // 2 % 3) for k in range(60)]
+    df = spark.createDataFrame(rows, "id int, tokens array<string>, y int, fold int")
+    model = TextScore("tokens", "y", "score", least_df=2)
+    got = model.fit_predict(df, "fold", 3)
+    assert got.count() == 60 and got.filter("(score > 0.5) <> (y = 1)").count() == 0
+    assert model.predict(df).filter("(score > 0.5) <> (y = 1)").count() == 0
