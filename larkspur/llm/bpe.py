@@ -245,18 +245,17 @@ class Codec(ChunkEncoder):
         return np.where(self.pair_keys[at] == keys, self.pair_rank[at], -1).astype(np.int32)
 
     def encode_each(self, strings: list[str]) -> list[bytes]:
-        find, known, rank_of = self.find, self.pieces, self.ranks.get
+        find, rank_of = self.find, self.ranks.get
         split = [find(s) for s in strings]
-        made: dict[str, bytes | None] = {}
+        different: set[str] = set()
         again: set[str] = set()
         for pieces in split:
             for piece in pieces:
-                if piece in made:
-                    again.add(piece)
-                else:
-                    made[piece] = known.get(piece)
+                (again if piece in different else different).add(piece)
+        made = self.pieces.known(different)
+        again.difference_update(made)
         short: list[str] = []
-        for piece in [p for p, ids in made.items() if ids is None]:
+        for piece in different.difference(made):
             data = piece.encode("utf-8", "surrogatepass")
             if (whole := rank_of(data)) is not None:
                 made[piece] = whole.to_bytes(4, "little")
@@ -267,8 +266,8 @@ class Codec(ChunkEncoder):
         for part in runs(short, MERGED_BYTES):
             made.update(zip(part, self.merge_many([p.encode("utf-8", "surrogatepass") for p in part]), strict=True))
         for piece in again:
-            if len(piece) <= LONG and piece not in known:
-                known.remember(piece, made[piece])
+            if len(piece) <= LONG:
+                self.pieces.remember(piece, made[piece])
         return [made[p[0]] if len(p) == 1 else b"".join(map(made.__getitem__, p)) for p in split]
 
     @functools.cached_property

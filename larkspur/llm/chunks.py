@@ -6,18 +6,17 @@ therefore cut at single spaces, and each chunk is encoded with the space before
 white space meets a space is encoded as a whole. A pattern that doesn't treat such spaces so is found
 out by :func:`cuts_at_spaces`, and then every text is encoded as a whole.
 
-Texts are encoded in groups of a bounded number of characters. What occurs more than once in a group
-is remembered for later groups; the bytes of all that is remembered are counted as it is added.
+Texts are encoded in groups of a bounded number of characters, and chunks are remembered from group to
+group; the bytes of all that is remembered are counted as it is added.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from string import punctuation
 
-#: Bytes that a cache may hold, with OVERHEAD for each entry; before it would hold more it is emptied.
-CACHE_BYTES = 64 << 20
+#: Bytes that a cache may hold, with OVERHEAD for each entry.
+CACHE_BYTES = 96 << 20
 OVERHEAD = 200
 #: Characters of the texts that are encoded at once; a longer text is a group of its own.
 GROUP_CHARS = 8 << 20
@@ -25,21 +24,36 @@ GROUP_CHARS = 8 << 20
 LONG = 64
 
 
-class ByteCache(dict):
-    """A dictionary from strings to packed ids that counts its bytes and is emptied before it exceeds ``most``."""
+class ByteCache:
+    """Packed ids by string, in two generations that count their bytes.
+
+    When the younger one would exceed half of ``most`` it becomes the older one, and what the older one
+    held is forgotten, but for what was looked up since: that has moved to the younger one.
+    """
 
     def __init__(self, most: int = CACHE_BYTES):
-        super().__init__()
         self.most, self.held = most, 0
+        self.young: dict[str, bytes | None] = {}
+        self.old: dict[str, bytes | None] = {}
 
     def remember(self, key: str, ids: bytes | None) -> None:
         size = OVERHEAD + 2 * len(key) + len(ids or b"")
-        if self.held + size > self.most:
-            self.clear()
-            self.held = 0
-        self[key] = ids
+        if self.held + size > self.most // 2:
+            self.young, self.old, self.held = {}, self.young, 0
+        self.young[key] = ids
         self.held += size
 
+    def known(self, keys: Iterable[str]) -> dict[str, bytes | None]:
+        """The ids of the keys that are remembered."""
+        young, old = self.young, self.old
+        found = {k: young[k] for k in keys if k in young}
+        if old:
+            again = {k: old[k] for k in keys if k in old and k not in found}
+            for k, ids in again.items():
+                self.remember(k, ids)
+            found.update(again)
+        return found
+
 
 def cuts_at_spaces(find: Callable[[str], list[str]]) -> bool:
     """Whether the pattern splits before a single space between any two of some characters of each kind."""
@@ -62,6 +76,7 @@ def groups(texts: list[str | None], most_chars: int = GROUP_CHARS) -> Iterator[l
 
 class ChunkEncoder:
     cut = True  # whether the pattern lets texts be cut at single spaces
+    group_chars = GROUP_CHARS
 
     def __init__(self, cache_bytes: int = CACHE_BYTES) -> None:
         self.chunks = ByteCache(cache_bytes)  # what stands after a space -> packed ids of the space and it
@@ -76,7 +91,6 @@ class ChunkEncoder:
         Punctuation after a letter opens a match of its own, so a word is encoded once with all that
         may follow it.
         """
-        known = self.chunks
         made: dict[str, bytes | None] = {}
         split, words, tails = [], set(), set()
         for chunk in chunks:
@@ -89,7 +103,7 @@ class ChunkEncoder:
                 split.append((chunk, word, chunk[len(word) :]))
                 words.add(word)
                 tails.add(split[-1][2])
-        stem = {w: ids for w in words if (ids := known.get(w)) is not None}
+        stem = {w: ids for w, ids in self.chunks.known(words).items() if ids is not None}
         new, ends = list(words.difference(stem)), list(tails)
         ids = self.encode_each([" " + w for w in new] + ends)
         stem.update(zip(new, ids, strict=False))
@@ -100,17 +114,16 @@ class ChunkEncoder:
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; null counts as empty."""
         if not self.cut:
-            return [x for group in groups(texts) for x in self.encode_each([t or "" for t in group])]
-        return [x for group in groups(texts) for x in self.encode_group(group)]
+            return [x for group in groups(texts, self.group_chars) for x in self.encode_each([t or "" for t in group])]
+        return [x for group in groups(texts, self.group_chars) for x in self.encode_group(group)]
 
     def encode_group(self, texts: list[str | None]) -> list[bytes]:
-        times: Counter[str] = Counter()
+        different: set[str] = set()
         for text in texts:
             if text:
-                times.update(text.split(" ")[1:])
-        known = self.chunks
-        ids_of = {c: known[c] for c in times if c in known}
-        made = self.learn([c for c in times if c not in ids_of])
+                different.update(text.split(" ")[1:])
+        ids_of = self.chunks.known(different)
+        made = self.learn(list(different.difference(ids_of)))
         ids_of.update(made)
         out: list[bytes] = []
         first: list[tuple[int, str]] = []  # what is still to be encoded as a whole, and put before the rest
@@ -128,6 +141,6 @@ class ChunkEncoder:
         for (k, _), ids in zip(first, self.encode_each([x for _, x in first]), strict=True):
             out[k] = ids + out[k]
         for chunk, ids in made.items():
-            if times[chunk] > 1 and len(chunk) <= LONG:
-                known.remember(chunk, ids)
+            if len(chunk) <= LONG:
+                self.chunks.remember(chunk, ids)
         return out

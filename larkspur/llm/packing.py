@@ -34,6 +34,8 @@ RUN = 4096
 class LibraryEncoder(ChunkEncoder):
     """Ids by a tokenizer file of the ``tokenizers`` library with byte-level splitting."""
 
+    group_chars = 4 << 20
+
     def __init__(self, path: str):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
