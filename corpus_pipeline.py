@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from larkspur.llm import ngram_join, packing, quality, toxicity
 from larkspur.llm.shared import shared_dir
 
+#: Rows of all kinds are decided on: a null or empty text is scored as one without words, repeated rows alike; other columns pass through.
 QUALITY_LEAST, TOXIC_LEAST, SIMILARITY = 0.7, 0.3, 0.8
 
 
@@ -52,7 +53,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", keep_good), ("toxicity", drop_toxic), ("near_duplicates", drop_copies), ("packing", pack)]
 
-#: Learned models and similarity joins are not expressible in SQL; the stages are tested against brute force.
+#: Learned models and similarity joins are not expressible in SQL; tests/llm/test_pipeline.py holds the stages against plain versions.
 ORACLE_SQL = None
 
 
