@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.llm.shared import add_columns, quoted, settle, slices, split_remainder
+from larkspur.llm.shared import add_columns, others, quoted, settle, slices, split_remainder
 
 ORDER = 4
 CACHED_WORDS = 300_000
@@ -281,7 +281,7 @@ def languages(df: DataFrame, model: Model, text_col: str = "text", keep: list[st
     priors, with the evidence of at most 20 symbols. Existing columns of these names are replaced.
     """
     made = {"lang_pred", "score", "cross_entropy", "rejected", "entropies", "n_symbols"}
-    kept = [c for c in (df.columns if keep is None else keep) if c not in made]
+    kept = others(df.columns if keep is None else keep, list(made))
     if not model.langs:
         none = [F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("cross_entropy"), F.lit(False).alias("rejected")]
         return df.select(*[F.col(quoted(c)) for c in kept], *none)

@@ -2,10 +2,11 @@
 
 A node is a distinct text; copies are counted, not compared. Its n-gram set is hashed to bands of
 MinHash rows, whose number follows from the threshold and the recall wanted at it. Nodes that share a
-band meet in a bucket. A bucket is compared as a whole by counting common n-grams, a large one in
-blocks, each pair of blocks a task of its own; pairs are counted where they meet first and never
-written out. What leaves a bucket is, for each of its nodes, a number of links and one edge of a
-spanning star, so the output is linear in the members. Classes are the connected components.
+band meet in a bucket (:mod:`larkspur.llm.buckets`), to which their n-gram sets are sent. A bucket is
+compared as a whole by counting common n-grams, a large one in blocks, each pair of blocks a task of
+its own; pairs are counted where they meet first and never written out. What leaves a bucket is, for
+each of its nodes, a number of links and one edge of a spanning star, so the output is linear in the
+members. Classes are the connected components.
 """
 
 from __future__ import annotations
@@ -20,14 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from larkspur.llm import buckets as B
 from larkspur.llm.components import components
-from larkspur.llm.shared import add_columns, quoted, settle
+from larkspur.llm.shared import add_columns, fresh, quoted, settle
 
 CACHED_WORDS = 200_000
-#: A bucket is cut into blocks of about so many members and characters.
-BLOCK_ROWS, BLOCK_CHARS = 2048, 24_000_000
-#: N-grams in at least so many members of a bucket are counted by matrix products, the others pair by pair.
-FREQUENT = 32
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -100,71 +98,6 @@ def band_hashes(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
     return out
 
 
-def near_pairs(sets: list[np.ndarray], open_pair: np.ndarray, threshold: float) -> np.ndarray:
-    """Pairs (i, j) that ``open_pair`` marks and whose sets have at least the threshold's Jaccard similarity, as an array of two columns."""
-    n = len(sets)
-    sizes = np.array(list(map(len, sets)))
-    low, high = np.minimum(sizes[:, None], sizes[None]), np.maximum(sizes[:, None], sizes[None])
-    open_pair = open_pair & (low >= threshold * high)
-    left, right = np.nonzero(open_pair)
-    if len(left) <= max(64, n):  # few pairs: one by one
-        keep = []
-        for i, j in zip(left.tolist(), right.tolist(), strict=True):
-            common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            keep.append(common / max(1, sizes[i] + sizes[j] - common) >= threshold)
-        keep = np.array(keep, bool)
-        return np.column_stack([left[keep], right[keep]])
-    owner = np.repeat(np.arange(n), sizes)
-    _, gram, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    common = np.zeros((n, n), np.float32)
-    frequent = np.flatnonzero(count >= FREQUENT)
-    column = np.full(len(count), -1)
-    column[frequent] = np.arange(len(frequent))
-    for start in range(0, len(frequent), 4096):
-        inside = (column[gram] >= start) & (column[gram] < start + 4096)
-        part = np.zeros((n, min(4096, len(frequent) - start)), np.float32)
-        part[owner[inside], column[gram[inside]] - start] = 1
-        common += part @ part.T
-    order = np.argsort(gram, kind="stable")
-    by_gram, first = owner[order], np.concatenate([[0], np.cumsum(count)[:-1]])
-    flat = common.reshape(-1)
-    for d in range(2, FREQUENT):
-        if len(at := first[count == d]):
-            members = by_gram[at[:, None] + np.arange(d)]
-            for x in range(d):
-                for y in range(d):
-                    if x != y:
-                        np.add.at(flat, members[:, x] * n + members[:, y], 1)
-    both = common[left, right].astype(np.float64)
-    keep = both / np.maximum(1, sizes[left] + sizes[right] - both) >= threshold
-    return np.column_stack([left[keep], right[keep]])
-
-
-def compare(keys: list[bytes], sets: list[np.ndarray], bands: np.ndarray, band: int, block: np.ndarray, threshold: float) -> list[tuple[bytes, int, bytes]]:
-    """(key, new links, key of the least linked member) of the members that have a link first met in this band."""
-    n = len(keys)
-    open_pair = np.triu(np.ones((n, n), bool), 1)
-    if (block != block[0]).any():
-        open_pair &= block[:, None] != block[None]
-    for earlier in range(band):
-        open_pair &= bands[:, None, earlier] != bands[None, :, earlier]
-    pairs = near_pairs(sets, open_pair, threshold)
-    links = np.bincount(pairs.ravel(), minlength=n)
-    root = list(range(n))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    for i, j in pairs.tolist():
-        a, b = find(i), find(j)
-        if a != b:
-            root[max(a, b)] = min(a, b)
-    return [(keys[i], int(links[i]), keys[find(i)]) for i in np.flatnonzero(links)]
-
-
 def ngram_join(
     df: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.995, id_col: str = "doc_id", text_col: str = "text", most_hashes: int = 48
 ) -> DataFrame:
@@ -188,53 +121,23 @@ def ngram_join(
 
         def work(texts: pa.Array) -> list:
             sets = [grams(x.as_py()) for x in texts]
-            some = [i for i, s in enumerate(sets) if len(s)]
+            sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+            some = np.flatnonzero(sizes)
             out = np.zeros((len(sets), bands), np.int64)
             out[some] = band_hashes([sets[i] for i in some], bands, rows).view(np.int64)
-            none = np.ones(len(sets), bool)
-            none[some] = False
-            return [pa.array(out[:, k], mask=none) for k in range(bands)]
+            return [pa.array(sizes), *(pa.array(out[:, k], mask=sizes == 0) for k in range(bands))]
 
         return work
 
-    signed = add_columns(
-        keyed.withColumn("chars", F.length("text").cast("long")), ["text"], make, [T.StructField(c, T.LongType()) for c in names], keep=["doc_id", "text_key", "chars"]
-    )
-    signed = settle(signed)
-    nodes = settle(signed.groupBy("text_key").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n_copies"), F.max("chars").alias("chars"), *[F.max(c).alias(c) for c in names]))
-
-    # buckets with at least two nodes, and how many blocks each needs
-    members = nodes.filter(F.col(names[0]).isNotNull()).select("text_key", "chars", F.posexplode(F.array(*names)).alias("band", "bucket"))
-    large = F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("sum_chars") / BLOCK_CHARS)).cast("int")
-    buckets = settle(members.groupBy("band", "bucket").agg(F.count("*").alias("n"), F.sum("chars").alias("sum_chars")).filter("n > 1").select("band", "bucket", large.alias("blocks")))
-    # at most one entry per band for each node
-    met = members.join(buckets, ["band", "bucket"]).groupBy("text_key").agg(F.collect_list(F.struct("band", "bucket", "blocks")).alias("met"))
-    texts = keyed.groupBy("text_key").agg(F.first("text").alias("text"))
-    own = F.pmod(F.xxhash64("text_key", "m.bucket"), F.col("m.blocks")).cast("int")
-    dealt = (
-        texts.join(met, "text_key")
-        .join(nodes.select("text_key", F.array(*names).alias("bands")), "text_key")
-        .select("text_key", "text", "bands", F.explode("met").alias("m"))
-        .select("text_key", "text", "bands", "m.band", "m.bucket", "m.blocks", own.alias("block"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .withColumn("low", F.least("block", "other"))
-        .withColumn("high", F.greatest("block", "other"))
-    )
-
-    def verify(group: pa.Table) -> pa.Table:
-        found: list[tuple[bytes, int, bytes]] = []
-        block, low, high = group["block"].to_numpy(), group["low"][0].as_py(), group["high"][0].as_py()
-        if group.num_rows > 1 and (low == high or len(np.unique(block)) == 2):
-            group = group.sort_by("text_key")
-            grams = shingler(n).ngrams
-            signs = np.array(group["bands"].to_pylist(), np.int64)
-            found = compare(
-                group["text_key"].to_pylist(), [grams(x.as_py()) for x in group["text"]], signs, group["band"][0].as_py(), group["block"].to_numpy(), threshold
-            )
-        columns = list(zip(*found, strict=True)) or [(), (), ()]
-        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int64(), pa.binary()), strict=True)], names=["a", "links", "b"])
-
-    linked = settle(dealt.groupBy("band", "bucket", "low", "high").applyInArrow(verify, "a binary, links long, b binary"))
+    fields = [T.StructField(c, T.LongType()) for c in ("size", *names)]
+    signed = settle(add_columns(keyed, ["text"], make, fields, keep=["doc_id", "text_key"]))
+    nodes = signed.groupBy("text_key").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n_copies"), F.max("size").alias("size"), *[F.max(c).alias(c) for c in names])
+    nodes = settle(nodes.select("text_key", "least_id", "n_copies", "size", F.when(F.col(names[0]).isNotNull(), F.array(*names)).alias("bands")))
+    members = B.members_of(nodes.withColumnRenamed("text_key", "key"))
+    met = settle(members.join(B.shared_buckets(members), ["band", "bucket"]).select("key", "size", "band", "bucket"))
+    # texts travel once, by their key; what is compared are the sets
+    sets = B.gram_sets(keyed.select(F.col("text_key").alias("key"), "text"), met.select("key").distinct(), lambda: shingler(n).ngrams)
+    linked = B.compared(sets.join(nodes.select(F.col("text_key").alias("key"), "bands"), "key"), B.tasks_of(met, threshold), threshold)
     counted = linked.groupBy(F.col("a").alias("text_key")).agg(F.sum("links").alias("n_links"))
     roots = components(linked.select("a", "b"))
     order = F.struct(F.col("least_id").isNull().alias("none"), "least_id", "text_key")
@@ -268,10 +171,3 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
         return rows.drop(key)
     firsts = rows.groupBy(F.col(quoted(id_col)).alias(kept_id), F.col(key).alias(kept_key)).agg(F.first(F.struct(*map(quoted, df.columns))).alias(key))
     return firsts.select(*[F.col(key).getField(c).alias(c) for c in df.columns])
-
-
-def fresh(columns: list[str], name: str) -> str:
-    """A column name that isn't taken."""
-    while name.lower() in {c.lower() for c in columns}:
-        name += "_"
-    return name

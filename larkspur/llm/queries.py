@@ -7,11 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm.bpe import encode_bpe
+from larkspur.llm.circulant import near_duplicates
 from larkspur.llm.langid import language_of_documents
 from larkspur.llm.media import media_columns
 from larkspur.llm.ngram_join import ngram_join
 from larkspur.llm.packing import pack_documents
 from larkspur.llm.quality import quality_scores
+from larkspur.llm.resampling import resample
 from larkspur.llm.sharding import shard_rows
 from larkspur.llm.topk import top_k
 from larkspur.llm.toxicity import toxicity_scores
@@ -53,8 +55,7 @@ def dated_list(pages: DataFrame) -> DataFrame:
     )
     paths = hashed(pages.select(F.concat(host, F.regexp_extract("url", PATH, 1)).alias("value")).filter("value <> ''"))
     whole = made(paths.filter("h % 11 = 0"), "prefix", [turn("add", first)])
-    spark = pages.sparkSession
-    one = spark.createDataFrame([("domain", "example.net", "add", 100), ("domain", "example.net", "remove", 130)], "kind string, value string, action string, n int")
+    one = pages.sparkSession.sql("select * from values ('domain', 'example.net', 'add', 100), ('domain', 'example.net', 'remove', 130) as t(kind, value, action, n)")
     return domains.unionByName(folders).unionByName(whole).unionByName(one.select("kind", "value", "action", day(F.col("n")).alias("at")))
 
 
@@ -96,6 +97,14 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_url_filter": op2_url_filter,
@@ -107,6 +116,8 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_ngram_join": op9_ngram_join,
     "op10_top_k": op10_top_k,
+    "op12_resampling": op12_resampling,
+    "op13_near_duplicates": op13_near_duplicates,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_url_filter": r"""

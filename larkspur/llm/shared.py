@@ -60,11 +60,10 @@ def add_columns(
 
     ``make`` runs once per task and returns a function from Arrow arrays (one per column of
     ``read``) to lists or Arrow arrays (one per field). ``keep`` names the columns that stay (all by
-    default); a kept column with the name of a new one is replaced by the new one. Rows keep their
-    order and number; the exchange with Python is in Arrow batches, with no shuffle.
+    default); a kept column with the name of a new one, in any case, is replaced by the new one. Rows keep
+    their order and number; the exchange with Python is in Arrow batches, with no shuffle.
     """
-    new = {f.name for f in fields}
-    keep = [c for c in (df.columns if keep is None else keep) if c not in new]
+    keep = others(df.columns if keep is None else keep, [f.name for f in fields])
     sent = keep + [c for c in read if c not in keep]
     names = [f.name for f in fields]
     types = [to_arrow_type(f.dataType) for f in fields]
@@ -86,6 +85,19 @@ def slices(batch: pa.RecordBatch, most_bytes: int = SLICE_BYTES) -> Iterator[pa.
     return (batch.slice(a, step) for a in range(0, batch.num_rows, step))
 
 
+def others(columns: list[str], made: list[str]) -> list[str]:
+    """The columns that have none of the names ``made``; as in Spark, case makes no difference."""
+    taken = {c.lower() for c in made}
+    return [c for c in columns if c.lower() not in taken]
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """A column name that isn't taken, in any case."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 

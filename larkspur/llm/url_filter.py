@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.shared import quoted, settle
+from larkspur.llm.shared import fresh, others, quoted, settle
 
 #: Intervals of a list that is broadcast.
 MOST_BROADCAST = 250_000
@@ -67,22 +67,15 @@ def validity(entries: DataFrame) -> DataFrame:
     return ends.filter("listed").select("kind", "value", F.col("at").alias("valid_from"), "valid_to")
 
 
-def fresh(columns: list[str], name: str) -> str:
-    """A column name that isn't taken."""
-    while name.lower() in {c.lower() for c in columns}:
-        name += "_"
-    return name
-
-
 def filter_urls(captures: DataFrame, entries: DataFrame, url_col: str = "url", time_col: str = "fetched_at", most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """Add host, blocked, n_entries, entry (the least matching value) and listed_since (its list date) to every capture.
 
     A capture with a null URL or time matches nothing; it, and one without a host, is not blocked.
-    Repeated captures are judged each. Columns of these names that ``captures`` has are replaced; others
-    may have any name. Only URLs and times are looked up and shuffled before the last join.
+    Repeated captures are judged each. Columns of these names, in any case, that ``captures`` has are
+    replaced; others may have any name. Only URLs and times are looked up and shuffled before the last join.
     """
     made = ["host", "blocked", "n_entries", "entry", "listed_since"]
-    kept = [c for c in captures.columns if c not in made]
+    kept = others(captures.columns, made)
     url, at = F.col(quoted(url_col)), F.col(quoted(time_col))
     intervals = settle(validity(entries))
     slashes = F.length("value") - F.length(F.replace("value", F.lit("/"), F.lit("")))
@@ -102,7 +95,11 @@ def filter_urls(captures: DataFrame, entries: DataFrame, url_col: str = "url", t
     active = met.filter((F.col("at") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("at") < F.col("valid_to"))))
     url_key, time_key, n, least = (fresh(captures.columns, f"capture_{x}") for x in ("url", "time", "n", "least"))
     hits = active.groupBy(F.col("url").alias(url_key), F.col("at").alias(time_key)).agg(F.count("*").alias(n), F.min(F.struct("value", "valid_from")).alias(least))
-    rows = captures.select(*map(quoted, kept), url.alias(url_key), at.alias(time_key)).join(hits, [url_key, time_key], "left")
+    rows = captures.select(*map(quoted, kept), url.alias(url_key), at.alias(time_key))
+    # captures without a URL or time match nothing; they aren't shuffled to one partition for it
+    known = F.col(url_key).isNotNull() & F.col(time_key).isNotNull()
+    empty = rows.filter(~known).withColumns({n: F.lit(None).cast("long"), least: F.lit(None).cast(hits.schema[least].dataType)})
+    rows = rows.filter(known).join(hits, [url_key, time_key], "left").select(*map(quoted, rows.columns), n, least).unionByName(empty)
     return rows.select(
         *map(quoted, kept),
         F.coalesce(host_of(F.col(url_key)), F.lit("")).alias("host"),

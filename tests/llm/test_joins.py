@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from larkspur.llm import buckets as B
 from larkspur.llm import ngram_join as N
 from larkspur.llm.components import components
 from larkspur.llm.sharding import shard_rows
@@ -75,7 +76,7 @@ def brute(texts, threshold=0.8):
 
 @pytest.mark.parametrize("block", [2048, 2])
 def test_ngram_join(docs, block, monkeypatch):
-    monkeypatch.setattr(N, "BLOCK_ROWS", block)
+    monkeypatch.setattr(B, "BLOCK_ROWS", block)
     rows = docs.collect()
     links, root = brute([r["text"] or "" for r in rows])
     got = N.ngram_join(docs, recall=0.9999).select("doc_id", F.hex("text_key").alias("k"), "class_id", "n_copies", "n_links", "keep").collect()
@@ -129,7 +130,7 @@ def test_near_pairs_counts_exactly():
     base = r.integers(0, 1 << 62, 60, dtype=np.int64).astype(np.uint64)
     sets = [np.unique(np.concatenate([base[r.permutation(60)[: r.integers(50, 60)]], r.integers(0, 1 << 62, 3).astype(np.uint64)])) for _ in range(150)]
     open_pair = np.triu(np.ones((150, 150), bool), 1)
-    got = {tuple(p) for p in N.near_pairs(sets, open_pair, 0.8).tolist()}
+    got = {tuple(p) for p in B.near_pairs(sets, open_pair, 0.8).tolist()}
     plain = [set(s.tolist()) for s in sets]
     assert got == {(i, j) for i in range(150) for j in range(i + 1, 150) if len(plain[i] & plain[j]) / len(plain[i] | plain[j]) >= 0.8}
 
