@@ -14,29 +14,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm import ngram_join, packing, quality, toxicity
-from larkspur.llm.shared import shared_dir
+from larkspur.llm.shared import fresh, shared_dir
 
 #: Rows of all kinds are decided on: a null or empty text is scored as one without words, repeated rows alike; other columns pass through.
 QUALITY_LEAST, TOXIC_LEAST, SIMILARITY = 0.7, 0.3, 0.8
 
 
-def fresh(df: DataFrame, name: str) -> str:
-    """A column name that ``df`` doesn't have."""
-    while name in df.columns:
-        name += "_"
-    return name
-
-
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score reaches the threshold."""
-    labels, name = spark.read.parquet(f"{sf_dir}/labels.parquet"), fresh(docs, "quality_score")
+    labels, name = spark.read.parquet(f"{sf_dir}/labels.parquet"), fresh(docs.columns, "quality_score")
     scored = quality.score(docs, quality.fit(docs, labels), score_col=name)
     return scored.filter(F.col(name) >= QUALITY_LEAST).select(*docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score stays below the threshold."""
-    labels, name = spark.read.parquet(f"{sf_dir}/labels.parquet"), fresh(docs, "toxicity_score")
+    labels, name = spark.read.parquet(f"{sf_dir}/labels.parquet"), fresh(docs.columns, "toxicity_score")
     scored = toxicity.score(docs, toxicity.fit(docs, labels), score_col=name)
     return scored.filter(F.col(name) < TOXIC_LEAST).select(*docs.columns)
 
