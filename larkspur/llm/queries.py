@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from larkspur.llm.bpe import encode_bpe
 from larkspur.llm.circulant import near_duplicates
+from larkspur.llm.hard_negatives import hard_negatives
 from larkspur.llm.langid import language_of_documents
 from larkspur.llm.media import media_columns
 from larkspur.llm.ngram_join import ngram_join
@@ -97,6 +98,11 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
 def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -116,6 +122,7 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_ngram_join": op9_ngram_join,
     "op10_top_k": op10_top_k,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_resampling": op12_resampling,
     "op13_near_duplicates": op13_near_duplicates,
 }
@@ -179,4 +186,28 @@ ORACLE_SQL: dict[str, str] = {
         )
         select query_id, cast(rank as integer) as rank, vec_id, score from ranked where rank <= 5
     """,
+    "op11_hard_negatives": """
+        with vectors as (
+            select vec_id, min({'label': cast(case when vec_id % 7 = 0 then (label + 1) % 10 else label end as varchar),
+                'v': list_transform(embedding, lambda x: cast(floor(cast(x as double) * 256) as bigint))}) as x
+            from embeddings
+            where vec_id is not null and label is not null and embedding is not null
+                and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+            group by vec_id
+        ), scored as (
+            select q.vec_id as anchor_id, c.vec_id, q.x['label'] = c.x['label'] as same,
+                cast(list_sum(list_transform(list_zip(q.x['v'], c.x['v']), lambda p: p[1] * p[2])) as bigint) as score
+            from vectors q join vectors c on q.vec_id <> c.vec_id
+            where q.vec_id % 100 = 0
+        ), positives as (
+            select anchor_id, vec_id as positive_id, score as positive_score
+            from (select *, row_number() over (partition by anchor_id order by score desc, vec_id) as r from scored where same) where r <= 5
+        ), ranked as (
+            select p.anchor_id, positive_id, s.vec_id as negative_id, positive_score, s.score as negative_score,
+                row_number() over (partition by p.anchor_id, positive_id order by s.score desc, s.vec_id) as rank
+            from positives p join scored s on p.anchor_id = s.anchor_id
+            where not s.same and 30 * positive_score <= 100 * s.score and 100 * s.score <= 90 * positive_score
+        )
+        select anchor_id, positive_id, cast(rank as integer) as rank, negative_id, positive_score, negative_score from ranked where rank <= 10
+    """,
 }
