@@ -130,7 +130,7 @@ def f1_averages(df: DataFrame, y: Column, p: Column) -> DataFrame:
 
 def auc(df: DataFrame, y: str, p: str, by: list[str] = (), name: str = "auc") -> DataFrame:
     """Area under the ROC curve with mid-ranks for ties: pairs below plus half of the pairs level, over all pairs; ``by`` names few groups."""
-    ranked = running(df, p, {"pos": F.col(y).cast("double"), "neg": 1 - F.col(y).cast("double")}, by, columns=True)
+    ranked = running(df, p, {"pos": F.col(y).cast("double"), "neg": 1 - F.col(y).cast("double")}, by)
     area = F.sum(F.col("pos") * (F.col("cum_neg") - F.col("neg") / 2))
     value = F.try_divide(area, F.sum("pos") * F.sum("neg")).alias(name)
     return ranked.groupBy(*by).agg(value) if by else ranked.agg(value)
@@ -164,7 +164,7 @@ def gini(df: DataFrame, columns: list[str], y: str) -> DataFrame:
     # n tied rows add the running sum before them n times and s * (n + 1) / 2
     ties = lambda n, s: F.sum(F.col(f"{n}") * (F.col(f"cum_{s}") - F.col(s)) + F.col(s) * (F.col(n) + 1) / 2)
     value = lambda area, s, n: (area / F.sum(s) - (F.sum(n) + 1) / 2) / F.sum(n)
-    own = running(long, "p", {"n": F.lit(1), "s": F.col("y")}, ["feature"], columns=True).groupBy("feature").agg(value(ties("n", "s"), "s", "n").alias("g_p"))
+    own = running(long, "p", {"n": F.lit(1), "s": F.col("y")}, ["feature"]).groupBy("feature").agg(value(ties("n", "s"), "s", "n").alias("g_p"))
     # the perfect order is the target's own: for many columns at once, each over the rows that have its value
     best = None
     for at in range(0, len(columns), COLUMNS_AT_ONCE):
@@ -246,7 +246,7 @@ def histogram(df: DataFrame, x: str, bins: int = 10, by: list[str] = ()) -> Data
 def spread_by_bin(df: DataFrame, x: str, bin_: str) -> DataFrame:
     """bin, least, q25, median, q75 and greatest value of a number in each of a few bins."""
     ends = df.filter(F.col(x).isNotNull()).groupBy(F.col(bin_).alias("bin")).agg(F.min(x).alias("least"), F.max(x).alias("greatest"))
-    inside = quantiles(df, x, [0.25, 0.5, 0.75], [bin_], ["q25", "median", "q75"], columns=True).withColumnRenamed(bin_, "bin")
+    inside = quantiles(df, x, [0.25, 0.5, 0.75], [bin_], ["q25", "median", "q75"]).withColumnRenamed(bin_, "bin")
     return ends.join(inside, "bin").select("bin", "least", "q25", "median", "q75", "greatest")
 
 
@@ -273,7 +273,7 @@ def profile_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x")).select("x.*")
     long = long.withColumn("v", F.when(~F.isnan("v"), F.col("v")))
     plain = long.groupBy("feature").agg(F.avg(F.col("v").isNull().cast("double")).alias("null_rate"), F.min("v").alias("min"), F.avg("v").alias("mean"), F.max("v").alias("max"))
-    return plain.join(quantiles(long, "v", [0.25, 0.5, 0.75], ["feature"], ["q25", "median", "q75"], columns=True), "feature", "left").select("feature", "null_rate", "min", "q25", "mean", "median", "q75", "max")
+    return plain.join(quantiles(long, "v", [0.25, 0.5, 0.75], ["feature"], ["q25", "median", "q75"]), "feature", "left").select("feature", "null_rate", "min", "q25", "mean", "median", "q75", "max")
 
 
 def profile_category(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -1,10 +1,10 @@
 """Running sums and exact quantiles over a global order, without a single-task window.
 
-Equal keys are first summed by a hash aggregation. Where there are many rows the keys are cut into parts
-at approximate quantiles, one part for about ``ROWS_PER_PART`` rows; each part is scanned by a window of
-its own and starts from the sum of the parts before it. The cuts only balance the parts: any cut gives
-the same result. The table of part sums has one row for each group and part. The columns of a table that
-are compared side by side (``columns=True``) are cut each by its own quantiles.
+Equal keys are first summed by a hash aggregation. Up to ``ROWS_PER_PART`` rows are scanned by one window
+for each group. More are dealt to range partitions of the whole order (groups, then the key); each
+partition is scanned by a window of its own and starts from the sums of those before it. Where the ranges
+are cut only balances the work: any cut gives the same result. There are as many parts as the rows need;
+the table of part sums has a row for each group and part.
 """
 
 from __future__ import annotations
@@ -14,71 +14,30 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_PART = 200_000
-MOST_PARTS = 1024
+from larkspur.storage import stored
 
+ROWS_PER_PART = 1_000_000
 
-def chosen_cuts(n: int, fine: list[float] | None) -> list[float]:
-    """As many of the fine quantiles as there are cuts between parts of ``n`` rows."""
-    parts = min(MOST_PARTS, -(-n // ROWS_PER_PART))
-    return sorted({fine[k * len(fine) // parts] for k in range(1, parts)}) if fine and parts > 1 else []
 
-
-def cuts_of(df: DataFrame, key: str, by: Sequence[str] = ()) -> list[tuple[tuple, list[float]]]:
-    """The cuts of a numeric key, in each group of ``by``: one pass that is combined before its shuffle, and a row for each group."""
-    value = F.col(key).cast("double")
-    value = F.when(~F.isnan(value), value)
-    # the fine quantiles are only taken from as many rows as need more than one part
-    fine = F.percentile_approx(value, F.array(*[F.lit(k / MOST_PARTS) for k in range(1, MOST_PARTS)]), 4 * MOST_PARTS)
-    counts = df.groupBy(*by).agg(F.count(value).alias("n_")).collect() if by else [df.agg(F.count(value).alias("n_")).first()]
-    if all(r["n_"] <= ROWS_PER_PART for r in counts):
-        return []
-    rows = df.groupBy(*by).agg(F.count(value).alias("n_"), fine.alias("q_")).collect() if by else [df.agg(F.count(value).alias("n_"), fine.alias("q_")).first()]
-    return [(tuple(r[c] for c in by), chosen_cuts(r["n_"], r["q_"])) for r in rows]
-
-
-def search(key: Column, cuts: list[float], low: int = 0, high: int | None = None) -> Column:
-    """Number of cuts below the key, by halving; NaN is above all."""
-    high = len(cuts) if high is None else high
-    if low == high:
-        return F.lit(low)
-    mid = (low + high) // 2
-    return F.when(key <= cuts[mid], search(key, cuts, low, mid)).otherwise(search(key, cuts, mid + 1, high))
-
-
-def part_of(key: str, by: Sequence[str], cuts: list[tuple[tuple, list[float]]]) -> Column | None:
-    """Number of the part that a key falls in; None if one part is enough for all."""
-    cuts = [(group, own) for group, own in cuts if own]
-    if not cuts:
-        return None
-    out = F.lit(0)
-    for group, own in cuts:
-        same = F.lit(True)
-        for c, v in zip(by, group, strict=False):
-            same = same & F.col(c).eqNullSafe(F.lit(v))
-        out = F.when(same, search(F.col(key), own)).otherwise(out) if group else search(F.col(key), own)
-    return out
-
-
-def running(df: DataFrame, key: str, sums: dict[str, Column], by: Sequence[str] = (), descending: bool = False, columns: bool = False, keep_part: bool = False) -> DataFrame:
+def running(df: DataFrame, key: str, sums: dict[str, Column], by: Sequence[str] = (), descending: bool = False, keep_part: bool = False) -> DataFrame:
     """One row per group and distinct key: its sums, their running sums up to and with the key as cum_<name>, and the group's as all_<name>.
 
-    Rows with a null key are left out; groups with a null value are groups like others. ``columns`` says
-    that ``by`` names the columns of one table, so that there are few groups, of different scale.
+    Rows with a null key are left out; groups with a null value are groups like others. ``keep_part`` adds
+    part_, a number that follows the order.
     """
     by = list(by)
     known = df.filter(F.col(key).isNotNull())
-    part = part_of(key, by if columns else [], cuts_of(known, key, by if columns else ()))
+    parts = -(-known.count() // ROWS_PER_PART)
     each = known.groupBy(*by, key).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
     order = F.desc(key) if descending else F.asc(key)
-    if part is None:
-        whole = Window.partitionBy(*by)
+    whole = Window.partitionBy(*by)
+    if parts <= 1:
         upto = whole.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
         made = [x for n in sums for x in (F.sum(n).over(upto).alias(f"cum_{n}"), F.sum(n).over(whole).alias(f"all_{n}"))]
         return each.select(*by, key, *sums, *made, *([F.lit(0).alias("part_")] if keep_part else []))
-    each = each.withColumn("part_", -part if descending else part)
-    total = each.groupBy(*by, "part_").agg(*[F.sum(n).alias(f"part_{n}") for n in sums])
-    whole = Window.partitionBy(*by)
+    # stored, so that a key's part is the same in the sums and in the scan
+    ranged = stored(each.repartitionByRange(parts, *by, order).withColumn("part_", F.spark_partition_id()))
+    total = ranged.groupBy(*by, "part_").agg(*[F.sum(n).alias(f"part_{n}") for n in sums])
     earlier = whole.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
     before = total.select(
         *[F.col(c).alias(f"by_{c}") for c in by],
@@ -90,17 +49,17 @@ def running(df: DataFrame, key: str, sums: dict[str, Column], by: Sequence[str]
         same = same & F.col(c).eqNullSafe(F.col(f"by_{c}"))
     within = Window.partitionBy(*by, "part_").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     made = [x for n in sums for x in ((F.sum(n).over(within) + F.col(f"before_{n}")).alias(f"cum_{n}"), F.col(f"all_{n}"))]
-    return each.join(before, same).select(*by, key, *sums, *made, *(["part_"] if keep_part else []))
+    return ranged.join(before, same).select(*by, key, *sums, *made, *(["part_"] if keep_part else []))
 
 
-def quantiles(df: DataFrame, key: str, probabilities: list[float], by: Sequence[str] = (), names: list[str] | None = None, columns: bool = False) -> DataFrame:
+def quantiles(df: DataFrame, key: str, probabilities: list[float], by: Sequence[str] = (), names: list[str] | None = None) -> DataFrame:
     """Exact linearly interpolated quantiles of a numeric column, as columns q0, q1, ... (or ``names``), one row per group.
 
     Nulls and NaN aren't values; groups without values give no row, and without groups an empty input gives a row of nulls.
     """
     by, names = list(by), names or [f"q{k}" for k in range(len(probabilities))]
     values = df.select(*by, F.col(key).cast("double").alias("v_")).filter(F.col("v_").isNotNull() & ~F.isnan("v_"))
-    counted = running(values, "v_", {"n_": F.lit(1)}, by, columns=columns)
+    counted = running(values, "v_", {"n_": F.lit(1)}, by)
     # a key covers the places from cum - n to cum - 1; each quantile lies between two places
     first, end, last = F.col("cum_n_") - F.col("n_"), F.col("cum_n_"), F.col("all_n_") - 1
     made = []
@@ -114,5 +73,5 @@ def quantiles(df: DataFrame, key: str, probabilities: list[float], by: Sequence[
 def column_quantiles(df: DataFrame, columns: list[str], probabilities: list[float]) -> dict[str, list[float | None]]:
     """Quantiles of several columns of one frame, on the driver: a few numbers per column."""
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in columns])).alias("x")).select("x.*")
-    rows = {r["name"]: [r[f"q{k}"] for k in range(len(probabilities))] for r in quantiles(long, "value", probabilities, ["name"], columns=True).collect()}
+    rows = {r["name"]: [r[f"q{k}"] for k in range(len(probabilities))] for r in quantiles(long, "value", probabilities, ["name"]).collect()}
     return {c: rows.get(c, [None] * len(probabilities)) for c in columns}

@@ -9,8 +9,6 @@ import pytest
 from larkspur.plans import features_catalogue, metrics_catalogue, models_catalogue  # noqa: F401
 from larkspur.plans.registry import QUERIES, SQL
 
-SLOW = {"quantile_transform_uniform"}
-
 
 def plain(v):
     if v is None or v is pd.NaT or isinstance(v, float) and math.isnan(v):
@@ -30,7 +28,7 @@ def rows(df: pd.DataFrame) -> list[tuple]:
     return sorted((tuple(plain(v) for v in r) for r in df.itertuples(index=False)), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(set(SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_against_sql(spark, data, oracle, name):
     ours, theirs = QUERIES[name](spark, data).toPandas(), oracle.sql(SQL[name]).df()
     assert sorted(ours.columns) == sorted(theirs.columns)
