@@ -154,27 +154,40 @@ def auc_mu(df: DataFrame, y: str, scores: list[str]) -> DataFrame:
 COLUMNS_AT_ONCE = 50
 
 
-def gini(df: DataFrame, columns: list[str], y: str) -> DataFrame:
-    """feature and gini: each column's normalised gini of the target by its order, over the rows that have a value; ties share their mean.
+def gini_of_sums(df: DataFrame, by: list[str]) -> DataFrame:
+    """by and g: the gini of the order of p, from rows of n tied values with the target sum s; ties share their mean.
 
-    The gini of an order is sum(running share of the target) / n - (n + 1) / 2n; it is divided by that of the perfect order.
+    The gini of an order is sum(running share of the target) / n - (n + 1) / 2n.
     """
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("p")) for c in columns])).alias("x"), F.col(y).cast("double").alias("y")).select("x.*", "y")
-    long = long.filter(F.col("p").isNotNull() & ~F.isnan("p"))
-    # n tied rows add the running sum before them n times and s * (n + 1) / 2
-    ties = lambda n, s: F.sum(F.col(f"{n}") * (F.col(f"cum_{s}") - F.col(s)) + F.col(s) * (F.col(n) + 1) / 2)
-    value = lambda area, s, n: (area / F.sum(s) - (F.sum(n) + 1) / 2) / F.sum(n)
-    own = running(long, "p", {"n": F.lit(1), "s": F.col("y")}, ["feature"]).groupBy("feature").agg(value(ties("n", "s"), "s", "n").alias("g_p"))
-    # the perfect order is the target's own: for many columns at once, each over the rows that have its value
-    best = None
-    for at in range(0, len(columns), COLUMNS_AT_ONCE):
-        some = columns[at : at + COLUMNS_AT_ONCE]
-        has = {k: F.col(c).cast("double").isNotNull() & ~F.isnan(F.col(c).cast("double")) for k, c in enumerate(some)}
-        target = F.col(y).cast("double")
-        sums = {f"n{k}": F.when(h, 1).otherwise(0) for k, h in has.items()} | {f"s{k}": F.when(h, target).otherwise(0.0) for k, h in has.items()}
-        row = running(df.withColumn("y_", target), "y_", sums).agg(*[value(ties(f"n{k}", f"s{k}"), f"s{k}", f"n{k}").alias(f"g{k}") for k in has])
+    ranked = running(df.filter(F.col("p").isNotNull() & ~F.isnan("p")), "p", {"n": F.col("n"), "s": F.col("s")}, by)
+    return ranked.groupBy(*by).agg(area_of_ties("n", "s").alias("g"))
+
+
+def area_of_ties(n: str, s: str) -> Column:
+    """n tied rows add the running sum before them n times and s * (n + 1) / 2; null where the target sums to 0."""
+    ties = F.sum(F.col(n) * (F.col(f"cum_{s}") - F.col(s)) + F.col(s) * (F.col(n) + 1) / 2)
+    return F.try_divide(F.try_divide(ties, F.sum(s)) - (F.sum(n) + 1) / 2, F.sum(n))
+
+
+def perfect_gini(df: DataFrame, known: dict[str, Column], y: str) -> DataFrame:
+    """feature and g_y: the gini of the target's own order over the rows where the condition of each name holds, of many at once."""
+    out, target = None, F.col(y).cast("double")
+    names = list(known)
+    for at in range(0, len(names), COLUMNS_AT_ONCE):
+        some = names[at : at + COLUMNS_AT_ONCE]
+        sums = {f"n{k}": F.when(known[c], 1).otherwise(0) for k, c in enumerate(some)} | {f"s{k}": F.when(known[c], target).otherwise(0.0) for k, c in enumerate(some)}
+        row = running(df.withColumn("y_", target), "y_", sums).agg(*[area_of_ties(f"n{k}", f"s{k}").alias(f"g{k}") for k in range(len(some))])
         part = row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"g{k}").alias("g_y")) for k, c in enumerate(some)])).alias("x")).select("x.*")
-        best = part if best is None else best.unionByName(part)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def gini(df: DataFrame, columns: list[str], y: str) -> DataFrame:
+    """feature and gini: each column's normalised gini of the target by its order, over the rows that have a value; that of the perfect order is 1."""
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("p")) for c in columns])).alias("x"), F.lit(1).alias("n"), F.col(y).cast("double").alias("s")).select("x.*", "n", "s")
+    own = gini_of_sums(long, ["feature"]).withColumnRenamed("g", "g_p")
+    value = {c: F.col(c).cast("double") for c in columns}
+    best = perfect_gini(df, {c: v.isNotNull() & ~F.isnan(v) for c, v in value.items()}, y)
     return own.join(F.broadcast(best), "feature").select("feature", F.try_divide("g_p", "g_y").alias("gini"))  # one row for each column
 
 

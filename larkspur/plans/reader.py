@@ -13,6 +13,7 @@ from larkspur.frame import Frame, quoted
 from larkspur.functions import metrics
 from larkspur.operators.categorical import lookup
 from larkspur.operators.validation import hash_fold, stratified_folds
+from larkspur.plans import role_rules
 
 NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
@@ -105,31 +106,19 @@ class Reader:
         return Frame(df, frame.roles | {"fold__": R.make("folds")}, frame.keys)
 
     def refined(self, frame: Frame, declared: set[str]) -> Frame:
-        """Roles by the gini of encodings: a number with few values whose counts or codes tell more than its order becomes a category; features below ``least_gini`` go."""
-        numbers = [c for c in frame.features if frame.roles[c].name == "numeric" and c not in declared]
-        if not numbers:
+        """Roles by the role rules: numbers that tell more as categories, how categories are encoded; columns below ``least_gini`` go."""
+        numbers = [c for c in frame.features if frame.roles[c].name == "numeric"]
+        texts = [c for c in frame.features if frame.roles[c].name == "category" and frame.roles[c].encoding == "auto"]
+        if not numbers and not texts:
             return frame
-        target = self.state["target"]
-        raw = {r["feature"]: abs(r["gini"] or 0.0) for r in metrics.gini(frame.df, numbers, target).collect()}
-        counts = {r["feature"]: r["n_unique"] for r in unique_counts_of(frame.df, numbers).collect()}
-        few = [c for c in numbers if counts[c] <= 50]
-        changes: dict[str, R.Role] = {}
-        if few:
-            encoded = frame.df
-            for c in few:
-                means = frame.df.groupBy(c).agg(F.avg(F.col(target).cast("double")).alias("m"))
-                encoded = lookup(encoded, means.select(c, F.col("m").alias(f"enc_{c}")), [c])
-            own = {r["feature"].removeprefix("enc_"): abs(r["gini"] or 0.0) for r in metrics.gini(encoded, [f"enc_{c}" for c in few], target).collect()}
-            changes = {c: R.category(dtype="int") for c in few if counts[c] < 10 or own[c] > 2 * raw[c]}
-        out = frame.with_roles(changes)
-        weak = [c for c in numbers if max(raw[c], 0.0) < self.least_gini and c not in changes]
-        self.state["roles"] = {c: r for c, r in out.roles.items() if c not in weak and c != "fold__"}
-        return out.drop(weak)
-
-
-def unique_counts_of(df: DataFrame, columns: list[str]) -> DataFrame:
-    row = df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns])
-    return row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("n_unique")) for c in columns])).alias("x")).select("x.*")
+        kind = self.task if self.task in ("binary", "multiclass") else "reg"
+        stats = role_rules.role_stats(frame, numbers, texts, self.state["target"], frame.attribute("folds"), kind)
+        roles = role_rules.advised_roles(role_rules.role_rules(stats, sorted(declared & set(numbers)), least_score=self.least_gini), frame.roles)
+        forced = {c for c in frame.features if frame.roles[c].force_input}
+        weak = [c for c in frame.features if roles[c].name == "drop" and c not in forced]
+        roles |= {c: frame.roles[c] for c in forced if roles[c].name == "drop"}
+        self.state["roles"] = {c: r for c, r in roles.items() if c not in weak and c != "fold__"}
+        return frame.with_roles({c: roles[c] for c in frame.features}).drop(weak)
 
 
 def class_codes(df: DataFrame, target: str, most: int = 10_000) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from larkspur.plans import features_catalogue, metrics_catalogue, models_catalogue  # noqa: F401
+from larkspur.plans import features_catalogue, metrics_catalogue, models_catalogue, rules_catalogue  # noqa: F401
 from larkspur.plans.registry import QUERIES, SQL
 
 
