@@ -5,6 +5,9 @@ with marks at both ends) from up to three characters before it. N-gram probabili
 weights of all languages lie in one array per order, sorted by the n-gram's hash. A text's language is
 the one with the lowest cross-entropy per symbol; a text whose lowest cross-entropy is above a bound
 that was calibrated on texts the counts didn't see is marked as rejected.
+
+Tables of more than ``MOST_CELLS`` numbers aren't brought to the workers: they stay a stored table, and
+texts are scored by joins, each different run of symbols once. The predictions are the same.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.llm.shared import add_columns, others, quoted, settle, slices, split_remainder
+from larkspur.llm.shared import add_columns, fresh, others, quoted, settle, slices, split_remainder
 
 ORDER = 4
 CACHED_WORDS = 300_000
@@ -31,7 +34,7 @@ PRIME = np.uint64(0x100000001B3)
 LONGEST = 64
 #: Different words of a task whose n-grams are counted at once.
 COUNTED_WORDS = 200_000
-#: Numbers in a model's tables (n-grams of all orders by languages), which the driver and each worker hold; more are an error, not a cut.
+#: Numbers in a model's tables (n-grams of all orders by languages) that the driver and each worker hold; larger ones are looked up by joins.
 MOST_CELLS = 1 << 23
 
 
@@ -70,10 +73,13 @@ def gram_hashes(codes: np.ndarray, start: np.ndarray, order: int) -> list[np.nda
 
 
 class Model:
-    """Sorted hashes and, by language, log probabilities (nan: not seen) and log backoff weights (0: context not seen) of each order."""
+    """Sorted hashes and, by language, log probabilities (nan: not seen) and log backoff weights (0: context not seen) of each order.
+
+    ``stored`` holds them instead where they are too many: lang (from 0), k, gram, p and weight, for ``order`` orders.
+    """
 
-    def __init__(self, langs: list[str], tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]], floor: np.ndarray, bound: np.ndarray):
-        self.langs, self.tables, self.floor, self.bound = langs, tables, floor, bound
+    def __init__(self, langs: list[str], tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]], floor: np.ndarray, bound: np.ndarray, stored: DataFrame | None = None, order: int = ORDER):
+        self.langs, self.tables, self.floor, self.bound, self.stored, self.order = langs, tables, floor, bound, stored, order
         # one more row at the end stands for what isn't found; its hash 0 is no n-gram's
         self.padded = [(np.append(h, np.uint64(0)), np.vstack([s, np.full(len(langs), np.nan)]), np.vstack([w, np.zeros(len(langs))])) for h, s, w in tables]
 
@@ -181,24 +187,25 @@ def interpolated(own: DataFrame, n_symbols: int, order: int) -> DataFrame:
     return out.join(weights, ["lang", "k", "gram"], "full").select("lang", "k", "gram", F.log("p").alias("p"), F.coalesce(F.log("gamma"), F.lit(0.0)).alias("weight"))
 
 
-def arrays(own: DataFrame, langs: list[str], order: int, most_cells: int = MOST_CELLS) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndarray]], np.ndarray]:
-    """Interpolated probabilities and backoff weights as sorted arrays of at most ``most_cells`` numbers each."""
-    sizes = {r["k"]: r["n"] for r in own.groupBy("k").agg(F.count_distinct("gram").alias("n")).toLocalIterator()}
-    if sum(sizes.values()) * len(langs) > most_cells:
-        raise ValueError(f"{sum(sizes.values())} n-grams in {len(langs)} languages are more than {most_cells} numbers; raise most_cells, or lower the order")
-    floor = np.full(len(langs), -np.log(sizes.get(1, 0) + 1))
+def floors(own: DataFrame, langs: list[str], n_symbols: int) -> np.ndarray:
+    """By language, the log probability of a symbol that was never seen."""
+    floor = np.full(len(langs), -np.log(n_symbols + 1))
     for r in own.filter("k = 1").groupBy("lang").agg(F.max("gamma").alias("gamma")).toLocalIterator():
         floor[langs.index(r["lang"])] += np.log(r["gamma"])
-    number = F.array_position(F.array(*[F.lit(x) for x in langs]), F.col("lang")).cast("int").alias("lang")
-    table = interpolated(own, sizes.get(1, 0), order).select(number, "k", "gram", "p", "weight").toArrow()
-    orders, tables = table["k"].to_numpy(), []
+    return floor
+
+
+def arrays(table: DataFrame, n_langs: int, order: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The table of lang, k, gram, p and weight as sorted arrays."""
+    held, tables = table.toArrow(), []
+    orders = held["k"].to_numpy()
     for k in range(1, order + 1):
-        lang, gram, p, weight = (table[c].to_numpy()[orders == k] for c in ("lang", "gram", "p", "weight"))
+        lang, gram, p, weight = (held[c].to_numpy()[orders == k] for c in ("lang", "gram", "p", "weight"))
         hashes, at = np.unique(gram.view(np.uint64), return_inverse=True)
-        seen, weights = np.full((len(hashes), len(langs)), np.nan), np.zeros((len(hashes), len(langs)))
-        seen[at, lang - 1], weights[at, lang - 1] = p, weight  # a null p is nan here
+        seen, weights = np.full((len(hashes), n_langs), np.nan), np.zeros((len(hashes), n_langs))
+        seen[at, lang], weights[at, lang] = p, weight  # a null p is nan here
         tables.append((hashes, seen, weights))
-    return tables, floor
+    return tables
 
 
 def fit(
@@ -206,9 +213,9 @@ def fit(
 ) -> Model:
     """Models from all different texts of each language outside the held-out quarter, or about ``most_rows`` of each if that is given.
 
-    What is held in memory are the n-grams, at most ``most_cells`` numbers. Every eighth text, by hash,
-    isn't counted but used to calibrate the bound of rejection: mean and four deviations of the
-    cross-entropy in its own language.
+    What is held in memory are the n-grams, at most ``most_cells`` numbers; more stay a stored table. Every
+    eighth text, by hash, isn't counted but used to calibrate the bound of rejection: mean and four
+    deviations of the cross-entropy in its own language.
     """
     lang, text = F.col(quoted(lang_col)), F.col(quoted(text_col))
     known = docs.filter(F.expr(f"{split_remainder(id_col)} <> 2") & lang.isNotNull() & text.isNotNull()).select(lang.alias("lang"), text.alias("text"))
@@ -226,8 +233,12 @@ def fit(
     fold = F.pmod(F.xxhash64(F.lit("fold"), "text"), F.lit(8))
     # each text is dealt by its whole content once: the counted ones here, the others below
     own = settle(kneser_ney(settle(count_grams(known.filter(fold > 0).distinct(), order)), order))
-    tables, floor = arrays(own, langs, order, most_cells)
-    model = Model(langs, tables, floor, np.full(len(langs), np.inf))
+    sizes = {r["k"]: r["n"] for r in own.groupBy("k").agg(F.count_distinct("gram").alias("n")).toLocalIterator()}
+    number = (F.array_position(F.array(*[F.lit(x) for x in langs]), F.col("lang")) - 1).cast("int").alias("lang")
+    table = interpolated(own, sizes.get(1, 0), order).select(number, "k", "gram", "p", "weight")
+    small = sum(sizes.values()) * len(langs) <= most_cells
+    tables = arrays(table, len(langs), order) if small else []
+    model = Model(langs, tables, floors(own, langs, sizes.get(1, 0)), np.full(len(langs), np.inf), None if small else settle(table), order)
     of_lang = F.element_at("entropies", F.array_position(F.array(*[F.lit(x) for x in langs]), F.col("lang")).cast("int"))
     judged = entropies(known.filter(fold == 0).distinct(), model).withColumn("own", of_lang).filter("own is not null")
     for r in judged.groupBy("lang").agg(F.avg("own").alias("m"), F.stddev_pop("own").alias("s")).toLocalIterator():
@@ -235,8 +246,70 @@ def fit(
     return model
 
 
+def runs_of(texts: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+    """Of all symbols of all texts: the number of the text, the hash of the run (the longest n-gram that ends there), the n-grams by order, and whether it is scored."""
+    parts, owner = [], []
+    for i, t in enumerate(texts):
+        own = [p for w in (t.as_py() or "").split() for p in cut(w)]
+        parts += own
+        owner += [i] * len(own)
+    codes, word, start = symbols(parts)
+    grams, run = gram_hashes(codes, start, order), np.zeros(len(codes), np.uint64)
+    for gram in grams:
+        run = np.where(gram != 0, gram, run)
+    return np.array(owner, np.int64)[word], run, grams, ~start
+
+
+def joined_entropies(df: DataFrame, model: Model, text_col: str, keep: list[str]) -> DataFrame:
+    """The columns that :func:`entropies` gives, by joins with the stored n-grams. Equal texts, and equal runs of symbols, are scored once."""
+    order, langs = model.order, len(model.langs)
+    taken = [*df.columns, "entropies", "n_symbols"]
+    key, own = fresh(taken, "text_key"), fresh(taken, "own_key")
+    text = F.coalesce(F.col(quoted(text_col)), F.lit(""))
+    texts = settle(df.select(F.unhex(F.md5(text)).alias("key"), text.alias("text")).groupBy("key").agg(F.first("text").alias("text")))
+
+    def used(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in slices(whole, 2 << 20)):
+            row, run, _, scored = runs_of(batch.column(1), order)
+            at, counts = np.unique(np.stack([row.astype(np.uint64), run])[:, scored], axis=1, return_counts=True)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at[0].astype(np.int64))), pa.array(at[1].view(np.int64)), pa.array(counts)], names=["key", "run", "n"])
+
+    def spelt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in slices(whole, 2 << 20)):
+            _, run, grams, scored = runs_of(batch.column(0), order)
+            places = np.flatnonzero(scored)
+            places = places[np.unique(run[places], return_index=True)[1]]
+            for k in range(order):
+                use = places[grams[k][places] != 0]
+                context = grams[k - 1][use - 1] if k else np.zeros(len(use), np.uint64)  # it ends one place before
+                columns = [*(pa.array(x.view(np.int64)) for x in (run[use], grams[k][use], context)), pa.array(np.full(len(use), k + 1, np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=["run", "gram", "context", "k"])
+
+    uses = settle(texts.mapInArrow(used, "key binary, run long, n long"))
+    spelling = settle(texts.select("text").mapInArrow(spelt, "run long, gram long, context long, k int").distinct())
+    table = model.stored
+    found = spelling.join(table.filter("p is not null").select("k", "gram", "lang", "p"), ["k", "gram"])
+    best = found.groupBy("run", "lang").agg(F.max(F.struct("k", "p")).alias("best"))
+    context = table.filter("weight <> 0").select((F.col("k") + 1).alias("k"), F.col("gram").alias("context"), "lang", "weight")
+    back = spelling.join(context, ["k", "context"]).select("run", "lang", "k", "weight")
+    each = spelling.select("run").distinct().withColumn("lang", F.explode(F.sequence(F.lit(0), F.lit(langs - 1))))
+    floor = F.element_at(F.array(*[F.lit(float(x)) for x in model.floor]), F.col("lang") + 1)
+    scored = each.join(best, ["run", "lang"], "left").select("run", "lang", F.coalesce("best.k", F.lit(0)).alias("found"), F.coalesce("best.p", floor).alias("p"))
+    # the backoff weights of the orders above the one that was found
+    above = scored.join(back, ["run", "lang"]).filter("k > found").groupBy("run", "lang").agg(F.sum("weight").alias("weight"))
+    scores = settle(scored.join(above, ["run", "lang"], "left").select("run", "lang", (F.col("p") + F.coalesce("weight", F.lit(0.0))).alias("score")))
+    sums = uses.join(scores, "run").groupBy("key", "lang").agg(F.sum(F.col("score") * F.col("n")).alias("score"), F.sum("n").alias("n"))
+    whole = sums.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("lang", (-F.col("score") / F.col("n")).alias("e")))).alias("by_lang"), F.max("n").alias("n_symbols"))
+    whole = whole.select(F.col("key").alias(own), F.transform("by_lang", lambda x: x["e"]).alias("entropies"), "n_symbols")
+    rows = df.select(*[F.col(quoted(c)) for c in keep], F.unhex(F.md5(text)).alias(key))
+    out = rows.join(whole, F.col(key) == F.col(own), "left")
+    return out.select(*[F.col(quoted(c)) for c in keep], "entropies", F.coalesce("n_symbols", F.lit(0)).alias("n_symbols"))
+
+
 def entropies(df: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Add entropies (array by language, nats per symbol; null without letters) and n_symbols to every row."""
+    if model.stored is not None:
+        return joined_entropies(df, model, text_col, others(df.columns if keep is None else keep, ["entropies", "n_symbols"]))
     sent = df.sparkSession.sparkContext.broadcast(model)
     fields = [T.StructField("entropies", T.ArrayType(T.DoubleType())), T.StructField("n_symbols", T.LongType())]
 

@@ -42,6 +42,42 @@ def test_repeated_words_count_as_often_as_they_occur(many):
     assert got == plain
 
 
-def test_more_ngrams_than_the_bound_are_an_error(many):
-    with pytest.raises(ValueError, match="more than 1000 numbers"):
-        langid.fit(many, most_cells=1_000)
+def test_more_ngrams_than_workers_hold_give_the_same(many, docs):
+    """Tables that stay stored and are looked up by joins give the scores that arrays in the workers give."""
+    small, large = langid.fit(many), langid.fit(many, most_cells=1_000)
+    assert small.stored is None and large.stored is not None and not large.tables
+    assert np.allclose(small.bound, large.bound)
+    odd = docs.unionByName(many.limit(50).selectExpr("doc_id", "text", "lang", "'s' as source", "0L as n_chars")).withColumn("Entropies", F.lit(1))
+    shown = lambda m: sorted((tuple(r) for r in langid.languages(odd, m).drop("n_chars", "source").collect()), key=str)
+    for a, b in zip(shown(small), shown(large), strict=True):
+        assert [x if not isinstance(x, float) else pytest.approx(x) for x in a] == list(b)
+
+
+def test_probabilities_are_those_of_plain_kneser_ney(spark):
+    """Interpolated Kneser-Ney by its definition, over strings instead of hashes, for every symbol of known and new words."""
+    words = ["banana", "band", "ban", "nab", "cab", "abba"] * 3 + ["dan"]
+    texts = [(k, " ".join(words[k % 5 :]), "en") for k in range(40)]
+    own = langid.kneser_ney(langid.count_grams(spark.createDataFrame(texts, "doc_id long, text string, lang string"), 3), 3)
+    n_symbols = own.filter("k = 1").count()
+    table = langid.interpolated(own, n_symbols, 3).select(F.lit(0).alias("lang"), "k", "gram", "p", "weight")
+    model = langid.Model(["en"], langid.arrays(table, 1, 3), langid.floors(own, ["en"], n_symbols), np.array([np.inf]), order=3)
+    n = Counter()
+    for _, t, _ in texts:
+        for w in t.split():
+            m = f"<{w}>"
+            n.update(m[i - k + 1 : i + 1] for i in range(1, len(m)) for k in range(1, 4) if i - k + 1 >= 0)
+    before = Counter(g[1:] for g in n if len(g) > 1)
+    count = {g: c if len(g) == 3 or g not in before else before[g] for g, c in n.items()}
+    d = langid.DISCOUNT
+
+    def p(g):
+        same = [c for h, c in count.items() if len(h) == len(g) and h[:-1] == g[:-1]]
+        if not same:  # the context was never seen
+            return p(g[1:]) if len(g) > 1 else 1 / (n_symbols + 1)
+        lower = p(g[1:]) if len(g) > 1 else 1 / (n_symbols + 1)
+        return max(count.get(g, 0) - d, 0) / sum(same) + d * len(same) / sum(same) * lower
+
+    for word in ["banana", "dab", "c", "zab", "nabz"]:
+        m = f"<{word}>"
+        want = sum(np.log(p(m[max(0, i - 2) : i + 1])) for i in range(1, len(m)))
+        assert model.word_scores([word])[0].tolist() == pytest.approx([want, len(m) - 1])
