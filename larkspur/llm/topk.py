@@ -3,8 +3,9 @@
 A vector's components are its terms. Vectors are sorted by a similarity code (the signs of fixed random
 projections), dealt into ranges in that order, and ranges into blocks; a block keeps the greatest and
 least weight of every term and a forward index of its vectors. A query first meets the range that holds
-itself, which gives a score that its k-th best cannot be below. Then every batch of queries meets every
-range, in cells of bounded size: each query orders the blocks by the sum of its terms' greatest
+itself, which gives a score that its k-th best cannot be below. Then batches of queries meet ranges, in
+cells of bounded size; cells whose terms' greatest contributions sum to less than the least of those scores
+are left out before anything is sent. In a cell each query orders the blocks by the sum of its terms' greatest
 contributions, scores whole blocks through the forward index, and leaves those whose sum is below its
 k-th score so far. The best of every range are merged.
 
@@ -31,6 +32,8 @@ RANGE_ROWS, BLOCK_ROWS, BATCH_ROWS = 8192, 128, 4096
 FIRST = 3
 #: Signs in a similarity code.
 CODE_BITS = 16
+#: Summaries of batches are dealt to so many groups, each of which meets the summaries of all ranges.
+SPREAD = 64
 NONE = np.iinfo(np.int64).min
 
 
@@ -119,9 +122,10 @@ def best_of_range(
 
 
 def packed_rows(df: DataFrame, rows: int, name: str, extra: str) -> DataFrame:
-    """One row per run of ``rows`` rows of a partition of id, v and ``extra`` (a long): its number, and ids, extras and vectors packed.
+    """One row per run of ``rows`` rows of a partition of id, v and ``extra`` (a long): a number of its own, ids, extras and vectors packed.
 
-    Vectors are packed with ``dims`` components (the longest vector's) of ``width`` bytes (what the greatest needs).
+    Vectors are packed with ``dims`` components (the longest vector's) of ``width`` bytes (what the greatest needs). With
+    them go the least and greatest weight of every term (``span``) and the least extra.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,9 +140,11 @@ def packed_rows(df: DataFrame, rows: int, name: str, extra: str) -> DataFrame:
                 matrix[i, : len(v)] = v
             most = max(abs(int(matrix.min())), abs(int(matrix.max())))
             width = 2 if most < 1 << 15 else 4 if most < 1 << 31 else 8
-            made = [pa.array([x], t) for x, t in ((part + n, pa.int64()), (dims, pa.int64()), (width, pa.int64()))]
+            made = [pa.array([x], pa.int64()) for x in (part + n, dims, width, min(more))]
             made += [pa.array([x.tobytes()], pa.binary()) for x in (np.array(ids, np.int64), np.array(more, np.int64), matrix.astype(f"i{width}"))]
-            return pa.RecordBatch.from_arrays(made, names=[name, "dims", "width", "ids", "extras", "vectors"])
+            span = [{"low": float(a), "high": float(b)} for a, b in zip(matrix.min(0), matrix.max(0), strict=True)]
+            made.append(pa.array([span], pa.list_(pa.struct([("low", pa.float64()), ("high", pa.float64())]))))
+            return pa.RecordBatch.from_arrays(made, names=[name, "dims", "width", "least", "ids", "extras", "vectors", "span"])
 
         for batch in batches:
             for key, vector, x in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
@@ -151,10 +157,20 @@ def packed_rows(df: DataFrame, rows: int, name: str, extra: str) -> DataFrame:
         if ids:
             yield done()
 
-    packs = settle(df.select("id", "v", extra).mapInArrow(run, f"{name} long, dims long, width long, ids binary, extras binary, vectors binary"))
-    # one number per pack: a short table, whatever the vectors' size
-    numbers = packs.select(name, (F.row_number().over(Window.orderBy(name)) - 1).alias("number"))
-    return packs.join(F.broadcast(numbers), name).drop(name).withColumnRenamed("number", name)
+    schema = f"{name} long, dims long, width long, least long, ids binary, extras binary, vectors binary, span array<struct<low: double, high: double>>"
+    return settle(df.select("id", "v", extra).mapInArrow(run, schema))
+
+
+def cells_of(batches: DataFrame, ranges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """batch and range of the cells that may hold a score that some query of the batch asks for; and their number with the others."""
+    mine = batches.select("batch", "least", F.col("span").alias("own"), F.pmod(F.xxhash64("batch"), F.lit(SPREAD)).cast("int").alias("deal"))
+    other = ranges.select("range", "span").withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    # a term that one side lacks counts as 0, as does a vector's missing component
+    of = lambda x, end: F.coalesce(x[end], F.lit(0.0))
+    most = F.zip_with("own", "span", lambda a, b: F.greatest(*[of(a, x) * of(b, y) for x in ("low", "high") for y in ("low", "high")]))
+    bound = F.aggregate(most, F.lit(0.0), lambda a, x: a + x)
+    cells = settle(mine.join(other, "deal").select("batch", "range", (bound + F.abs(bound) * 1e-9 >= F.col("least")).alias("met")))
+    return cells.filter("met").drop("met"), cells.agg(F.count("*").alias("cells"), F.count_if("met").alias("cells_sent"))
 
 
 def unpacked(row: dict, dims: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -198,12 +214,12 @@ def in_cells(
     asked = rows.filter("asks = 1").select("id", "v", "code").join(own_range_scores(documents, k), "id", "left").withColumn("least", F.coalesce("least", F.lit(NONE)))
     n = rows.filter("asks = 1").count()
     batches = packed_rows(asked.repartitionByRange(max(1, math.ceil(n / batch_rows)), "code", "id"), 2 * batch_rows, "batch", "least")
-    n_batches, n_ranges = batches.count(), documents.count()
-    if not n_batches:
+    if batches.isEmpty():
         return df.sparkSession.createDataFrame([], schema)
-    # cells: every batch of queries with every range of documents, both of bounded size
-    left = batches.withColumn("range", F.explode(F.sequence(F.lit(0), F.lit(n_ranges - 1))))
-    right = documents.withColumn("batch", F.explode(F.sequence(F.lit(0), F.lit(n_batches - 1))))
+    cells, _ = cells_of(batches, documents)
+    of = lambda by, to: cells.groupBy(by).agg(F.collect_list(to).alias("to"))
+    left = batches.drop("span").join(of("batch", "range"), "batch").withColumn("range", F.explode("to")).drop("to")
+    right = documents.drop("span").join(of("range", "batch"), "range").withColumn("batch", F.explode("to")).drop("to")
     names = [c.split()[0] for c in schema.split(", ")]
 
     def cell(a: pa.Table, b: pa.Table) -> pa.Table:

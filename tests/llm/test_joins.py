@@ -8,9 +8,11 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField
 
 from larkspur.llm import buckets as B
 from larkspur.llm import ngram_join as N
+from larkspur.llm import topk as T
 from larkspur.llm.components import components
 from larkspur.llm.sharding import shard_rows
 from larkspur.llm.topk import best_of_range, block_counts, top_k
@@ -190,12 +192,48 @@ def test_near_copies_let_blocks_be_pruned(spark):
         assert [got[int(ids[at]), n + 1] for n in range(5)] == [(i, -x) for x, i in want]
 
 
-def test_pruning_on_the_embeddings_table(spark):
-    """check_h has a large group of near vectors, whose queries leave blocks out; evenly spread vectors leave out none."""
-    ask = F.col("vec_id") % 50 == 0
-    even, grouped = (block_counts(spark.read.parquet(f"/root/testdata/{d}/embeddings.parquet"), ask).groupBy().sum().first() for d in ("sf0.01", "check_h"))
-    assert even["sum(scored)"] <= even["sum(blocks)"]
-    assert grouped["sum(scored)"] < 0.97 * grouped["sum(blocks)"]
+def test_cells_are_left_out_before_they_are_sent(spark):
+    """Batches and ranges of tight groups: the summed maxima of most cells lie below what the queries have already."""
+    r = np.random.default_rng(9)
+    centres = np.eye(32) * 4
+    rows = [(int(i * 60 + j), [float(x) for x in np.append(c, [0.0] * (j % 3)) + r.normal(size=32 + j % 3) * 0.01]) for i, c in enumerate(centres) for j in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    seen = []
+    whole = T.cells_of
+
+    def counted(batches, ranges):
+        cells, counts = whole(batches, ranges)
+        seen.append(counts.first())
+        return cells, counts
+
+    T.cells_of = counted
+    try:
+        got = {(x["query_id"], x["rank"]): (x["vec_id"], x["score"]) for x in top_k(df, F.col("vec_id") % 20 == 0, range_rows=60, batch_rows=1).collect()}
+    finally:
+        T.cells_of = whole
+    assert seen[0]["cells_sent"] < 0.3 * seen[0]["cells"]
+    v = np.zeros((len(rows), 34), np.int64)
+    for i, (_, x) in enumerate(rows):
+        v[i, : len(x)] = np.floor(256 * np.array(x))
+    for q in range(0, len(rows), 20):
+        s = v @ v[q]
+        want = sorted((-int(s[i]), i) for i in range(len(rows)) if i != q)[:5]
+        assert [got[q, n + 1] for n in range(5)] == [(i, -x) for x, i in want]
+
+
+def test_names_that_differ_by_case_only(spark, data, docs):
+    """Columns of a user that clash with made ones but for their case are replaced or kept, and never an error."""
+    from larkspur.llm.bpe import encode_bpe  # noqa: F401
+    from larkspur.llm.shared import add_columns, others
+
+    df = docs.selectExpr("*", "1 as Host", "2 as Made", "3 as Blocked", "4 as N_Links")
+    got = add_columns(df, ["text"], lambda: lambda x: [[1] * len(x)], [StructField("made", LongType())])
+    assert got.columns == others(df.columns, ["made"]) + ["made"] and got.agg(F.sum("made")).first()[0] == df.count()
+    urls = spark.createDataFrame([(1, "http://a.com/", 5, "x", "y")], ["id", "url", "fetched_at", "Host", "ENTRY"])
+    entries = spark.createDataFrame([("domain", "a.com", "add", 1)], "kind string, value string, action string, at int")
+    out = filter_urls(urls, entries)
+    assert out.columns == ["id", "url", "fetched_at", "host", "blocked", "n_entries", "entry", "listed_since"] and out.select("host", "entry").first() == ("a.com", "a.com")
+    assert N.ngram_join(df).count() == N.drop_near_duplicates(df.withColumn("Kept_Key", F.lit(0))).count() + N.ngram_join(df).filter("not keep").count() + 1
 
 
 def test_url_filter_follows_the_dates(spark):

@@ -14,7 +14,7 @@ from larkspur.llm import quality, toxicity
 @pytest.fixture(scope="module")
 def folder(spark, docs, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("sf"))
-    docs.withColumn("k", F.lit("x")).withColumn("score", F.lit(None).cast("double")).write.parquet(f"{path}/documents.parquet")
+    docs.withColumn("k", F.lit("x")).withColumn("Quality_Score", F.lit(1)).withColumn("TOXICITY_score", F.lit(1)).withColumn("score", F.lit(None).cast("double")).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame([(k, int(k % 5 > 0), int(k % 7 == 0)) for k in range(20)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
     return path
 
