@@ -355,6 +355,19 @@ def shap_rank(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(explain.shapley_rank(values))
 
 
+@query("""with f as (select l_quantity as q, l_discount as d, l_tax as t, l_extendedprice / 1000 as p from lineitem), m as (select avg(q) as q0, avg(d) as d0, avg(t) as t0, avg(p) as p0 from f),
+    v as (select 2 * (q - q0) + (q * d - q0 * d0 + q * d0 - q0 * d) / 2 as q, (q * d - q0 * d0 + q0 * d - q * d0) / 2 as d,
+        30 * (t - t0) + (t * p - t0 * p0 + t * p0 - t0 * p) / 2 as t, (t * p - t0 * p0 + t0 * p - t * p0) / 2 as p from f, m)
+    select unnest(['l_quantity', 'l_discount', 'l_tax', 'thousands']) as feature, unnest([round(avg(abs(q)), 6), round(avg(abs(d)), 6), round(avg(abs(t)), 6), round(avg(abs(p)), 6)]) as importance from v""")
+def shap_stratified(spark: SparkSession, sf: str) -> DataFrame:
+    """Stratified Shapley values of a formula with two interactions; four features have sixteen coalitions, so all are met and the values are exact."""
+    keys, features = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "n"], ["l_quantity", "l_discount", "l_tax", "thousands"]
+    df = table(spark, sf, "lineitem").withColumns({"thousands": F.col("l_extendedprice") / 1000, "n": F.xxhash64("l_shipdate", "l_extendedprice", "l_quantity")})
+    formula = 2 * F.col("l_quantity") + F.col("l_quantity") * F.col("l_discount") + 30 * F.col("l_tax") + F.col("l_tax") * F.col("thousands")
+    values = explain.stratified_shapley(df.select(*keys, *features), keys, features, lambda d: d.withColumn("p", formula), samples=16)
+    return rounded(explain.shapley_rank(values))
+
+
 @query("""with r as (select *, row_number() over (partition by c_mktsegment, t order by md5('42|' || c_custkey), c_custkey) - 1 as p, count(*) over (partition by c_mktsegment, t) as n from (select c_custkey, c_mktsegment, c_custkey % 2 as t from customer))
     select c_custkey, p >= round(n * 0.8) as is_test from r""")
 def stratified_split(spark: SparkSession, sf: str) -> DataFrame:
