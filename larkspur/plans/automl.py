@@ -18,10 +18,11 @@ from larkspur import roles as R
 from larkspur.frame import Frame
 from larkspur.operators import blending, selection
 from larkspur.operators.base import Operator, Sequential, Union
-from larkspur.operators.categorical import FrequencyEncode, LabelEncode, OneHot, OrdinalEncode, TargetEncode, WeightOfEvidence
+from larkspur.operators.categorical import FrequencyEncode, LabelEncode, OneHot, OrdinalEncode, TargetEncode
 from larkspur.operators.datetimes import DaysToBase, Seasons, TimeToNumber
 from larkspur.operators.models import Algorithm, OutOfFold, Task, tune
 from larkspur.operators.numeric import FillInfinite, FillMedian, NullFlags, Numeric, QuantileBins, Scale
+from larkspur.operators.scorecard import ScorecardBins
 from larkspur.operators.validation import k_folds
 from larkspur.plans import persistence
 from larkspur.plans.reader import Reader
@@ -72,8 +73,8 @@ def linear_features(rich: bool = False) -> Operator:
 
 
 def scorecard_features() -> Operator:
-    """Weights of evidence of categories and of binned numbers."""
-    return Union([WeightOfEvidence(), Sequential([QuantileBins(), WeightOfEvidence()])])
+    """Weights of evidence of the best monotone bins of numbers and categories."""
+    return ScorecardBins()
 
 
 #: name -> (features, algorithm)

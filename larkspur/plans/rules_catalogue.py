@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from larkspur import roles as R
 from larkspur.frame import Frame
+from larkspur.operators.scorecard import ScorecardBins
 from larkspur.plans import role_rules as A
 from larkspur.plans.registry import query, rounded, table
 
@@ -86,3 +87,31 @@ def best_sql(names: list[str]) -> str:
 def role_rules(spark: SparkSession, sf: str) -> DataFrame:
     """What the rules decide from those figures, one column being declared a number."""
     return rounded(A.role_rules(A.role_stats(credit_columns(spark, sf), NUMBERS, TEXTS, "y", "f"), ["acct"], least_score=0.002))
+
+
+def scorecard_sql(c: str, q: str) -> str:
+    """Every way to cut eight pre-bins into runs, and the weights of the best: events are orders with status F."""
+    iv = "((g + 0.5) / (gg + 0.5) - (b + 0.5) / (bb + 0.5)) * (ln((g + 0.5) / (gg + 0.5)) - ln((b + 0.5) / (bb + 0.5)))"
+    return f"""(with r as (select {c} as x, (o_orderstatus = 'F')::integer::double as y from orders join customer on o_custkey = c_custkey),
+        q as (select list_distinct(quantile_cont(x, {q})) as cuts from r), p as (select len(list_filter(cuts, lambda k: k < x)) as pre, count(*) as n, sum(y) as g from r, q group by 1),
+        t as (select sum(n) as nn, sum(g) as gg, sum(n) - sum(g) as bb from p),
+        cut as (select m, pre, n, g, coalesce(bit_count(m & ((1::bigint << pre::integer) - 1)), 0) as bin from p, (select unnest(range(128)) as m)),
+        bins as (select m, bin, sum(n) as n, sum(g) as g, sum(n) - sum(g) as b from cut group by 1, 2),
+        judged as (select m, bin, n, g, b, g / n as rate, lag(g / n) over (partition by m order by bin) as before, {iv} as iv from bins, t),
+        sums as (select m, sum(iv) as iv, count(*) as bins from judged, t group by m having min(n) >= 0.05 * max(nn) and (bool_and(before is null or rate > before) or bool_and(before is null or rate < before))),
+        best as (select arg_min(m, {{'v': -round(iv, 12), 'b': bins, 'm': m}}) as m from sums)
+        select '{c}' as feature, pre::integer as pre, cut.bin::integer as bin, cut.n, cut.g, round(ln((j.g + 0.5) / (gg + 0.5)) - ln((j.b + 0.5) / (bb + 0.5)), 6) as woe, round(j.iv, 6) as value
+        from cut join best using (m) join judged j using (m, bin), t)"""
+
+
+EIGHTHS = [k / 8 for k in range(1, 8)]
+
+
+@query(" union all ".join(f"select * from {scorecard_sql(c, str(EIGHTHS))}" for c in ("o_totalprice", "c_acctbal", "o_custkey")))
+def scorecard_bins(spark: SparkSession, sf: str) -> DataFrame:
+    """The best monotone bins of three numbers, with their weights of evidence, over eight pre-bins."""
+    columns = ["o_totalprice", "c_acctbal", "o_custkey"]
+    df = table(spark, sf, "orders").join(table(spark, sf, "customer").select("c_custkey", "c_acctbal"), F.col("o_custkey") == F.col("c_custkey"))
+    df = df.select("o_orderkey", (F.col("o_orderstatus") == "F").cast("int").alias("y"), *columns)
+    bins = ScorecardBins(fine=8).fit(Frame(df, {"y": R.make("target")} | dict.fromkeys(columns, R.numeric()), ["o_orderkey"])).bins
+    return rounded(bins.select("feature", "pre", "bin", "n", "g", "woe", "value"))
