@@ -7,7 +7,6 @@ Predictions are one column of probabilities or numbers (p), or one array of clas
 from __future__ import annotations
 
 import logging
-import random
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Any
@@ -23,6 +22,7 @@ from pyspark.sql import functions as F
 from larkspur import roles as R
 from larkspur.frame import Frame
 from larkspur.functions import metrics
+from larkspur.operators.tuning import Choice, Parzen, Uniform
 from larkspur.operators.validation import Split, k_folds
 from larkspur.storage import stored
 
@@ -106,6 +106,19 @@ def predict(model: MLModel, df: DataFrame, task: Task, name: str) -> DataFrame:
     return out.withColumn(name, value).select(*kept, name)
 
 
+def feature_weights(model: MLModel):
+    """Gain or size of the weights of each feature: of one model, of all classes, or of all models of one against the rest."""
+    if hasattr(model, "models"):
+        return sum(feature_weights(m) for m in model.models) / len(model.models)
+    if hasattr(model, "featureImportances"):
+        return model.featureImportances.toArray()
+    if hasattr(model, "coefficientMatrix"):
+        return abs(model.coefficientMatrix.toArray()).mean(axis=0)
+    if hasattr(model, "coefficients"):
+        return abs(model.coefficients.toArray())
+    raise ValueError(f"{type(model).__name__} tells no importance of its features")
+
+
 class OutOfFold:
     """An algorithm fitted on every split; a row is predicted by the models that didn't see it, a new row by the mean of all."""
 
@@ -130,8 +143,11 @@ class OutOfFold:
         scored = parts[0]
         for part in parts[1:]:
             scored = scored.unionByName(part)
-        mean = F.avg(self.name) if self.task.name != "multiclass" else F.first(self.name)
-        scored = scored.groupBy(*frame.keys).agg(mean.alias(self.name))
+        if self.task.name == "multiclass":  # the mean of each class
+            each = scored.select(*frame.keys, F.posexplode(self.name).alias("k__", "v__")).groupBy(*frame.keys, "k__").agg(F.avg("v__").alias("v__"))
+            scored = each.groupBy(*frame.keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("k__", "v__"))), lambda x: x["v__"]).alias(self.name))
+        else:
+            scored = scored.groupBy(*frame.keys).agg(F.avg(self.name).alias(self.name))
         return df.select(*kept).join(scored, frame.keys, "left")
 
     def predict(self, frame: Frame) -> DataFrame:
@@ -149,8 +165,7 @@ class OutOfFold:
         """Mean gain (or size of weights) of each feature over the models, greatest first."""
         total = dict.fromkeys(self.features, 0.0)
         for model in self.models:
-            values = model.featureImportances.toArray() if hasattr(model, "featureImportances") else abs(model.coefficients.toArray())
-            for c, v in zip(self.features, values, strict=True):
+            for c, v in zip(self.features, feature_weights(model), strict=True):
                 total[c] += float(v) / len(self.models)
         return dict(sorted(total.items(), key=lambda x: (-x[1], x[0])))
 
@@ -229,29 +244,6 @@ class MultiOutput:
         return sum(values) / len(values)
 
 
-@dataclass(frozen=True)
-class Uniform:
-    low: float
-    high: float
-    log: bool = False
-    step: float | None = None
-
-    def draw(self, r: random.Random) -> float:
-        from math import exp
-        from math import log as ln
-
-        x = exp(r.uniform(ln(self.low), ln(self.high))) if self.log else r.uniform(self.low, self.high)
-        return self.low + round((x - self.low) / self.step) * self.step if self.step else x
-
-
-@dataclass(frozen=True)
-class Choice:
-    options: tuple
-
-    def draw(self, r: random.Random) -> Any:
-        return r.choice(self.options)
-
-
 SPACES: dict[str, dict[str, Any]] = {
     "gbt": {"maxDepth": Choice((3, 4, 5, 6)), "stepSize": Uniform(0.03, 0.3, log=True)},
     "forest": {"maxDepth": Choice((5, 8, 10))},
@@ -260,26 +252,38 @@ SPACES: dict[str, dict[str, Any]] = {
 }
 
 
-def tune(algorithm: Algorithm, task: Task, frame: Frame, split: Split, trials: int = 10, seed: int = 42, fail_share: float = 0.5, deadline: Callable[[], bool] = lambda: False) -> Algorithm:
-    """The best of seeded random parameters on one split, the defaults included; ends early at the deadline or when over half of the trials fail."""
-    r, best, failed = random.Random(seed), (None, algorithm), 0
-    target = frame.attribute("target")
-    df = assembled(frame, frame.features).persist()
-    for trial in range(trials):
-        if trial and deadline():
-            break
-        params = {k: d.draw(r) for k, d in SPACES.get(algorithm.kind, {}).items()} if trial else {}
-        own = Algorithm(algorithm.kind, algorithm.params | params, algorithm.seed)
-        try:
-            model = own.fit(df.filter(split.train), task, target)
-            score = task.score(predict(model, df.filter(split.valid), task, "p"), target, "p")
-        except Exception:
-            log.exception("trial %d of %s failed", trial, algorithm.kind)
-            failed += 1
-            if failed > fail_share * trials:
-                raise
-            continue
-        if best[0] is None or score > best[0]:
-            best = score, own
-    df.unpersist()
+def tune(
+    algorithm: Algorithm, task: Task, frame: Frame, split: Split, trials: int = 10, seed: int = 42, fail_share: float = 0.5, deadline: Callable[[], bool] = lambda: False, at_once: int = 4
+) -> Algorithm:
+    """The best parameters on one split by a Parzen search that starts from the defaults; trials of one round are scored in one job.
+
+    It ends early at the deadline, and with an error when over ``fail_share`` of the trials fail.
+    """
+    space, target = SPACES.get(algorithm.kind, {}), frame.attribute("target")
+    search, failed, best = Parzen(space, seed), 0, (None, algorithm)
+    df = stored(assembled(frame, frame.features))
+    train, valid = df.filter(split.train), df.filter(split.valid)
+    done = 0
+    while done < trials and space and not (done and deadline()):
+        params = search.suggest(min(at_once, trials - done))
+        if not done:
+            params[0] = {}
+        done += len(params)
+        scored, kept = valid, []
+        for k, own in enumerate(params):
+            try:
+                model = Algorithm(algorithm.kind, algorithm.params | own, algorithm.seed).fit(train, task, target)
+                scored = predict(model, scored, task, f"p{k}__")
+                kept.append((f"p{k}__", own))
+            except Exception:
+                log.exception("a trial of %s failed", algorithm.kind)
+                failed += 1
+                if failed > fail_share * trials:
+                    raise
+        for (_, own), score in zip(kept, task.scores(scored, target, [F.col(n) for n, _ in kept]) if kept else [], strict=True):
+            if score is None:
+                continue
+            search.tell(own or {k: algorithm.params[k] for k in space if k in algorithm.params}, score)
+            if best[0] is None or score > best[0]:
+                best = score, Algorithm(algorithm.kind, algorithm.params | own, algorithm.seed)
     return best[1]

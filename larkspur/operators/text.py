@@ -128,15 +128,6 @@ def inverse_sigmoid(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def perturbed(df: DataFrame, key: str, tokens: str, samples: int, seed: int = 42) -> DataFrame:
-    """key, sample, kept (0/1 by token) and text: the document with tokens left out at random by hash; sample 0 is whole."""
-    out = df.select(key, tokens, F.explode(F.sequence(F.lit(0), F.lit(samples))).alias("sample"))
-    kept = F.transform(tokens, lambda t, i: F.when((F.col("sample") == 0) | (F.pmod(F.xxhash64(F.lit(seed), F.col(key).cast("string"), "sample", i), F.lit(2)) == 0), 1).otherwise(0))
-    out = out.withColumn("kept", kept)
-    text = F.array_join(F.transform(F.filter(F.arrays_zip(F.col(tokens).alias("t"), F.col("kept").alias("k")), lambda x: x["k"] == 1), lambda x: x["t"]), " ")
-    return out.select(key, "sample", "kept", text.alias("text"))
-
-
 class TextScore:
     """A text column as one number: the out-of-fold prediction of a linear model over its TF-IDF vectors.
 

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from larkspur import roles as R
 from larkspur.frame import Frame
-from larkspur.operators import blending, selection
-from larkspur.operators.base import Operator, Sequential, Union
+from larkspur.operators import blending, dependence, selection
+from larkspur.operators.base import Operator, Sequential, Union, lineage
 from larkspur.operators.categorical import FrequencyEncode, LabelEncode, OneHot, OrdinalEncode, TargetEncode
 from larkspur.operators.datetimes import DaysToBase, Seasons, TimeToNumber
 from larkspur.operators.models import Algorithm, OutOfFold, Task, tune
@@ -195,12 +195,12 @@ class TabularAutoML:
 
     def feature_scores(self) -> list[tuple[str, float]]:
         """Importances of the first level summed by source column, greatest first."""
-        sources = sorted(self.reader.state["roles"], key=len, reverse=True)
         total: dict[str, float] = {}
         for m in self.members[0]:
             for c, v in m.model.importances().items():
                 total[c] = total.get(c, 0.0) + v
-        return selection.roll_up(total, lambda c: next((s for s in sources if s in c), c))
+        names = lineage(list(self.reader.state["roles"]), list(total))
+        return selection.roll_up(total, lambda c: names.get(c, c))
 
     def save(self, path: str) -> None:
         """All that ``predict`` needs; ``TabularAutoML.load`` reads it."""
@@ -211,11 +211,27 @@ class TabularAutoML:
         return persistence.load(spark, path)
 
 
-def partial_dependence(automl: TabularAutoML, df: DataFrame, column: str, values: list) -> DataFrame:
-    """value and mean prediction with the column set to it in all rows: one pass of scoring for each value of the short list."""
-    out = None
-    kind = dict(df.dtypes)[column]
-    for v in values:
-        own = automl.predict(df.withColumn(column, F.lit(v).cast(kind))).agg(F.avg("prediction").alias("prediction")).select(F.lit(v).alias("value"), "prediction")
-        out = own if out is None else out.unionByName(own)
-    return out
+def partial_dependence(automl: TabularAutoML, df: DataFrame, column: str, bins: int = 30, top: int = 10, level: str = "year") -> tuple[DataFrame, DataFrame]:
+    """Individual curves (keys, place, value, n and p) of a column of the fitted preset, and their means by grid value.
+
+    A number gets the middles of ``bins`` equal bins, a category its ``top`` values and the others as one, a date its
+    years, months or days of the week. All rows and grid values are scored in one pass, under keys of their own.
+    """
+    kind = automl.reader.state["roles"][column].name
+    if kind == "datetime":
+        df = df.withColumn(column, F.to_timestamp(F.col(f"`{column}`")))
+    elif kind == "category":
+        df = df.withColumn(column, F.col(f"`{column}`").cast("string"))
+    grid = stored({"numeric": lambda: dependence.number_grid(df, column, bins), "datetime": lambda: dependence.date_grid(df, column, level)}.get(kind, lambda: dependence.category_grid(df, column, top))())
+    key = automl.keys
+
+    def score(spread: DataFrame) -> DataFrame:
+        # a row and grid value is a row of its own for the preset: its keys get the place with them
+        own = spread.withColumns({f"own_{k}__": F.col(f"`{k}`") for k in key})
+        own = stored(own.withColumn(key[0], F.xxhash64(*map(F.col, key), "place_")))
+        scored = automl.predict(own).select(*key, F.col("prediction").alias("p"))
+        back = own.join(scored, key).drop(*key)
+        return back.withColumnsRenamed({f"own_{k}__": k for k in key})
+
+    curves = dependence.individual_curves(df, key, column, grid, score, level if kind == "datetime" else None)
+    return curves, dependence.dependence(curves)

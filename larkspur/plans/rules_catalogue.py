@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from larkspur import roles as R
 from larkspur.frame import Frame
+from larkspur.operators import dependence, lime
 from larkspur.operators.scorecard import ScorecardBins
+from larkspur.operators.stl import Decomposition
 from larkspur.plans import role_rules as A
 from larkspur.plans.registry import query, rounded, table
 
@@ -115,3 +117,44 @@ def scorecard_bins(spark: SparkSession, sf: str) -> DataFrame:
     df = df.select("o_orderkey", (F.col("o_orderstatus") == "F").cast("int").alias("y"), *columns)
     bins = ScorecardBins(fine=8).fit(Frame(df, {"y": R.make("target")} | dict.fromkeys(columns, R.numeric()), ["o_orderkey"])).bins
     return rounded(bins.select("feature", "pre", "bin", "n", "g", "woe", "value"))
+
+
+@query("""with d as (select doc_id, list_filter(string_split(coalesce(text, ''), ' '), lambda w: w <> '') as tokens from documents),
+    u as (select doc_id, tokens, list_distinct(tokens) as words, len(list_distinct(tokens)) as n from d),
+    w as (select doc_id, n, word, i - 1 as i, len(tokens) as n_tokens from (select doc_id, n, tokens, unnest(list_sort(words)) as word, generate_subscripts(list_sort(words), 1) as i from u)),
+    s as (select doc_id, n, len(tokens) as n_tokens, sample, case when sample = 0 or n = 0 then 0 else ('0x' || substr(md5('42|' || doc_id || '|' || sample || '|0'), 1, 8))::bigint % n + 1 end as size
+        from u, (select unnest([0, 1, 2, 3]) as sample) where sample = 0 or n > 0),
+    off as (select distinct doc_id, sample, ('0x' || substr(md5('42|' || doc_id || '|' || sample || '|' || draw), 1, 8))::bigint % n as i from (select *, unnest(generate_series(1, size)) as draw from s)),
+    gone as (select doc_id, sample, count(*) as k from off group by 1, 2),
+    x as (select doc_id, n, sample, n - coalesce(k, 0) as kept from s left join gone using (doc_id, sample)),
+    y as (select *, case when n = 0 then 1 else sqrt(exp(-pow(100 * (1 - sqrt(kept / n)), 2) / 625)) end as weight from x)
+    select doc_id, max(n)::bigint as n_words, count(*) as n_samples, round(sum(weight), 6) as w, round(sum(weight * kept), 4) as wx, round(sum(weight * kept * kept), 2) as wxx from y group by 1""")
+def lime_moments(spark: SparkSession, sf: str) -> DataFrame:
+    """Samples of every document with words left out: kernel weights, and moments of the number of words that stay."""
+    tokens = F.filter(F.split(F.coalesce("text", F.lit("")), " "), lambda w: w != "")
+    rows = lime.perturbed(table(spark, sf, "documents").select("doc_id", tokens.alias("tokens")), "doc_id", "tokens", 3)
+    kept, weight = F.aggregate("kept", F.lit(0.0), lambda a, x: a + x), lime.kernel_weight(F.col("kept"))
+    rows = rows.select("doc_id", F.size("words").cast("long").alias("n"), kept.alias("k"), weight.alias("w"))
+    sums = rows.groupBy("doc_id").agg(F.max("n").alias("n_words"), F.count("*").alias("n_samples"), F.sum("w").alias("w"), F.sum(F.col("w") * F.col("k")).alias("wx"), F.sum(F.col("w") * F.col("k") ** 2).alias("wxx"))
+    return sums.select("doc_id", "n_words", "n_samples", *[c.alias(n) for c, n in ((F.round("w", 6), "w"), (F.round("wx", 4), "wx"), (F.round("wxx", 2), "wxx"))])
+
+
+@query("""with e as (select min(l_quantity) as low, (max(l_quantity) - min(l_quantity)) / 12 as width from lineitem), g as (select unnest(range(12)) as place),
+    c as (select least(floor((l_quantity - low) / width), 11)::integer as place, count(*) as n from lineitem, e group by 1)
+    select g.place::integer as place, round(low + (g.place + 0.5) * width, 6) as value, coalesce(n, 0) as n, round(avg(l_extendedprice / 1000 + (low + (g.place + 0.5) * width) * l_discount * 9), 6) as mean,
+        round(stddev_pop(l_extendedprice / 1000 + (low + (g.place + 0.5) * width) * l_discount * 9), 6) as spread
+    from lineitem, e, g left join c using (place) group by g.place, low, width, n""")
+def dependence_curve(spark: SparkSession, sf: str) -> DataFrame:
+    """A given formula with the quantity of every line set to the middles of twelve bins: the mean and spread of the individual curves."""
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    df = table(spark, sf, "lineitem").select(*keys, "l_quantity", "l_discount", "l_extendedprice")
+    formula = F.col("l_extendedprice") / 1000 + F.col("l_quantity") * F.col("l_discount") * 9
+    curves = dependence.individual_curves(df, keys, "l_quantity", dependence.number_grid(df, "l_quantity", 12), lambda d: d.withColumn("p", formula))
+    return rounded(dependence.dependence(curves))
+
+
+@query()
+def stl_trend(spark: SparkSession, sf: str) -> DataFrame:
+    """Trend, weekly season and remainder of the daily sums of each kind of event."""
+    daily = table(spark, sf, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.sum("value").alias("v"))
+    return Decomposition(7, robust=1, rounds=2).fit_transform(daily, ["event_type"], "day", "v")
