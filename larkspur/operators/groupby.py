@@ -37,13 +37,15 @@ class GroupStatistics(Operator):
         df, g = frame.df, self.group
         kinds = {"delta_mean": F.avg, "min": F.min, "max": F.max, "std": F.stddev_pop}
         sums = [f(F.col(c).cast("double")).alias(f"{s}_{k}") for k, c in enumerate(self.numeric) for s, f in kinds.items() if s in self.statistics]
-        groups = df.groupBy(g).agg(F.count("*").alias("n_"), *sums)
-        if "delta_median" in self.statistics:
+        modes = [group_modes(df, g, c).withColumnRenamed("mode_", f"mode_{k}") for k, c in enumerate(self.category)] if set(CATEGORY) & set(self.statistics) else []
+        medians = "delta_median" in self.statistics and self.numeric
+        # a table of modes has all groups, as one of sums has; one of medians lacks those without values
+        groups = df.groupBy(g).agg(F.count("*").alias("n_"), *sums) if sums or medians or not modes else modes.pop(0)
+        if medians:
             for k, c in enumerate(self.numeric):
                 groups = lookup(groups, quantiles(df, c, [0.5], [g], [f"delta_median_{k}"]), [g])
-        if set(CATEGORY) & set(self.statistics):
-            for k, c in enumerate(self.category):
-                groups = lookup(groups, group_modes(df, g, c).withColumnRenamed("mode_", f"mode_{k}"), [g])
+        for more in modes:
+            groups = lookup(groups, more, [g])
         # one row for each group, so that the rows are joined once
         self.fields = groups.columns[1:]
         self.table = groups.select(g, F.struct(*self.fields).alias("stats_"))

@@ -69,7 +69,7 @@ def entropy(df: DataFrame, by: list[str], column: str, name: str) -> DataFrame:
 
 @dataclass
 class Table:
-    """A table of a star: its key, and the column types that deep features read."""
+    """A table of a star: its key, and the column types that deep features read; of dates the parts are aggregated as numbers."""
 
     df: DataFrame
     key: str
@@ -116,7 +116,8 @@ def deep_features(tables: dict[str, Table], relations: list[Relation], target: s
     out, made = table.df.select(table.key), 0
     for r in (r for r in relations if r.parent == target and depth > 0):
         child = tables[r.child]
-        df, numeric = child.df, list(child.numeric)
+        parts_of_dates = row_features(child)
+        df, numeric = child.df.withColumns({c: e.cast("double") for c, e in parts_of_dates.items()}), [*child.numeric, *parts_of_dates]
         if depth > 1 and any(x.parent == r.child for x in relations):
             deeper = deep_features(tables, relations, r.child, depth - 1, tuple(a for a in aggregates if a not in ("entropy", "median")), most)
             df = df.join(deeper, child.key, "left")
@@ -127,7 +128,7 @@ def deep_features(tables: dict[str, Table], relations: list[Relation], target: s
             sums[name("count")] = F.count("*")
         for a, f in (("mean", F.avg), ("std", F.stddev_samp), ("max", F.max), ("sum", F.sum), ("min", F.min)):
             if a in aggregates:
-                sums |= {name(f"{a}_{c.removeprefix('ft__')}"): f(F.col(c).cast("double")) for c in numeric}
+                sums |= {name(f"{a}_{c.removeprefix('ft__')}"): f(F.col(f"`{c}`").cast("double")) for c in numeric}
         if "num_unique" in aggregates:
             sums |= {name(f"num_unique_{c}"): F.count_distinct(c) for c in child.category}
         if "percent_true" in aggregates:

@@ -42,9 +42,10 @@ def concatenated(columns: list[str], separator: str = SEPARATOR) -> Column:
 
 
 def vocabulary(df: DataFrame, tokens: str, least: int = 1, most: int | None = None) -> DataFrame:
-    """token, n and df (documents that have it), the commonest first, ties by token."""
-    counted = df.select(F.monotonically_increasing_id().alias("d"), tokens).select("d", F.explode(tokens).alias("token")).groupBy("d", "token").agg(F.count("*").alias("n"))
-    out = counted.groupBy("token").agg(F.sum("n").alias("n"), F.count("*").alias("df")).filter(F.col("n") >= least)
+    """token, n and df (documents that have it), the commonest first, ties by token. Documents need no numbers: their different tokens are counted beside all."""
+    every = df.select(F.explode(tokens).alias("token"), F.lit(1).alias("n"), F.lit(0).alias("df"))
+    once = df.select(F.explode(F.array_distinct(tokens)).alias("token"), F.lit(0).alias("n"), F.lit(1).alias("df"))
+    out = every.unionByName(once).groupBy("token").agg(F.sum("n").alias("n"), F.sum("df").alias("df")).filter(F.col("n") >= least)
     return out.orderBy(F.desc("n"), "token").limit(most) if most else out
 
 
@@ -65,10 +66,10 @@ def tf_idf(df: DataFrame, key: str, tokens: str, least_df: int = 5, most: int |
 
 
 class TfIdfVectors:
-    """The same weights as sparse vectors for models: ``fit`` learns the vocabulary (all of it, or the ``most`` commonest tokens), ``transform`` adds the vectors."""
+    """The same weights as sparse vectors for models: ``fit`` learns the vocabulary of the ``most`` commonest tokens, which the driver holds, ``transform`` adds the vectors."""
 
-    def __init__(self, tokens: str, output: str, least_df: int = 5, most: int | None = None):
-        self.tokens, self.output, self.least_df, self.most = tokens, output, least_df, most or (1 << 31) - 1
+    def __init__(self, tokens: str, output: str, least_df: int = 5, most: int = 1 << 18):
+        self.tokens, self.output, self.least_df, self.most = tokens, output, least_df, most
 
     def fit(self, df: DataFrame) -> TfIdfVectors:
         counts = CountVectorizer(inputCol=self.tokens, outputCol="tf__", minDF=self.least_df, vocabSize=self.most)
@@ -83,7 +84,7 @@ class TfIdfVectors:
 
 def word_weights(df: DataFrame, tokens: str, kind: str = "idf", alpha: float = 0.001) -> DataFrame:
     """token and weight: ln(1 + (N + 1) / (df + 1)), or alpha / (alpha + (df + 1) / (N + 1)), or 1."""
-    each = df.select(F.monotonically_increasing_id().alias("d"), tokens).select("d", F.explode(F.array_distinct(tokens)).alias("token"))
+    each = df.select(F.explode(F.array_distinct(tokens)).alias("token"))
     counts = each.groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(df.agg(F.count("*").alias("docs"))))
     n, d = F.col("docs") + 1, F.col("df") + 1
     weight = {"idf": F.log1p(n / d), "sif": alpha / (alpha + d / n), "1": F.lit(1.0)}[kind]

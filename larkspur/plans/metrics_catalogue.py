@@ -81,25 +81,26 @@ def confusion_matrix(spark: SparkSession, sf: str) -> DataFrame:
     return M.confusion(table(spark, sf, "orders"), F.col("o_orderstatus"), F.when(F.col("o_totalprice") > 150000, "F").otherwise("O"))
 
 
-VECTORS = "(select label, round(embedding[1], 2)::double as s0, round(embedding[2], 2)::double as s1, round(embedding[3], 2)::double as s2 from embeddings where label < 3)"
+VECTORS = "(select label, " + ", ".join(f"round(embedding[{k + 1}], 2)::double as s{k}" for k in range(10)) + " from embeddings where label is not null)"
+CLASS_PAIRS = [(i, j) for i in range(10) for j in range(i)]
 
 
-def three_classes(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "embeddings").filter("label < 3").select("label", *[F.round(F.col("embedding")[k], 2).cast("double").alias(f"s{k}") for k in range(3)])
+def ten_classes(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "embeddings").filter("label is not null").select("label", *[F.round(F.col("embedding")[k], 2).cast("double").alias(f"s{k}") for k in range(10)])
 
 
-@query(f"""with x as (select k, (label = k)::integer as y, case k when 0 then s0 when 1 then s1 else s2 end as p from {VECTORS}, (select unnest([0, 1, 2]) as k)),
+@query(f"""with x as (select k, (label = k)::integer as y, [{", ".join(f"s{k}" for k in range(10))}][k + 1] as p from {VECTORS}, (select unnest(range(10)) as k)),
     r as (select k, y, rank() over (partition by k order by p) + (count(*) over (partition by k, p) - 1) / 2 as r from x)
     select round(avg(a), 6)::double as auc_ovr from (select k, {AUC} as a from r group by k)""")
 def metric_auc_ovr(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(M.auc_one_vs_rest(three_classes(spark, sf), "label", ["s0", "s1", "s2"]))
+    return rounded(M.auc_one_vs_rest(ten_classes(spark, sf), "label", [f"s{k}" for k in range(10)]))
 
 
-@query(f"""with x as (select 1 as k, (label = 1)::integer as y, s1 - s0 as p from {VECTORS} where label in (0, 1) union all select 2, (label = 2)::integer, s2 - s0 from {VECTORS} where label in (0, 2) union all select 3, (label = 2)::integer, s2 - s1 from {VECTORS} where label in (1, 2)),
+@query(f"""with x as ({" union all ".join(f"select {k} as k, (label = {i})::integer as y, s{i} - s{j} as p from {VECTORS} where label in ({i}, {j})" for k, (i, j) in enumerate(CLASS_PAIRS))}),
     r as (select k, y, rank() over (partition by k order by p) + (count(*) over (partition by k, p) - 1) / 2 as r from x)
     select round(avg(a), 6)::double as auc_mu from (select k, {AUC} as a from r group by k)""")
 def metric_auc_mu(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(M.auc_mu(three_classes(spark, sf), "label", ["s0", "s1", "s2"]))
+    return rounded(M.auc_mu(ten_classes(spark, sf), "label", [f"s{k}" for k in range(10)]))
 
 
 def gini_sql(c: str) -> str:

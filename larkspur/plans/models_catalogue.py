@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from larkspur import roles as R
 from larkspur.frame import Frame
+from larkspur.functions import metrics
 from larkspur.operators import blending, explain, models, selection, text, validation, vectors
 from larkspur.operators.base import lineage
 from larkspur.plans import automl, timeseries, uplift
@@ -324,9 +325,23 @@ def uplift_means_t2(spark: SparkSession, sf: str) -> DataFrame:
     return by_learner("t2", spark, sf)
 
 
-@query(two_means("avg(y) filter (t = 1)", "avg(y) filter (t = 0)"))
+def squares(df: DataFrame, target: str, features: list[str], weight: str | None = None) -> uplift.Scorer:
+    """A line through the target over the square of the last feature: what a learner feeds in as last bends the curve."""
+    x = F.round(F.col(features[-1]) * F.col(features[-1]), 9)
+    row = df.agg(F.regr_slope(F.col(target).cast("double"), x).alias("b"), F.regr_intercept(F.col(target).cast("double"), x).alias("a")).first()
+    return lambda d, name: d.withColumn(name, F.round(F.lit(row["a"]) + F.lit(row["b"]) * x, 9))
+
+
+@query(f"""with a as (select *, n + c_custkey % 4 as z from {ARMS}),
+    f as (select regr_slope(y, round(z * z, 9)) as b, regr_intercept(y, round(z * z, 9)) as a from a where t = 1),
+    k as (select c_custkey, y, t, round(f.a + f.b * round(z * z, 9), 9) as other from a, f),
+    g as (select regr_slope(y, round(other * other, 9)) as b, regr_intercept(y, round(other * other, 9)) as a from k where t = 0)
+    select c_custkey, round(other - round(g.a + g.b * round(other * other, 9), 9), 6)::double + 0.0 as uplift from k, g""")
 def uplift_means_td(spark: SparkSession, sf: str) -> DataFrame:
-    return by_learner("td", spark, sf)
+    """The treated arm's prediction is the last feature of the other arm's model, which is a curve in it: not the difference of two models of the arms."""
+    df = treated(spark, sf).select("c_custkey", (F.col("n") + F.pmod("c_custkey", F.lit(4))).alias("z"), "t", "y")
+    made = uplift.TDLearner(["z"], "y", "t", squares, dependent=0).fit(df).predict(df)
+    return rounded(made.select("c_custkey", "uplift"))
 
 
 @query(f"""with m as (select n, round(avg(y) filter (t = 1), 9) as m1, round(avg(y) filter (t = 0), 9) as m0, round(avg(t), 9) as c from {ARMS} group by 1),
@@ -375,7 +390,36 @@ def stratified_split(spark: SparkSession, sf: str) -> DataFrame:
     return validation.stratified_split(df, ["c_mktsegment", "t"], ["c_custkey"]).select("c_custkey", "is_test")
 
 
-@query("select c_mktsegment as name, round(avg(c_acctbal), 4) as score, row_number() over (order by avg(c_acctbal) desc, c_mktsegment)::integer as rank from customer group by 1")
+MEANS = {
+    "s": ("avg(y) filter (t = 1)", "avg(y) filter (t = 0)"),
+    "t": ("avg(y) filter (t = 1)", "avg(y) filter (t = 0)"),
+    "t2": (WEIGHTED.format(1, 1), WEIGHTED.format(0, 0)),
+    "td": ("avg(y) filter (t = 1)", "avg(y) filter (t = 0)"),
+}
+FIVES = ARMS.replace("(c_nationkey % 3)::double as n", "(c_nationkey % 5 + 5 * floor(c_acctbal / 2500))::double as n")
+EFFECTS = {
+    **{k: f"select n, round({a}, 9) - round({b}, 9) as u from fives group by n" for k, (a, b) in MEANS.items()},
+    "x": "select n, c * e1 + (1 - c) * e0 as u from (select n, round(avg(y - m0) filter (t = 1), 9) as e1, round(avg(m1 - y) filter (t = 0), 9) as e0 from fives join means using (n) group by n) join means using (n)",
+    "r": "select n, round(sum(d * w) / sum(w), 9) as u from (select n, (y - m) / (t - c + 1e-5) as d, pow(t - c + 1e-5, 2) as w from fives join means using (n)) group by n",
+}
+
+
+@query(f"""with fives as {FIVES}, means as (select n, round(avg(y) filter (t = 1), 9) as m1, round(avg(y) filter (t = 0), 9) as m0, round(avg(y), 9) as m, round(avg(t), 9) as c from fives group by n),
+    effects as ({" union all ".join(f"select '{k}' as name, {i} as place, e.* from ({sql}) e" for i, (k, sql) in enumerate(EFFECTS.items()))}),
+    tied as (select name, place, round(u, 9) as u, count(*) as n, sum(t) as nt, sum(y * t) as yt, sum(y * (1 - t)) as yc from fives join effects using (n) where u is not null group by 1, 2, 3),
+    cum as (select name, place, sum(n) over w as n, sum(nt) over w as nt, sum(yt) over w as yt, sum(yc) over w as yc, sum(nt) over (partition by name) as all_t from tied window w as (partition by name order by u desc)),
+    points as (select name, place, n, (yt - yc * coalesce(nt / nullif(n - nt, 0), 0)) / all_t as v from cum),
+    steps as (select name, place, n, v, lag(n, 1, 0) over (partition by name order by n) as n0, lag(v, 1, 0) over (partition by name order by n) as v0 from points),
+    scores as (select name, place, round(sum((n - n0) * (v + v0) / 2) / max(n), 9) as score from steps group by 1, 2)
+    select name, round(score, 6)::double as score, row_number() over (order by score desc, place)::integer as rank from scores""")
 def learner_rating(spark: SparkSession, sf: str) -> DataFrame:
-    scores = table(spark, sf, "customer").groupBy(F.col("c_mktsegment").alias("name")).agg(F.avg("c_acctbal").alias("score")).withColumn("place", F.col("name"))
-    return rounded(uplift.rating(scores), 4)
+    """The six uplift learners, fitted on groups of nation and balance, rated by the area under their uplift curves."""
+    df = table(spark, sf, "customer")
+    group = (F.col("c_nationkey") % 5 + 5 * F.floor(F.col("c_acctbal") / 2500)).cast("double").alias("n")
+    df = df.select("c_custkey", group, (F.col("c_custkey") % 2).cast("int").alias("t"), (F.col("c_acctbal") + 900 * (F.col("c_custkey") % 2) > 4500).cast("int").alias("y"))
+    scores = None
+    for place, (name, learner) in enumerate(uplift.LEARNERS.items()):
+        made = learner(["n"], "y", "t", group_means, group_means, group_means).fit(df).predict(df).withColumn("u", F.round("uplift", 9))
+        one = metrics.uplift_auc(made, "y", "u", "t").select(F.lit(name).alias("name"), F.round("auc", 9).alias("score"), F.lit(place).alias("place"))
+        scores = one if scores is None else scores.unionByName(one)
+    return rounded(uplift.rating(scores))
