@@ -72,6 +72,8 @@ def quantiles(df: DataFrame, key: str, probabilities: list[float], by: Sequence[
 
 def column_quantiles(df: DataFrame, columns: list[str], probabilities: list[float]) -> dict[str, list[float | None]]:
     """Quantiles of several columns of one frame, on the driver: a few numbers per column."""
+    if not columns:
+        return {}
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in columns])).alias("x")).select("x.*")
     rows = {r["name"]: [r[f"q{k}"] for k in range(len(probabilities))] for r in quantiles(long, "value", probabilities, ["name"]).collect()}
     return {c: rows.get(c, [None] * len(probabilities)) for c in columns}

@@ -67,16 +67,18 @@ class Union(Operator):
 
     def together(self, frame: Frame, method: str) -> Frame:
         # an operator takes its inputs out of the frame; each branch gets them anew from copies
-        inputs = frame.features
-        out = Frame(frame.df.withColumns({f"input__{c}": F.col(quoted(c)) for c in inputs}), dict(frame.roles), frame.keys)
+        inputs, prefix = frame.features, "input__"
+        while any(c.startswith(prefix) for c in frame.df.columns):  # those of a union that this one is a branch of
+            prefix += "_"
+        out = Frame(frame.df.withColumns({f"{prefix}{c}": F.col(quoted(c)) for c in inputs}), dict(frame.roles), frame.keys)
         made: list[str] = []
         for operator in self.operators:
-            fresh = out.df.withColumns({c: F.col(quoted(f"input__{c}")) for c in inputs})
+            fresh = out.df.withColumns({c: F.col(quoted(f"{prefix}{c}")) for c in inputs})
             after = getattr(operator, method)(Frame(fresh, frame.roles, frame.keys))
             new = [c for c in after.features if c not in inputs and c not in made]
             made += new
             out = Frame(after.df, out.roles | {c: after.roles[c] for c in new}, frame.keys)
-        return out.without([f"input__{c}" for c in inputs]).select(made) if made else frame
+        return out.without([f"{prefix}{c}" for c in inputs]).select(made) if made else frame
 
 
 class Select(Operator):

@@ -32,9 +32,9 @@ FEATURES = "features__"
 
 @dataclass
 class Task:
-    """What is predicted: binary, multiclass or reg, and the metric that judges it.
+    """What is predicted: binary, multiclass or reg, or several targets at once (multi:reg, multilabel), and the metric that judges it.
 
-    The metric is a name, or a function of target and prediction to an aggregate; ``more`` tells of a
+    Of several targets the metric is that of each, averaged, and a prediction is an array. The metric is a name, or a function of target and prediction to an aggregate; ``more`` tells of a
     function whether more of it is better. Scores have the sign that makes more better.
     """
 
@@ -44,13 +44,25 @@ class Task:
     more: bool = True
 
     def __post_init__(self) -> None:
-        self.metric = self.metric or {"binary": "auc", "multiclass": "crossentropy", "reg": "mse"}[self.name]
+        self.metric = self.metric or {"binary": "auc", "multiclass": "crossentropy", "reg": "mse", "multi:reg": "mae", "multilabel": "logloss"}[self.name]
 
-    def score(self, df: DataFrame, target: str, prediction: str) -> float:
-        return metrics.score(df, target, prediction, self.metric, self.more)
+    @property
+    def several(self) -> bool:
+        return self.name in ("multi:reg", "multilabel")
 
-    def scores(self, df: DataFrame, target: str, predictions: list) -> list[float | None]:
-        """Of several predictions (columns), from one job."""
+    @property
+    def one(self) -> Task:
+        """The task of each target."""
+        return Task({"multi:reg": "reg", "multilabel": "binary"}[self.name], self.metric, self.log_target, self.more) if self.several else self
+
+    def score(self, df: DataFrame, target: str | list[str], prediction: str) -> float:
+        return self.scores(df, target, [F.col(prediction)])[0]
+
+    def scores(self, df: DataFrame, target: str | list[str], predictions: list) -> list[float | None]:
+        """Of several predictions (columns), from one job for each target."""
+        if self.several:
+            each = [metrics.scores(df, t, [p[k] for p in predictions], self.metric, self.more) for k, t in enumerate(target)]
+            return [None if None in own else sum(own) / len(own) for own in zip(*each, strict=True)]
         return metrics.scores(df, target, predictions, self.metric, self.more)
 
 
@@ -218,8 +230,8 @@ class MultiOutput:
     """Several targets at once: an out-of-fold model for each, and one array of predictions (multi:reg and multilabel)."""
 
     def __init__(self, algorithm: Algorithm, task: Task, targets: list[str], name: str = "p"):
-        self.targets, self.name, self.task = targets, name, task
-        self.parts = [OutOfFold(algorithm, task, f"{name}__{k}") for k in range(len(targets))]
+        self.targets, self.name, self.task = targets, name, task.one
+        self.parts = [OutOfFold(algorithm, self.task, f"{name}__{k}") for k in range(len(targets))]
 
     def of(self, frame: Frame, k: int) -> Frame:
         roles = {c: r for c, r in frame.roles.items() if c not in self.targets}
@@ -231,13 +243,19 @@ class MultiOutput:
         names = [f"{self.name}__{k}" for k in range(len(parts))]
         return base.withColumn(self.name, F.array(*names)).drop(*names)
 
-    def fit_predict(self, frame: Frame, fold: str, folds: int) -> DataFrame:
-        made = [part.fit_predict(self.of(frame, k), k_folds(fold, folds)) for k, part in enumerate(self.parts)]
+    def fit_predict(self, frame: Frame, fold: str, folds: int, features: list[str] | None = None) -> DataFrame:
+        made = [part.fit_predict(self.of(frame, k), k_folds(fold, folds), features) for k, part in enumerate(self.parts)]
         return self.together(frame.df.select(*frame.keys, *self.targets), frame.keys, made)
 
     def predict(self, frame: Frame) -> DataFrame:
         return self.together(frame.df.select(*frame.keys), frame.keys, [part.predict(frame) for part in self.parts])
 
+    def importances(self) -> dict[str, float]:
+        """The mean over the targets, greatest first."""
+        each = [part.importances() for part in self.parts]
+        total = {c: sum(e[c] for e in each) / len(each) for c in each[0]}
+        return dict(sorted(total.items(), key=lambda x: (-x[1], x[0])))
+
     def score(self, df: DataFrame) -> float:
         """The mean of the metric over the targets."""
         values = [self.task.score(df.withColumn("p__", F.col(self.name)[k]), t, "p__") for k, t in enumerate(self.targets)]

@@ -6,6 +6,9 @@ from pyspark.ml.feature import IDF, CountVectorizer, Normalizer, Word2Vec
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur import roles as R
+from larkspur.frame import Frame, quoted
+from larkspur.operators.base import Operator
 from larkspur.storage import stored
 
 SEPARATOR = " [SEP] "
@@ -129,6 +132,44 @@ def inverse_sigmoid(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
+class TextScores(Operator):
+    """``text__<column>``: the out-of-fold score of :class:`TextScore` for each text feature, and ``words__<column>``, its number of words.
+
+    Texts are tokenised as English; a null is an empty text. ``targets`` names several targets, each with a score of its own.
+    """
+
+    def __init__(self, folds: int = 5, binary: bool = True, targets: list[str] | None = None, least_df: int = 5):
+        self.folds, self.binary, self.targets, self.least_df = folds, binary, targets, least_df
+
+    def inputs(self, frame: Frame) -> list[str]:
+        return [c for c in frame.features if frame.roles[c].name == "text"]
+
+    def tokenised(self, frame: Frame) -> DataFrame:
+        return frame.df.withColumns({f"tokens__{c}": tokens_en(F.coalesce(F.col(quoted(c)), F.lit(""))) for c in self.inputs(frame)})
+
+    def finished(self, df: DataFrame, frame: Frame) -> Frame:
+        columns = self.inputs(frame)
+        df = df.withColumns({f"words__{c}": F.size(f"tokens__{c}").cast("double") for c in columns}).drop(*[f"tokens__{c}" for c in columns])
+        made = [*(s.name for s in self.scorers), *(f"words__{c}" for c in columns)]
+        return Frame(df, frame.roles | dict.fromkeys(made, R.numeric()), frame.keys).select(made)
+
+    def fit_transform(self, frame: Frame) -> Frame:
+        targets, fold = self.targets or [frame.attribute("target")], frame.attribute("folds")
+        df, self.scorers = self.tokenised(frame), []
+        for c in self.inputs(frame):
+            for k, target in enumerate(targets):
+                name = f"text__{c}" if len(targets) == 1 else f"text_{k}__{c}"
+                self.scorers.append(TextScore(f"tokens__{c}", target, name, self.binary, self.least_df))
+                df = self.scorers[-1].fit_predict(df, fold, self.folds)
+        return self.finished(df, frame)
+
+    def transform(self, frame: Frame) -> Frame:
+        df = self.tokenised(frame)
+        for scorer in self.scorers:
+            df = scorer.predict(df)
+        return self.finished(df, frame)
+
+
 class TextScore:
     """A text column as one number: the out-of-fold prediction of a linear model over its TF-IDF vectors.
 

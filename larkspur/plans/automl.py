@@ -20,9 +20,10 @@ from larkspur.operators import blending, dependence, selection
 from larkspur.operators.base import Operator, Sequential, Union, lineage
 from larkspur.operators.categorical import FrequencyEncode, LabelEncode, OneHot, OrdinalEncode, TargetEncode
 from larkspur.operators.datetimes import DaysToBase, Seasons, TimeToNumber
-from larkspur.operators.models import Algorithm, OutOfFold, Task, tune
+from larkspur.operators.models import Algorithm, MultiOutput, OutOfFold, Task, tune
 from larkspur.operators.numeric import FillInfinite, FillMedian, NullFlags, Numeric, QuantileBins, Scale
 from larkspur.operators.scorecard import ScorecardBins
+from larkspur.operators.text import TextScores
 from larkspur.operators.validation import k_folds
 from larkspur.plans import persistence
 from larkspur.plans.reader import Reader
@@ -54,25 +55,25 @@ class Pass(Numeric):
         return F.col(f"`{c}`").cast("double")
 
 
-def simple_features() -> Operator:
+def simple_features(encode: TargetEncode | None = None) -> Operator:
     """For trees: numbers, ranks of categories, days."""
     return Union([Pass(), OrdinalEncode(), TimeToNumber()])
 
 
-def advanced_features() -> Operator:
+def advanced_features(encode: TargetEncode | None = None) -> Operator:
     """For trees: numbers, counts, out-of-fold target means and ranks of categories, days to bases, parts of dates."""
-    return Union([Pass(), FrequencyEncode(), TargetEncode(), OrdinalEncode(), DaysToBase(), Seasons()])
+    return Union([Pass(), FrequencyEncode(), encode or TargetEncode(), OrdinalEncode(), DaysToBase(), Seasons()])
 
 
-def linear_features(rich: bool = False) -> Operator:
+def linear_features(encode: TargetEncode | None = None, rich: bool = False) -> Operator:
     """For linear models: filled and scaled numbers, flags of missing ones, one-hot codes and target means of categories; if rich, bins and seasons as well."""
     dense = Sequential([FillInfinite(), Union([Sequential([FillMedian(), Scale()]), NullFlags()])])
     codes = Sequential([LabelEncode(), OneHot()])
     more = [Sequential([QuantileBins(), OneHot()]), Sequential([Seasons(), LabelEncode(), OneHot()])] if rich else []
-    return Union([dense, codes, Sequential([TargetEncode(), Scale()]), *more])
+    return Union([dense, codes, Sequential([encode or TargetEncode(), Scale()]), *more])
 
 
-def scorecard_features() -> Operator:
+def scorecard_features(encode: TargetEncode | None = None) -> Operator:
     """Weights of evidence of the best monotone bins of numbers and categories."""
     return ScorecardBins()
 
@@ -90,14 +91,16 @@ MEMBERS: dict[str, tuple[Callable[[], Operator], Algorithm]] = {
 class Member:
     name: str
     features: Operator
-    model: OutOfFold
+    model: OutOfFold | MultiOutput
     selected: list[str] | None = None
 
 
 @dataclass
 class TabularAutoML:
-    """``fit_predict`` returns keys, target and the blended out-of-fold prediction; ``predict`` scores new rows.
+    """``fit_predict`` returns keys, targets and the blended out-of-fold prediction; ``predict`` scores new rows.
 
+    Text columns give every member the out-of-fold scores of linear models over their words. Of a task with
+    several targets all columns with the role target are predicted, as an array in their order.
     ``levels`` names the members of each level; predictions of a level are features of the next. A
     member that fails is logged and left out. With ``tuning`` trials its parameters are searched on one fold.
     """
@@ -118,7 +121,8 @@ class TabularAutoML:
         self.reader = Reader(self.task.name, self.keys, folds=self.folds)
         frame = self.reader.fit_read(df, declared)
         self.fold = frame.attribute("folds")
-        self.target = frame.attribute("target")
+        self.targets = [c for c, r in frame.roles.items() if r.name == "target"]
+        self.target = self.targets if self.task.several else frame.attribute("target")
         for names in self.levels:
             frame, level = self.fit_level(frame, names)
             self.members.append(level)
@@ -126,7 +130,7 @@ class TabularAutoML:
                 log.info("the time budget is spent")
                 break
         last = [m.model.name for m in self.members[-1]]
-        return self.blended(frame.df, last).select(*self.keys, self.target, "prediction")
+        return self.blended(frame.df, last).select(*self.keys, *(self.targets if self.task.several else [self.target]), "prediction")
 
     def fit_level(self, frame: Frame, names: tuple[str, ...]) -> tuple[Frame, list[Member]]:
         level, scored = [], frame.df
@@ -144,29 +148,44 @@ class TabularAutoML:
                 break
         if not level:
             raise RuntimeError("no model could be fitted")
-        roles = frame.roles | {m.model.name: R.numeric(prob=self.task.name == "binary") for m in level}
+        scored, roles = self.with_predictions(scored, frame.roles, [m.model.name for m in level])
         return Frame(stored(scored), roles, frame.keys), level
 
+    def with_predictions(self, df: DataFrame, roles: dict, names: list[str]) -> tuple[DataFrame, dict]:
+        """Predictions as features of the next level: an array's numbers each."""
+        if self.task.name in ("binary", "reg"):
+            return df, roles | {n: R.numeric(prob=self.task.name == "binary") for n in names}
+        width = len(self.targets) if self.task.several else self.reader.state["classes"].count()
+        made = {f"{n}__{k}": F.col(n)[k] for n in names for k in range(width)}
+        return df.withColumns(made), roles | dict.fromkeys(names, R.make("array")) | dict.fromkeys(made, R.numeric(prob=self.task.name != "multi:reg"))
+
     def fit_member(self, frame: Frame, name: str, column: str) -> tuple[Member, DataFrame]:
         make, algorithm = MEMBERS[name]
-        features = make()
+        binary = self.task.one.name == "binary"
+        encode = TargetEncode(self.targets, "binary" if binary else "reg") if self.task.several else TargetEncode(kind="reg") if self.task.name == "reg" else None
+        features = make(encode)
+        if any(r.name == "text" for r in frame.roles.values()) and self.task.name != "multiclass":
+            features = Union([features, TextScores(self.folds, binary, self.targets if self.task.several else None)])
         made = features.fit_transform(frame)
         made = Frame(stored(made.df), made.roles, made.keys)
-        if self.tuning:
+        if self.tuning and not self.task.several:
             algorithm = tune(algorithm, self.task, made, next(k_folds(self.fold, self.folds)), self.tuning, deadline=self.timer.over)
-        model = OutOfFold(algorithm, self.task, column)
-        chosen = None
+        model, chosen = self.model_of(algorithm, column), None
+        fit = lambda m, some=None: m.fit_predict(made, self.fold, self.folds, some) if self.task.several else m.fit_predict(made, k_folds(self.fold, self.folds), some)
         if self.cutoff is not None:
-            model.fit_predict(made, k_folds(self.fold, 1 if self.folds < 2 else self.folds))
+            fit(model)
             chosen = selection.by_cutoff(model.importances(), self.cutoff)
-            model = OutOfFold(algorithm, self.task, column)
-        out = model.fit_predict(made, k_folds(self.fold, self.folds), chosen)
+            model = self.model_of(algorithm, column)
+        out = fit(model, chosen)
         return Member(name, features, model, chosen), out.select(*self.keys, column)
 
+    def model_of(self, algorithm: Algorithm, column: str) -> OutOfFold | MultiOutput:
+        return MultiOutput(algorithm, self.task, self.targets, column) if self.task.several else OutOfFold(algorithm, self.task, column)
+
     def blended(self, df: DataFrame, names: list[str]) -> DataFrame:
         if len(names) == 1:
             return df.withColumn("prediction", F.col(names[0]))
-        if self.task.name == "multiclass":
+        if self.task.name == "multiclass" or self.task.several:
             parts = [F.transform(n, lambda x: x / len(names)) for n in names]
             total = parts[0]
             for p in parts[1:]:
@@ -190,7 +209,8 @@ class TabularAutoML:
             scored = frame.df
             for m in level:
                 scored = scored.join(m.model.predict(m.features.transform(frame)).select(*self.keys, m.model.name), self.keys, "left")
-            frame = Frame(scored, frame.roles | {m.model.name: R.numeric() for m in level}, frame.keys)
+            scored, roles = self.with_predictions(scored, frame.roles, [m.model.name for m in level])
+            frame = Frame(scored, roles, frame.keys)
         return self.blended(frame.df, [m.model.name for m in self.members[-1]]).select(*self.keys, "prediction")
 
     def feature_scores(self) -> list[tuple[str, float]]:
