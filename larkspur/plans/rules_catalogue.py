@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from larkspur import roles as R
 from larkspur.frame import Frame
-from larkspur.operators import dependence, lime
+from larkspur.operators import dependence, lime, text
 from larkspur.operators.scorecard import ScorecardBins
 from larkspur.operators.stl import Decomposition
 from larkspur.plans import role_rules as A
 from larkspur.plans.registry import query, rounded, table
+from larkspur.storage import stored
 
 NUMBERS, TEXTS = ["price", "nation", "acct"], ["priority", "segment"]
 UNPIVOTED = " union all ".join(
@@ -158,3 +159,22 @@ def stl_trend(spark: SparkSession, sf: str) -> DataFrame:
     """Trend, weekly season and remainder of the daily sums of each kind of event."""
     daily = table(spark, sf, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.sum("value").alias("v"))
     return Decomposition(7, robust=1, rounds=2).fit_transform(daily, ["event_type"], "day", "v")
+
+
+HASHED = ", ".join(f"(('0x' || substr(md5(token), {4 * k + 1}, 4))::integer % 1000) / 1000.0 - 0.5" for k in range(4))
+TOKENS = "list_filter(string_split(lower(trim(regexp_replace(regexp_replace(trim(coalesce(text, '')), '[^A-Za-z0-9]+', ' ', 'g'), '\\b[0-9]+\\b', ' ', 'g'))), ' '), lambda w: w <> '')"
+
+
+@query(f"""with words as (select doc_id, unnest({TOKENS}) as token from documents),
+    weights as (select token, ln(1 + ((select count(*) from documents) + 1) / (count(distinct doc_id) + 1)) as weight from words group by 1),
+    vectors as (select token, [{HASHED}]::double[] as v from weights),
+    sums as (select doc_id, {", ".join(f"sum(v[{k}] * weight) / count(*) as v{k}" for k in range(1, 5))} from words join weights using (token) join vectors using (token) group by 1)
+    select doc_id, {", ".join(f"round(coalesce(v{k}, 0), 6)::double + 0.0 as v{k}" for k in range(1, 5))} from documents left join sums using (doc_id)""")
+def document_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Weighted means of word vectors; a word's vector is made of its MD5, so that SQL has the same."""
+    df = table(spark, sf, "documents").select("doc_id", text.tokens_en(F.col("text")).alias("tokens"))
+    weights = stored(text.word_weights(df, "tokens"))
+    part = lambda k: F.pmod(F.conv(F.substring(F.md5("token"), 4 * k + 1, 4), 16, 10).cast("int"), F.lit(1000)) / 1000.0 - 0.5
+    vectors = weights.select("token", F.array(*[part(k) for k in range(4)]).alias("vector"))
+    made = text.document_vectors(df, "doc_id", "tokens", vectors, weights, 4)
+    return rounded(made.select("doc_id", *[F.col("vector")[k].alias(f"v{k + 1}") for k in range(4)]))
