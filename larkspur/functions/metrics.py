@@ -346,10 +346,10 @@ def constant_rates(df: DataFrame, columns: list[str], least: float = 0.0) -> Dat
 # uplift
 
 
-def uplift_curve(df: DataFrame, y: str, u: str, t: str, mode: str = "qini", keep_part: bool = False) -> DataFrame:
-    """n (rows so far) and value at every distinct uplift score from the highest; modes qini, cum_gain and adj_qini."""
+def uplift_curve(df: DataFrame, y: str, u: str, t: str, mode: str = "qini", keep_part: bool = False, by: list[str] = ()) -> DataFrame:
+    """n (rows so far) and value at every distinct uplift score from the highest; modes qini, cum_gain and adj_qini. One curve for each group of ``by``."""
     treated, outcome = F.col(t).cast("double"), F.col(y).cast("double")
-    each = running(df, u, {"n": F.lit(1), "nt": treated, "yt": outcome * treated, "yc": outcome * (1 - treated)}, descending=True, keep_part=keep_part)
+    each = running(df, u, {"n": F.lit(1), "nt": treated, "yt": outcome * treated, "yc": outcome * (1 - treated)}, by, descending=True, keep_part=keep_part)
     n, nt, yt, yc, all_rows, all_treated = (F.col(c).cast("double") for c in ("cum_n", "cum_nt", "cum_yt", "cum_yc", "all_n", "all_nt"))
     zero = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     value = {
@@ -357,19 +357,19 @@ def uplift_curve(df: DataFrame, y: str, u: str, t: str, mode: str = "qini", keep
         "cum_gain": (zero(yt, nt) - zero(yc, n - nt)) * n / all_rows,
         "adj_qini": F.try_divide(yt - yc * zero(nt, n - nt), all_treated),
     }[mode]
-    return each.select(F.col("cum_n").alias("n"), value.alias("value"), *(["part_"] if keep_part else []))
+    return each.select(*by, F.col("cum_n").alias("n"), value.alias("value"), *(["part_"] if keep_part else []))
 
 
-def area(points: DataFrame) -> DataFrame:
-    """auc: trapezoids under (n / N, value) from the origin, over points in parts (part_, in the order of n) whose ends are carried on."""
-    ends = points.groupBy("part_").agg(F.max(F.struct("n", "value")).alias("end_"))
-    carried = ends.select(F.col("part_").alias("at_part_"), F.lag("end_").over(Window.orderBy("part_")).alias("before_"))  # one row for each part
-    w = Window.partitionBy("part_").orderBy("n")
-    joined = points.join(carried, F.col("part_") == F.col("at_part_"))
+def area(points: DataFrame, by: list[str] = ()) -> DataFrame:
+    """auc: trapezoids under (n / N, value) from the origin, over points in parts (part_, in the order of n) whose ends are carried on; of each group of ``by``."""
+    ends = points.groupBy(*by, "part_").agg(F.max(F.struct("n", "value")).alias("end_"))
+    carried = ends.select(*by, "part_", F.lag("end_").over(Window.partitionBy(*by).orderBy("part_")).alias("before_"))  # one row for each part
+    w = Window.partitionBy(*by, "part_").orderBy("n")
+    joined = points.join(carried, [*by, "part_"])
     x0 = F.coalesce(F.lag("n").over(w), F.col("before_.n"), F.lit(0)).cast("double")
     y0 = F.coalesce(F.lag("value").over(w), F.col("before_.value"), F.lit(0.0))
-    steps = joined.select("n", ((F.col("n") - x0) * (F.col("value") + y0) / 2).alias("a_"))
-    return steps.agg((F.sum("a_") / F.max("n")).alias("auc"))
+    steps = joined.select(*by, "n", ((F.col("n") - x0) * (F.col("value") + y0) / 2).alias("a_"))
+    return steps.groupBy(*by).agg((F.sum("a_") / F.max("n")).alias("auc"))
 
 
 def perfect_uplift(y: Column, t: Column) -> Column:
@@ -377,6 +377,14 @@ def perfect_uplift(y: Column, t: Column) -> Column:
     return F.when(t == 1, F.when(y == 1, 2.0).otherwise(0.0)).otherwise(F.when(y == 1, -1.0).otherwise(1.0))
 
 
+def uplift_aucs(df: DataFrame, y: str, scores: dict[str, Column], t: str, mode: str = "adj_qini") -> dict[str, float | None]:
+    """The area of each of several uplift scores, from one job."""
+    entries = F.array(*[F.struct(F.lit(n).alias("name"), c.cast("double").alias("u")) for n, c in scores.items()])
+    long = df.select(F.col(y).alias("y"), F.col(t).alias("t"), F.explode(entries).alias("x")).select("y", "t", "x.name", "x.u")
+    found = {r["name"]: r["auc"] for r in area(uplift_curve(long, "y", "u", "t", mode, True, ["name"]), ["name"]).collect()}  # a row for each score
+    return {n: found.get(n) for n in scores}
+
+
 def uplift_auc(df: DataFrame, y: str, u: str, t: str, mode: str = "adj_qini", normed: bool = False) -> DataFrame:
     """auc; with ``normed``, 0 for a random order and 1 for the perfect one."""
     own = area(uplift_curve(df, y, u, t, mode, keep_part=True))
