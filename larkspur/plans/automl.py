@@ -114,11 +114,12 @@ class TabularAutoML:
     cutoff: float | None = None
     blend: str = "weighted"
     debug: bool = False
+    seed: int = 42
     members: list[list[Member]] = field(default_factory=list)
 
     def fit_predict(self, df: DataFrame, declared: dict) -> DataFrame:
         self.timer = Timer(self.timeout)
-        self.reader = Reader(self.task.name, self.keys, folds=self.folds)
+        self.reader = Reader(self.task.name, self.keys, folds=self.folds, seed=self.seed)
         frame = self.reader.fit_read(df, declared)
         self.fold = frame.attribute("folds")
         self.targets = [c for c, r in frame.roles.items() if r.name == "target"]
@@ -161,6 +162,7 @@ class TabularAutoML:
 
     def fit_member(self, frame: Frame, name: str, column: str) -> tuple[Member, DataFrame]:
         make, algorithm = MEMBERS[name]
+        algorithm = Algorithm(algorithm.kind, algorithm.params, self.seed)
         binary = self.task.one.name == "binary"
         encode = TargetEncode(self.targets, "binary" if binary else "reg") if self.task.several else TargetEncode(kind="reg") if self.task.name == "reg" else None
         features = make(encode)

@@ -29,6 +29,7 @@ class Reader:
     folds: int = 5
     advanced: bool = False
     least_gini: float = 0.0
+    seed: int = 42
     state: dict[str, Any] = field(default_factory=dict)
 
     def fit_read(self, df: DataFrame, declared: dict) -> Frame:
@@ -98,11 +99,11 @@ class Reader:
     def with_folds(self, frame: Frame) -> Frame:
         group = frame.attribute("group")
         if group:
-            df = frame.df.withColumn("fold__", hash_fold([group], self.folds))
+            df = frame.df.withColumn("fold__", hash_fold([group], self.folds, self.seed))
         elif self.task in ("binary", "multiclass") and self.state["target"]:
-            df = stratified_folds(frame.df.withColumn("h__", F.xxhash64(F.lit(42), *self.keys)), self.state["target"], ["h__", *self.keys], self.folds, "fold__").drop("h__")
+            df = stratified_folds(frame.df.withColumn("h__", F.xxhash64(F.lit(self.seed), *self.keys)), self.state["target"], ["h__", *self.keys], self.folds, "fold__").drop("h__")
         else:
-            df = frame.df.withColumn("fold__", hash_fold(self.keys, self.folds))
+            df = frame.df.withColumn("fold__", hash_fold(self.keys, self.folds, self.seed))
         return Frame(df, frame.roles | {"fold__": R.make("folds")}, frame.keys)
 
     def refined(self, frame: Frame, declared: set[str]) -> Frame:
