@@ -210,4 +210,89 @@ ORACLE_SQL: dict[str, str] = {
         )
         select anchor_id, positive_id, cast(rank as integer) as rank, negative_id, positive_score, negative_score from ranked where rank <= 10
     """,
+    "op12_resampling": r"""
+        with recursive steps as (
+            select list(c order by b) as step from (
+                select b, list_reduce(list_prepend(b, [1, 2, 3, 4, 5, 6, 7, 8]), lambda c, i: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as c
+                from (select unnest(range(256))::bigint as b)
+            )
+        ), texts as (
+            select 'd' as side, row_number() over () as r, doc_id, text from documents union all select 'b', row_number() over (), null, text from benchmark
+        ), split as (
+            select side, r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words from texts
+        ), words as (
+            select side, r, word, count(*) as n from (select side, r, unnest(words) as word from split) group by 1, 2, 3
+        ), spelt as (
+            select word, hex(encode(word)) as h from (select distinct word from words)
+        ), buckets as (
+            select word, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(len(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::bigint)),
+                lambda c, b: xor(step[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 10000 as bucket from spelt, steps
+        ), counts as (
+            select bucket, coalesce(sum(n) filter (side = 'd'), 0)::double as s, coalesce(sum(n) filter (side = 'b'), 0)::double as t from words join buckets using (word) group by 1
+        ), gains as (
+            select bucket, floor(1000 * ln((t + 1) * (sum(s) over () + 10000) / ((s + 1) * (sum(t) over () + 10000))))::bigint as gain from counts
+        ), weights as (
+            select r, sum(n) as n, sum(n * gain) as weight from words join buckets using (word) join gains using (bucket) where side = 'd' group by 1
+        ), scored as (
+            select doc_id, coalesce(n, 0)::bigint as n_features, coalesce(weight, 0)::bigint as weight,
+                (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint + 0.5) / 4294967296::double))))::bigint as score
+            from split left join weights using (r) where side = 'd'
+        ), ranked as (
+            select *, row_number() over (order by n_features < 20, score desc, doc_id nulls last) as place, count(*) filter (n_features >= 20) over () as fit from scored
+        )
+        select doc_id, n_features, weight, score, case when n_features >= 20 and place <= fit * 10 // 100 then place end as rank from ranked
+    """,
+    "op13_near_duplicates": r"""
+        with recursive split as (
+            select row_number() over () as r, doc_id,
+                list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') as words
+            from documents
+        ), placed as (
+            select r, len(words) as n_words, unnest(words) as word, generate_subscripts(words, 1) as i from split
+        ), runs as (
+            select r, n_words, i, concat_ws(' ', word, lead(word, 1) over w, lead(word, 2) over w, lead(word, 3) over w) as shingle from placed window w as (partition by r order by i)
+        ), different as (
+            select distinct r, shingle from runs where i = 1 or i <= n_words - 3
+        ), each as (
+            select r, shingle, count(*) over (partition by r) as n from different
+        ), sizes as (
+            select s.r, s.doc_id, coalesce(n, 0) as n from split s left join (select r, count(*) as n from different group by 1) using (r)
+        ), links as (
+            select a.r as a, b.r as b from each a join each b on a.shingle = b.shingle and a.r <> b.r and 100 * a.n >= 80 * b.n and 100 * b.n >= 80 * a.n
+            group by a.r, b.r, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))
+        ), reached as (
+            select r as a, r as b from sizes union select reached.a, links.b from reached join links on reached.b = links.a
+        ), components as (
+            select a as r, min(doc_id) as component_id from reached join sizes on sizes.r = reached.b group by 1
+        )
+        select doc_id, n::bigint as n_shingles, component_id, doc_id is not distinct from component_id as kept from sizes join components using (r)
+    """,
+    "op9_ngram_join": r"""
+        with recursive texts as (
+            select doc_id, coalesce(text, '') as text, md5(coalesce(text, '')) as key from documents
+        ), nodes as (
+            select key, any_value(text) as text, min(doc_id) as least_id, count(*) as n_copies from texts group by 1
+        ), split as (
+            select key, list_filter(regexp_split_to_array(text, '[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+'), lambda w: w <> '') as words from nodes
+        ), placed as (
+            select key, len(words) as n_words, unnest(words) as word, generate_subscripts(words, 1) as i from split
+        ), runs as (
+            select key, n_words, i, concat_ws(' ', word, lead(word, 1) over w, lead(word, 2) over w, lead(word, 3) over w, lead(word, 4) over w) as gram from placed window w as (partition by key order by i)
+        ), different as (
+            select distinct key, gram from runs where i = 1 or i <= n_words - 4
+        ), each as (
+            select key, gram, count(*) over (partition by key) as n from different
+        ), links as (
+            select a.key as a, b.key as b from each a join each b on a.gram = b.gram and a.key <> b.key and 100 * a.n >= 80 * b.n and 100 * b.n >= 80 * a.n
+            group by a.key, b.key, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))
+        ), reached as (
+            select key as a, key as b from nodes union select reached.a, links.b from reached join links on reached.b = links.a
+        ), best as (
+            select a as key, min({'none': least_id is null, 'id': coalesce(least_id, 0), 'key': b}) as best, min(least_id) as class_id from reached join nodes on nodes.key = b group by 1
+        ), counts as (
+            select a as key, count(*) as n_links from links group by 1
+        )
+        select doc_id, class_id, coalesce(n_links, 0)::bigint as n_links, n_copies, key as text_md5, key = best['key'] and doc_id is not distinct from class_id as keep
+        from texts join nodes using (key) join best using (key) left join counts using (key)
+    """,
 }
