@@ -103,6 +103,10 @@ class Columnwise(Union):
         super().fit(frame)
         return self
 
+    def fit_transform(self, frame: Frame) -> Frame:
+        self.operators = [Sequential([Select([c]), self.make()]) for c in frame.features]
+        return super().fit_transform(frame)
+
 
 class BestOf(Operator):
     """Of several operators, the one whose result the criterion scores highest; the first of equals."""

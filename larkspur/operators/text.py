@@ -31,14 +31,6 @@ def tokens_ru(text: Column, stop_words: list[str] = ()) -> Column:
     return F.filter(words, lambda w: ~w.isin(*stop_words)) if stop_words else words
 
 
-def stem_en(token: Column) -> Column:
-    """A light English stemmer: plural and verb endings off words that stay long enough."""
-    for ending, least in (("(sses)$", 0), ("ies$", 0), ("(?<![us])s$", 3), ("(ing|edly|ed|ly)$", 3)):
-        to = {"(sses)$": "ss", "ies$": "i"}.get(ending, "")
-        token = F.when(F.length(F.regexp_replace(token, ending, to)) >= least, F.regexp_replace(token, ending, to)).otherwise(token)
-    return token
-
-
 def concatenated(columns: list[str], separator: str = SEPARATOR) -> Column:
     """Texts joined by a separator; null is an empty text."""
     return F.concat_ws(separator, *[F.coalesce(F.col(c), F.lit("")) for c in columns])

@@ -224,6 +224,15 @@ class TabularAutoML:
         names = lineage(list(self.reader.state["roles"]), list(total))
         return selection.roll_up(total, lambda c: names.get(c, c))
 
+    def permutation_scores(self, df: DataFrame) -> list[tuple[str, float]]:
+        """What the score of the whole preset on rows with a target loses when a source column is dealt anew among them, greatest first."""
+        features = [c for c, r in self.reader.state["roles"].items() if r.name in ("numeric", "category", "datetime", "text")]
+        frame = self.reader.read(df)
+        frame = self.reader.coded(frame) if "classes" in self.reader.state else frame
+        truth = stored(frame.df.select(*self.keys, *(self.targets if self.task.several else [self.target])))
+        score = lambda d: self.task.score(self.predict(d).join(truth, self.keys), self.target, "prediction")
+        return list(selection.permutation_importances(df, self.keys, features, score).items())
+
     def save(self, path: str) -> None:
         """All that ``predict`` needs; ``TabularAutoML.load`` reads it."""
         persistence.save(self, path)

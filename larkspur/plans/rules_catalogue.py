@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from larkspur import roles as R
 from larkspur.frame import Frame
-from larkspur.operators import dependence, lime, text
+from larkspur.functions import metrics
+from larkspur.operators import datetimes, dependence, lime, text, validation
 from larkspur.operators.scorecard import ScorecardBins
 from larkspur.operators.stl import Decomposition
 from larkspur.plans import role_rules as A
@@ -178,3 +179,33 @@ def document_vectors(spark: SparkSession, sf: str) -> DataFrame:
     vectors = weights.select("token", F.array(*[part(k) for k in range(4)]).alias("vector"))
     made = text.document_vectors(df, "doc_id", "tokens", vectors, weights, 4)
     return rounded(made.select("doc_id", *[F.col("vector")[k].alias(f"v{k + 1}") for k in range(4)]))
+
+
+@query("""with x as (select o_orderkey % 5 as f from orders), k as (select unnest([1, 2, 3, 4]) as k)
+    select 'oldest' as first, k::integer as split, count(*) filter (f < k) as n_train, count(*) filter (f = k) as n_valid from x, k group by k
+    union all select 'newest', k::integer, count(*) filter (4 - f < k), count(*) filter (4 - f = k) from x, k group by k""")
+def expanding_folds(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows to train on and to judge by of each split of growing parts, from the oldest part and from the newest."""
+    df = table(spark, sf, "orders").select(F.pmod("o_orderkey", F.lit(5)).alias("f"))
+    counts = [
+        F.struct(F.lit(name).alias("first"), F.lit(k).alias("split"), F.count_if(s.train).alias("n_train"), F.count_if(s.valid).alias("n_valid"))
+        for name, newest in (("oldest", False), ("newest", True))
+        for k, s in enumerate(validation.expanding("f", 5, newest), 1)
+    ]
+    return df.agg(F.array(*counts).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+
+
+@query("""with x as (select (o_orderstatus = 'F')::integer as y, least(greatest(o_totalprice / 600000, 1e-7), 1 - 1e-7) as q from orders), l as (select y, ln(q / (1 - q)) as logit from x),
+    e as (select min(logit) as lo, max(logit) as hi from l)
+    select y, least(floor((logit - lo) / (hi - lo) * 8) + 1, 8)::integer as bin, count(*) as n from l, e group by 1, 2""")
+def log_odds_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Histograms of the log odds of a prediction, by class."""
+    df = table(spark, sf, "orders").select((F.col("o_orderstatus") == "F").cast("int").alias("y"), (F.col("o_totalprice") / 600000).alias("p"))
+    return metrics.log_odds_by_class(df, "y", "p", 8)
+
+
+@query("""select date_diff('second', min(t), max(t))::double as seconds, case when date_diff('second', min(t), max(t)) > 360 * 86400 then 'year' when date_diff('second', min(t), max(t)) > 27 * 86400 then 'month' else 'exact' end as step
+    from (select distinct date_trunc('day', ts)::timestamp as t from events order by t desc limit 2)""")
+def usual_step(spark: SparkSession, sf: str) -> DataFrame:
+    """The step of the days of the events."""
+    return datetimes.usual_step(table(spark, sf, "events").select(F.date_trunc("day", "ts").alias("t")), "t")
