@@ -13,7 +13,6 @@ pairs within a component, which add nothing. Components over all links are the r
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
