@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur import roles as R
 from larkspur.frame import Frame
 from larkspur.functions import metrics
 from larkspur.operators import blending, explain, models, selection, text, validation, vectors

@@ -18,7 +18,6 @@ from pyspark.sql.utils import AnalysisException
 
 from larkspur.operators import blending
 from larkspur.operators.models import Task
-from larkspur.plans import persistence
 from larkspur.plans.automl import TabularAutoML
 from larkspur.storage import stored
 
