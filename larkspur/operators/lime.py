@@ -9,7 +9,8 @@ or samples by samples).
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,32 +20,48 @@ from pyspark.sql import functions as F
 from larkspur.frame import quoted
 
 
-def drawn(seed: int, key: str, of: Column) -> Callable[[Column], Column]:
-    """A whole number from 0 below ``of``, by the first 32 bits of the MD5 of seed, key, sample and draw."""
-    text = lambda draw: F.concat_ws("|", F.lit(str(seed)), F.col(quoted(key)).cast("string"), F.col("sample").cast("string"), draw.cast("string"))
-    return lambda draw: F.pmod(F.conv(F.substring(F.md5(text(draw)), 1, 8), 16, 10).cast("long"), of)
+#: Tokens in the samples that are made at once.
+AT_ONCE = 1 << 20
+
+
+def drawn(seed: int, key: str, sample: int, n: int) -> set[int]:
+    """Places of the words that a sample leaves out: a number of draws from 1 to n, each by the first 32 bits of the MD5 of seed, key, sample and draw."""
+    at = lambda draw: int(hashlib.md5(f"{seed}|{key}|{sample}|{draw}".encode()).hexdigest()[:8], 16) % n
+    return {at(draw) for draw in range(1, at(0) + 2)}
 
 
 def perturbed(df: DataFrame, key: str, tokens: str, samples: int, seed: int = 42) -> DataFrame:
     """key, sample, words (the document's different tokens), kept (0/1 by word) and text.
 
     Sample 0 is whole. In each other a number of words from 1 to all is drawn, and as many words with
-    replacement; all their occurrences go. A document without tokens has sample 0 only; null tokens are none.
+    replacement; all their occurrences go. A document without tokens has sample 0 only; null tokens are none. The
+    work for a sample grows with the document's tokens alone.
     """
-    tokens_ = F.coalesce(F.col(quoted(tokens)), F.array().cast("array<string>"))
-    base = df.select(F.col(quoted(key)), tokens_.alias("tokens_"), F.array_distinct(tokens_).alias("words"))
-    last = F.when(F.size("words") > 0, samples).otherwise(0)
-    each = base.withColumn("sample", F.explode(F.sequence(F.lit(0), last)))
-    n = F.size("words").cast("long")
-    draw = drawn(seed, key, F.greatest(n, F.lit(1)))
-    size = F.when((F.col("sample") > 0) & (n > 0), draw(F.lit(0)) + 1).otherwise(0)
-    each = each.withColumn("size_", size)
-    off = F.when(F.col("size_") > 0, F.array_distinct(F.transform(F.sequence(F.lit(1).cast("long"), F.col("size_")), draw))).otherwise(F.array().cast("array<bigint>"))
-    each = each.withColumn("off_", off)
-    each = each.withColumn("kept", F.transform("words", lambda w, i: F.when(F.array_contains("off_", i.cast("long")), 0).otherwise(1)))
-    each = each.withColumn("gone_", F.transform("off_", lambda i: F.element_at("words", (i + 1).cast("int"))))
-    text = F.array_join(F.filter("tokens_", lambda t: ~F.array_contains("gone_", t)), " ")
-    return each.select(quoted(key), "sample", "words", "kept", text.alias("text"))
+    kind = dict(df.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, (name, own) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                own = own or []
+                words = list(dict.fromkeys(own))
+                place = dict(zip(words, range(len(words)), strict=True))
+                at = [place[t] for t in own]
+                step = max(1, AT_ONCE // max(1, len(own)))
+                numbers = range(samples + 1 if words else 1)
+                for first in numbers[::step]:
+                    some = numbers[first : first + step]
+                    off = [drawn(seed, name, s, len(words)) if s else set() for s in some]
+                    columns = [
+                        batch.column(0).slice(row, 1).take(pa.array([0] * len(some))),
+                        pa.array(list(some), pa.int32()),
+                        pa.array([words] * len(some), pa.list_(pa.string())),
+                        pa.array([[int(i not in gone) for i in range(len(words))] for gone in off], pa.list_(pa.int32())),
+                        pa.array([" ".join([t for t, i in zip(own, at, strict=True) if i not in gone]) for gone in off], pa.string()),
+                    ]
+                    yield pa.RecordBatch.from_arrays(columns, names=[key, "sample", "words", "kept", "text"])
+
+    asked = df.select(quoted(key), F.col(quoted(key)).cast("string").alias("key_text_"), F.col(quoted(tokens)).alias("tokens_"))
+    return asked.mapInArrow(run, f"{quoted(key)} {kind}, sample int, words array<string>, kept array<int>, text string")
 
 
 def kernel_weight(kept: Column, width: float = 25.0) -> Column:
