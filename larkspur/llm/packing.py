@@ -11,8 +11,8 @@ from __future__ import annotations
 
 import functools
 import math
-import os
 import zlib
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -22,66 +22,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from larkspur.llm.chunks import ChunkEncoder
+from larkspur.llm.byte_level import ByteLevelEncoder
 from larkspur.llm.shared import quoted, rows_like, settle, slices
 
 #: Documents' pieces in a group, on average.
 GROUP_PIECES = 8192
-#: Strings that the library gets as one.
-RUN = 4096
-
-
-class LibraryEncoder(ChunkEncoder):
-    """Ids by a tokenizer file of the ``tokenizers`` library with byte-level splitting."""
-
-    group_chars = 4 << 20
-
-    def __init__(self, path: str):
-        super().__init__()
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        (self.line_end,) = self.encode(["\n"])[0].ids
-
-    def encode_each(self, strings: list[str]) -> list[bytes]:
-        """Strings go to the library many at a time, with a line end between: a match of their own that is one token.
-
-        A string that holds a line end, or has white space at its end or more of it at its start, goes alone.
-        """
-        out: list[bytes] = [b""] * len(strings)
-        together, alone = [], []
-        for k, s in enumerate(strings):
-            if s and "\n" not in s and not s[-1].isspace() and not s[:2].isspace() and (s[0] == " " or not s[0].isspace()):
-                together.append(k)
-            elif s:
-                alone.append(k)
-        runs = [together[a : a + RUN] for a in range(0, len(together), RUN)]
-        for a in range(0, len(runs), 16):
-            some = runs[a : a + 16]
-            for run, made in zip(some, self.encode(["\n".join([strings[k] for k in r]) for r in some]), strict=True):
-                ids = np.array(made.ids, "<u4")
-                stops = np.append(np.flatnonzero(ids == self.line_end), len(ids))
-                data, begin = ids.tobytes(), 0
-                if len(stops) != len(run):  # the tokenizer doesn't keep line ends apart
-                    alone += run
-                    continue
-                for k, stop in zip(run, (stops * 4).tolist(), strict=True):
-                    out[k] = data[begin:stop]
-                    begin = stop + 4
-        for k, made in zip(alone, self.encode([strings[k] for k in alone]), strict=True):
-            out[k] = np.array(made.ids, "<u4").tobytes()
-        return out
-
-    def encode(self, strings: list[str]) -> list:
-        return self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)
+#: Bytes of an Arrow batch that are encoded at once.
+ENCODED_BYTES = 4 << 20
 
 
 @functools.cache
-def encoder(path: str) -> LibraryEncoder:
-    """One per Python worker, so that its cache lasts from task to task."""
-    return LibraryEncoder(path)
+def encoder(path: str) -> ByteLevelEncoder:
+    """One per Python worker, so that what it remembers lasts from task to task."""
+    return ByteLevelEncoder(path)
 
 
 def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -124,22 +77,20 @@ def cut_documents(
     fields = [T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32", "doc_tokens", "place")]
     schema = T.StructType(rows_like(df, [id_col]) + fields + [T.StructField("ids", T.BinaryType())] * with_ids)
     arrow = to_arrow_schema(schema)
-    end, step = end_id.to_bytes(4, "little"), 4 * capacity
 
     def run(batches):
-        encode, place = encoder(tokenizer).encode_all, TaskContext.get().partitionId() << 33
-        for batch in (part for whole in batches for part in slices(whole)):
-            rows, starts, parts, totals = [], [], [], []
-            for k, ids in enumerate(encode(batch.column(1).to_pylist())):
-                ids += end
-                for start in range(0, len(ids), step):
-                    rows.append(k)
-                    starts.append(start // 4)
-                    parts.append(ids[start : start + step])
-                    totals.append(len(ids) // 4)
-            made = [pa.array(x, pa.int64()) for x in (starts, [len(p) // 4 for p in parts], map(zlib.crc32, parts), totals, range(place, place + len(rows)))]
+        encode, place = encoder(tokenizer).encode_column, TaskContext.get().partitionId() << 33
+        for batch in (part for whole in batches for part in slices(whole, ENCODED_BYTES)):
+            ids, stops = encode(batch.column(1))
+            data, totals = np.insert(ids, stops, end_id).tobytes(), np.diff(stops, prepend=0) + 1
+            counts = -(-totals // capacity)
+            rows = np.repeat(np.arange(len(totals)), counts)
+            starts = capacity * (np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts))
+            lengths = np.minimum(totals[rows] - starts, capacity)
+            parts = [data[a:b] for a, b in pairwise([0, *(4 * np.cumsum(lengths)).tolist()])]
+            made = [pa.array(x, pa.int64()) for x in (starts, lengths, map(zlib.crc32, parts), totals[rows], range(place, place + len(rows)))]
             place += len(rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *made] + [pa.array(parts, pa.binary())] * with_ids, schema=arrow)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), *made] + [pa.array(parts, pa.binary())] * with_ids, schema=arrow)
 
     return df.select(F.col(quoted(id_col)), F.col(quoted(text_col))).mapInArrow(run, schema)
 

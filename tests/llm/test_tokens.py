@@ -10,12 +10,14 @@ from array import array
 from collections import defaultdict
 
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from larkspur.llm.bpe import Codec, codec, decode_bpe, encode_bpe
+from larkspur.llm.byte_level import ByteLevelEncoder
 from larkspur.llm.chunks import OVERHEAD, ByteCache
 from larkspur.llm import media
 from larkspur.llm.media import MediaArchiveReader, features, from_wav, media_columns, read_archives, to_wav, write_archives
@@ -113,6 +115,43 @@ def test_packing_is_lossless(docs, no_docs, tokenizer):
     assert pack_documents(no_docs, JSON).count() == 0
 
 
+def test_each_different_match_is_merged_once():
+    """Words that meet line ends and punctuation in ever new ways cost the library no more than the words."""
+    own = ByteLevelEncoder(JSON)
+    given, merge = [], own.merge
+    own.merge = lambda words: given.extend(words.to_pylist()) or merge(words)
+    words = ["stone", "river", "light", "cloud", "quiet", "house"]
+    texts = [f"{a}.{b}\n{c},{d}" for a in words for b in words for c in words for d in words]
+    for half in (texts[::2], texts[1::2]):
+        own.encode_all(half)
+    assert len(given) == len(set(given)) == 2 * len(words) + 3 - len(words)
+
+
+def test_columns_equal_the_library(tokenizer):
+    kinds = ["a", "s", "ll", "1", "²", "٣", ".", "'", "'s", "'ve", "é", "漢", "e\u0301", "😀", "<|endoftext|>", " ", "  ", "\n", "\t", "\r\n", "\x1c", "\x00", "\x85", "\xa0", "\u2003", "\u3000"]
+    texts = [None, "", *(a + b + c for a in kinds for b in kinds for c in kinds), "ab" * 20_000]
+    want = [array("I", x.ids).tobytes() for x in tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+    for most in (0, 3000, 1 << 25):  # bytes that are remembered
+        own = ByteLevelEncoder(JSON, most)
+        for column in (pa.array(texts), pa.array(texts, pa.large_string()).slice(5, 900), pa.array(texts[:0], pa.string()), pa.array([None, ""])):
+            ids, stops = own.encode_column(column)
+            at = texts.index(column[0].as_py()) if len(column) else 0
+            assert ids.tobytes() == b"".join(want[at : at + len(column)]) and len(stops) == len(column)
+            assert own.held() <= most
+
+
+@pytest.mark.parametrize("change", [{"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}}])
+def test_files_of_another_kind_are_left_to_the_library(tmp_path, change):
+    from tokenizers import Tokenizer
+
+    with open(JSON) as f:
+        (tmp_path / "other.json").write_text(json.dumps(json.load(f) | change))
+    path = str(tmp_path / "other.json")
+    texts = ["In the End.\nOf it, all", "of The", " (of)", "", None]
+    want = [x.ids for x in Tokenizer.from_file(path).encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert [array("I", x).tolist() for x in ByteLevelEncoder(path).encode_all(texts)] == want
+
+
 def test_packing_leaves_little_room(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     used = pack_documents(df, JSON).groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.count("*"), F.sum("n")).first()
