@@ -174,7 +174,7 @@ TOKENS = "list_filter(string_split(lower(trim(regexp_replace(regexp_replace(trim
 def document_vectors(spark: SparkSession, sf: str) -> DataFrame:
     """Weighted means of word vectors; a word's vector is made of its MD5, so that SQL has the same."""
     df = table(spark, sf, "documents").select("doc_id", text.tokens_en(F.col("text")).alias("tokens"))
-    weights = stored(text.word_weights(df, "tokens"))
+    weights = stored(text.word_weights(df, "tokens", key="doc_id"))
     part = lambda k: F.pmod(F.conv(F.substring(F.md5("token"), 4 * k + 1, 4), 16, 10).cast("int"), F.lit(1000)) / 1000.0 - 0.5
     vectors = weights.select("token", F.array(*[part(k) for k in range(4)]).alias("vector"))
     made = text.document_vectors(df, "doc_id", "tokens", vectors, weights, 4)

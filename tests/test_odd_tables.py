@@ -4,7 +4,7 @@ import datetime
 
 import duckdb
 
-from larkspur.plans import features_catalogue  # noqa: F401  it registers its queries
+from larkspur.plans import features_catalogue, rules_catalogue  # noqa: F401  they register their queries
 from larkspur.plans.registry import QUERIES, SQL
 
 
@@ -28,3 +28,12 @@ def test_a_customer_without_orders_has_no_count_of_a_status(spark, tmp_path):
     )
     assert ours == theirs
     assert (3, None, None) in ours and (2, 0, None) in ours
+
+
+def test_vectors_of_documents_without_words_and_of_repeated_keys(spark, tmp_path):
+    texts = ["some words", "more words 12 here", None, "", " 7 -- ", "some"]
+    wordless, repeated = [(k, t) for k, t in enumerate(texts)], [(k, t) for k, t in zip([0, 0, 1, 2, None, None, 3], [*texts, "here some"], strict=True)]
+    for name, content in (("wordless", wordless), ("repeated", repeated)):
+        ours, theirs = both(spark, tmp_path / name, "document_vectors", documents=("doc_id long, text string", content))
+        assert ours == theirs
+    assert (2, 0.0, 0.0, 0.0, 0.0) in ours
